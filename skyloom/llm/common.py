@@ -1,44 +1,16 @@
-"""Shared helpers: scratch tables in the cluster's shared folder and null-safe document columns."""
+"""Shared helpers of the document operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id inside operators that key rows by it.
-NULL_ID = -(2**63)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), a new local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyloom-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get()
-    return path.rstrip("/")
+from skyloom.plans.scratch import Scratch
 
+__all__ = ["NULL_ID", "Scratch", "text_or_empty"]
 
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/skyloom-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Removes a table that later steps no longer read."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Stands for a null doc_id inside operators that key rows by it.
+NULL_ID = -(2**63)
 
 
 def text_or_empty(name: str = "text") -> Column:
