@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import licenses, ngram_join, packing, secrets, token_counts, toxicity
+from skyloom.llm import licenses, near_vectors, ngram_join, packing, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +44,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op5_ngram_jaccard_join, op6_license_scan, op8_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op5_ngram_jaccard_join, op6_license_scan, op8_token_counts, op9_embedding_near_dedup, op10_secret_scan)}
 ORACLES = {"op6_license_scan": licenses.oracle_sql()}
