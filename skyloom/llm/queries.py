@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import licenses, near_vectors, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity
+from skyloom.llm import decontaminate, licenses, near_vectors, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_toxicity, op5_ngram_jaccard_join, op6_license_scan, op8_token_counts, op9_embedding_near_dedup, op10_secret_scan)}
-ORACLES = {"op6_license_scan": licenses.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_toxicity, op4_decontamination, op5_ngram_jaccard_join, op6_license_scan, op8_token_counts, op9_embedding_near_dedup, op10_secret_scan)}
+ORACLES = {"op4_decontamination": decontaminate.oracle_sql(), "op6_license_scan": licenses.oracle_sql()}
