@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import decontaminate, licenses, near_vectors, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity
+from skyloom.llm import decontaminate, licenses, near_vectors, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,5 +64,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_toxicity, op4_decontamination, op5_ngram_jaccard_join, op6_license_scan, op8_token_counts, op9_embedding_near_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_toxicity, op4_decontamination, op5_ngram_jaccard_join, op6_license_scan, op7_quality_perplexity, op8_token_counts, op9_embedding_near_dedup, op10_secret_scan)}
 ORACLES = {"op4_decontamination": decontaminate.oracle_sql(), "op6_license_scan": licenses.oracle_sql()}
