@@ -239,3 +239,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     of = member.select("id", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
     out = rows.join(of, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents whose doc_id is the smallest of their component; rows without an id or shingles stay."""
+    found = ngram_components(docs, k, percent)
+    gone = Scratch(docs.sparkSession).keep(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

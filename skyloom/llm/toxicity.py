@@ -145,8 +145,8 @@ def fit(data: pd.DataFrame, l1: float = 3e-4, parity: float = 1.0, least_df: int
     return Model(dict(zip(vocabulary[used].tolist(), theta[used].tolist(), strict=True)), bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
+def scorer(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN):
+    """A function of a text column that gives the score of the model fitted on the labelled documents."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, most)))
 
     @F.pandas_udf("double")
@@ -154,5 +154,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
         model = shared.value
         return pd.Series([model.score(t) for t in text], dtype=float)
 
-    scored = docs.select("doc_id", held_out().alias("held_out"), score("text").alias("score"))
+    return score
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs."""
+    scored = docs.select("doc_id", held_out().alias("held_out"), scorer(docs, labels, most)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """The documents that are not predicted toxic."""
+    return docs.filter(scorer(docs, labels, most)("text") < 0.5)
