@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import gc
+from collections.abc import Iterator
+
+import pandas as pd
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.plans.scratch import Scratch
 
-__all__ = ["NULL_ID", "Scratch", "text_or_empty"]
+__all__ = ["NULL_ID", "Scratch", "free_shuffles", "packed_texts", "text_or_empty"]
 
 #: Stands for a null doc_id inside operators that key rows by it.
 NULL_ID = -(2**63)
@@ -15,3 +20,20 @@ NULL_ID = -(2**63)
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps, which it does once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(id, z): texts compressed for a shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor(level=3)
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "z": [z.compress((t or "").encode("utf-8", "replace")) for t in pdf["text"]]})
+
+    return docs.select("id", "text").mapInPandas(run, "id long, z binary")

@@ -10,7 +10,7 @@ by range, the overlap of a pair is counted for each fragment separately and summ
 
 Only one document of each set takes part. Groups of near copies would make a square of pairs, so the
 join works by rounds: in each, a document is compared with pivots of the buckets that it shares
-(at most two pivots, those with most buckets in common) unless both are connected already. In the end
+(a few, those with most buckets in common) unless both are connected already. In the end
 every pair of a bucket whose documents are still in different components is compared, so no
 connection is lost, while dense groups have become one component before that.
 
@@ -28,15 +28,16 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from skyloom.llm.common import Scratch
+from skyloom.llm.common import Scratch, free_shuffles, packed_texts
 from skyloom.llm.tokens import in_chunks
 from skyloom.operators.graph import components
 
-CELLS, BLOCKS, FRAGMENTS = 1 << 20, 16, 4
+CELLS, BLOCKS, FRAGMENTS, PROFILE, FULL, PART = 1 << 20, 16, 4, 512, 65535, 6
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,37 +139,54 @@ def in_order(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
-    """(sig, id): the first shingles of each set in the global order."""
+    """(sig, id, rest): the first shingles of each set in the global order, and how many the set has from there on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sigs, sizes = [], []
+            sigs, sizes, rest = [], [], []
             for s in shingle_sets([t or "" for t in pdf["text"]], k):
                 n = len(s)
                 own = in_order(s, common.value)[: n - -(-percent * n // 100) + 1 if n else 0]
                 sigs.append(own)
                 sizes.append(len(own))
+                rest.append(n - np.arange(len(own)))
             if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "id": np.repeat(pdf["id"].to_numpy(np.int64), sizes)})
+                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "id": np.repeat(pdf["id"].to_numpy(np.int64), sizes), "rest": np.concatenate(rest)})
 
-    return docs.mapInPandas(run, "sig long, id long")
+    return docs.mapInPandas(run, "sig long, id long, rest int")
 
 
-def _segments(docs: DataFrame, k: int, common) -> DataFrame:
-    """(id, fragment, segment) of the documents asked for; a segment is a binary of sorted hashes."""
+def _segments(docs: DataFrame, wanted: DataFrame, k: int, common) -> DataFrame:
+    """(id, fragment, segment) of the documents asked for; a segment is a binary of sorted hashes.
+
+    Fragment -1 is a profile instead: how many shingles fall in each of PROFILE ranges of the hashes' low bits.
+    """
+    joined = packed_texts(docs).join(wanted.withColumnRenamed("id", "own"), F.col("id") == F.col("own")).select("id", "z", "key_a", "key_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdDecompressor()
         for pdf in batches:
-            rows = []
-            for i, a, b, s in zip(pdf["id"], pdf["key_a"], pdf["key_b"], shingle_sets([t or "" for t in pdf["text"]], k), strict=True):
+            rows, texts = [], [z.decompress(x).decode("utf-8") for x in pdf["z"]]
+            for i, a, b, s in zip(pdf["id"], pdf["key_a"], pdf["key_b"], shingle_sets(texts, k), strict=True):
                 if set_key(s) != (a, b):
                     continue  # another text of the same id
                 c = common.value[(s >> np.uint64(44)).astype(np.int64)]
                 part = np.where(c > 0, FRAGMENTS - 1, (s >> np.uint64(40)).astype(np.int64) * (FRAGMENTS - 1) >> 24)
                 rows += [(i, f, s[part == f].tobytes()) for f in np.unique(part).tolist()]
+                rows.append((i, -1, np.bincount((s % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).clip(max=FULL).astype(np.uint16).tobytes()))
             yield pd.DataFrame(rows, columns=["id", "fragment", "segment"])
 
-    return docs.mapInPandas(run, "id long, fragment int, segment binary").dropDuplicates(["id", "fragment"])
+    return joined.mapInPandas(run, "id long, fragment int, segment binary")
+
+
+@F.pandas_udf(LongType())
+def _most(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The most that two sets of these profiles can share; without bound if a range is full."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        low = np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))
+        out.append(1 << 40 if low.max() == FULL else int(low.sum(dtype=np.int64)))
+    return pd.Series(out, dtype="int64")
 
 
 @F.pandas_udf(LongType())
@@ -176,20 +194,37 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that link: partial overlaps by fragment, summed."""
+def _both(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     left = pairs.join(segments.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("s_a")), "a")
-    both = left.join(segments.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("s_b")), ["b", "fragment"])
-    total = both.select("a", "b", "n_a", "n_b", _overlap("s_a", "s_b").alias("o")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o"))
-    return total.filter(100 * F.col("o") >= percent * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
+    return left.join(segments.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("s_b")), ["b", "fragment"])
 
 
-def _pivot_pairs(buckets: DataFrame, labels: DataFrame, salt: int, each: int = 2) -> DataFrame:
-    """For each document at most `each` pivots of its buckets, those that most of its buckets name."""
-    at = buckets.join(labels, "id")
-    pivots = at.groupBy("sig").agg(F.min_by(F.struct("id", "n", "label"), F.struct(F.xxhash64("id", F.lit(salt)), "id")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    met = at.join(pivots, "sig").filter("label <> p.label")
-    met = met.filter((100 * F.least("n", "p.n")) >= F.lit(0)).groupBy("id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")).agg(F.count("*").alias("c"))
+def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that link: partial overlaps by fragment, summed.
+
+    Pairs whose profiles rule a link out are left out first, so that few whole sets travel.
+    """
+    enough = lambda o: 100 * o >= percent * (F.col("n_a") + F.col("n_b") - o)
+    near = _both(pairs, segments.filter("fragment = -1")).filter(enough(_most("s_a", "s_b"))).select("a", "b", "n_a", "n_b").distinct()
+    parts = _both(near, segments.filter("fragment >= 0")).select("a", "b", "n_a", "n_b", "fragment", _overlap("s_a", "s_b").alias("o")).distinct()
+    return parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o")).filter(enough(F.col("o"))).select("a", "b")
+
+
+def _possible(n_a, n_b, rest_a, rest_b, percent: int):
+    """Whether two sets can link if this is the first shingle that they share: what is left of both suffices."""
+    return (100 + percent) * F.least(rest_a, rest_b) >= percent * (n_a + n_b)
+
+
+def _pivot_pairs(buckets: DataFrame, labels: DataFrame, salt: int, percent: int, each: int) -> DataFrame:
+    """For each document at most `each` pivots of its buckets, those that most of its buckets name.
+
+    A bucket is cut at random into parts of about PART documents, and each part has a pivot of its own.
+    """
+    part = F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col("m") / PART))
+    at = buckets.join(labels, "id").withColumn("part", part)
+    pivots = at.groupBy("sig", "part").agg(F.min_by(F.struct("id", "n", "rest", "label"), F.struct(F.xxhash64("id", F.lit(~salt)), "id")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    met = at.join(pivots, ["sig", "part"]).filter("label <> p.label")
+    met = met.filter(_possible(F.col("n"), F.col("p.n"), F.col("rest"), F.col("p.rest"), percent)).groupBy("id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")).agg(F.count("*").alias("c"))
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "pivot"))).filter(F.col("r") <= each)
     low = F.col("id") < F.col("pivot")
     return best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.when(low, F.col("n")).otherwise(F.col("pn")).alias("n_a"), F.when(low, F.col("pn")).otherwise(F.col("n")).alias("n_b")).distinct()
@@ -200,13 +235,13 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFram
     at = buckets.join(labels, "id")
     still = at.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
     at = at.join(still, "sig")
-    x = at.select("sig", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    y = at.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    sizes = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    x = at.select("sig", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("r_a"), F.col("label").alias("l_a"))
+    y = at.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("r_b"), F.col("label").alias("l_b"))
+    sizes = _possible(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"), percent)
     return x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & sizes).select("a", "b", "n_a", "n_b").distinct()
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, each: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: components of 100 * intersection >= percent * union."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     d = docs.select(F.col("doc_id").alias("id"), "text")
@@ -220,19 +255,22 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
 
     sigs = _keys(d.filter("id is not null"), k, percent, common)
     shared = sigs.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
-    met = sigs.join(shared, "sig").join(member.select("id", "rep", "n"), "id").groupBy("sig", F.col("rep").alias("id"), "n").agg(F.lit(1).alias("x")).drop("x")
+    met = sigs.join(shared, "sig").join(member.select("id", "rep", "n"), "id").groupBy("sig", F.col("rep").alias("id"), "n").agg(F.max("rest").alias("rest"))
     met = scratch.keep(met, "met")
-    buckets = met.join(met.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig"), "sig")
-    buckets = scratch.keep(buckets.select("sig", "id", "n"), "buckets")
+    free_shuffles(spark)
+    buckets = met.join(met.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1"), "sig")
+    buckets = scratch.keep(buckets.select("sig", "id", "n", "rest", "m"), "buckets")
     scratch.drop("met")
     wanted = buckets.select("id").distinct().join(member.filter("id = rep").select("id", "key_a", "key_b"), "id")
-    segments = scratch.keep(_segments(d.join(wanted, "id"), k, common), "segments")
+    segments = scratch.keep(_segments(d.filter("id is not null"), wanted, k, common), "segments")
+    free_shuffles(spark)
 
     labels = buckets.select("id", F.col("id").alias("label")).distinct()
     links = None
     for r in range(rounds + 1):
-        pairs = _pivot_pairs(buckets, labels, r) if r < rounds else _open_pairs(buckets, labels, percent)
+        pairs = _pivot_pairs(buckets, labels, r, percent, each) if r < rounds else _open_pairs(buckets, labels, percent)
         found = scratch.keep(_verify(pairs, segments, percent), f"links{r}")
+        free_shuffles(spark)
         links = found if links is None else links.unionByName(found)
         joined = scratch.keep(components(links), f"labels{r}")
         labels = buckets.select("id").distinct().join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))

@@ -20,7 +20,6 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -31,12 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import NULL_ID, Scratch
+from skyloom.llm.common import NULL_ID, Scratch, free_shuffles, packed_texts
 from skyloom.llm.ngram_join import _mix
-from skyloom.llm.near_vectors import whole_groups
 from skyloom.llm.suffix_array import common_prefixes, suffix_array
 
-GRAM, SHARD_BYTES, CLASSES = 20, 2_000_000, 1000
+GRAM, SHARD_BYTES, CLASSES = 40, 2_000_000, 2000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -52,17 +50,29 @@ def _chunks(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def gram_hashes(t: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hashes of all k-grams, put together from those of lengths 1, 2, 4 and so on."""
+    part, power, out, done = t.astype(np.uint64), _PRIME, None, 0
+    m = len(t) - k + 1
+    for bit in range(k.bit_length()):
+        length = 1 << bit
+        if k & length:
+            own = part[done : done + m]
+            out = own if out is None else out * power + own
+            done += length
+        if bit + 1 < k.bit_length():
+            part = part[:-length] * power + part[length:]
+            power = np.uint64(int(power) ** 2 % 2**64)
+    return out
+
+
 def pieces_of(data: bytes, bounds: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, document, start in data, number of starts) of the pieces of documents in data."""
     n = len(data)
     none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     if n < least:
         return none
-    t = np.frombuffer(data, np.uint8).astype(np.uint64)
-    h = np.zeros(n - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        h = h * _PRIME + t[j : n - GRAM + 1 + j]
-    h = _mix(h)
+    h = _mix(gram_hashes(np.frombuffer(data, np.uint8), GRAM))
     value = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equal hashes
     width, span = least - GRAM + 1, 1
     m = value
@@ -109,30 +119,26 @@ def _pieces(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInPandas(run, "h long, c long, id long, pos long")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed for a shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdCompressor(level=3)
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "z": [z.compress(t.encode("utf-8", "replace")) for t in pdf["text"]]})
-
-    return docs.mapInPandas(run, "id long, z binary")
-
-
 def _snippets(docs: DataFrame, need: DataFrame, least: int) -> DataFrame:
     """(h, salt, hot, id, start, n, bytes) of the pieces asked for."""
     asked = need.groupBy("id").agg(F.collect_list(F.struct("h", "salt", "hot", "pos")).alias("at")).withColumnRenamed("id", "own")
-    joined = _packed(docs).join(asked, F.col("id") == F.col("own")).select("id", "z", F.col("at.h").alias("h"), F.col("at.salt").alias("salt"), F.col("at.hot").alias("hot"), F.col("at.pos").alias("pos"))
+    joined = packed_texts(docs).join(asked, F.col("id") == F.col("own")).select("id", "z", F.col("at.h").alias("h"), F.col("at.salt").alias("salt"), F.col("at.hot").alias("hot"), F.col("at.pos").alias("pos"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
         for pdf in batches:
-            for i, packed, h, salt, hot, pos in zip(pdf["id"], pdf["z"], pdf["h"], pdf["salt"], pdf["hot"], pdf["pos"], strict=True):
+            sizes = [len(x) for x in pdf["pos"]]
+            flat = {name: np.concatenate([np.asarray(x) for x in pdf[name]]) for name in ("h", "salt", "hot", "pos")} if len(pdf) else None
+            if flat is None:
+                continue
+            cut, at = [], 0
+            start, n = flat["pos"] >> 7, flat["pos"] & 127
+            a, b = start.tolist(), (start + n + least - 1).tolist()
+            for packed, m in zip(pdf["z"], sizes, strict=True):
                 data = z.decompress(packed)
-                start, n = np.asarray(pos) >> 7, np.asarray(pos) & 127
-                cut = [data[a : a + m + least - 1] for a, m in zip(start.tolist(), n.tolist(), strict=True)]
-                yield pd.DataFrame({"h": h, "salt": salt, "hot": hot, "id": i, "start": start, "n": n, "bytes": cut})
+                cut += [data[a[i] : b[i]] for i in range(at, at + m)]
+                at += m
+            yield pd.DataFrame({"h": flat["h"], "salt": flat["salt"], "hot": flat["hot"], "id": np.repeat(pdf["id"].to_numpy(), sizes), "start": start, "n": n, "bytes": cut})
 
     return joined.mapInPandas(run, "h long, salt int, hot boolean, id long, start long, n long, bytes binary")
 
@@ -160,9 +166,9 @@ def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _shard(groups: list[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+def _shard(g: pd.DataFrame, least: int) -> Iterator[pd.DataFrame]:
     """Runs of repeated starts (id, a, b), and for hot anchors the first place of each string (w1, w2)."""
-    g = pd.concat(groups).sort_values(["id", "start"], kind="stable")
+    g = g.sort_values(["id", "start"], kind="stable")
     snippets, ids, start = list(g["bytes"]), g["id"].to_numpy(np.int64), g["start"].to_numpy(np.int64)
     again, lead, bounds = repeated_starts(snippets, g["n"].to_numpy(np.int64), least)
     a, b = _runs(again)  # no run passes the end of its snippet, where no window starts
@@ -179,23 +185,31 @@ def _shard(groups: list[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
 
 
 def _sort_shards(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Whole groups (h, salt) are gathered to shards of about SHARD_BYTES."""
+    """Sorted rows are gathered to shards of about SHARD_BYTES, cut where a group (h, salt) ends."""
     held, size = [], 0
-    for g in whole_groups(batches, ["h", "salt"]):
-        if len(g) > 1 or g["hot"].iloc[0]:
-            held.append(g)
-            size += int(g["bytes"].map(len).sum())
-        if size >= SHARD_BYTES:
-            yield from _shard(held, least)
-            held, size = [], 0
-    if held:
-        yield from _shard(held, least)
+    for pdf in batches:
+        held.append(pdf)
+        size += int(pdf["bytes"].map(len).sum())
+        if size < SHARD_BYTES:
+            continue
+        g = pd.concat(held, ignore_index=True)
+        key = g[["h", "salt"]].to_numpy()
+        ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        total = np.cumsum(g["bytes"].map(len).to_numpy())
+        a = 0
+        while len(fit := ends[(ends > a) & (total[ends - 1] - (total[a - 1] if a else 0) >= SHARD_BYTES)]):
+            yield from _shard(g.iloc[a : fit[0]], least)
+            a = int(fit[0])
+        held = [g.iloc[a:]]
+        size = int(total[-1] - (total[a - 1] if a else 0))
+    if size:
+        yield from _shard(pd.concat(held, ignore_index=True), least)
 
 
 def _erase(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The result rows: each document's bytes less its spans."""
     asked = spans.groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).withColumnRenamed("id", "own")
-    joined = _packed(docs).join(asked, F.col("id") == F.col("own"), "left").select("id", "z", "a", "b")
+    joined = packed_texts(docs).join(asked, F.col("id") == F.col("own"), "left").select("id", "z", "a", "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
@@ -224,7 +238,7 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     pieces = _pieces(docs, least)
     shared = pieces.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     places = scratch.keep(pieces.join(shared, "h"), "places")
-    _free(spark)
+    free_shuffles(spark)
     first = F.min(F.struct("id", "pos"))
     classes = scratch.keep(places.groupBy("h", "c").agg(first.alias("f"), F.count("*").alias("m")), "classes")
     later = places.join(classes.filter("m > 1").select("h", "c", "f"), ["h", "c"]).filter((F.col("id") != F.col("f.id")) | (F.col("pos") != F.col("f.pos")))
@@ -235,7 +249,7 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     need = classes.join(many, "h").select(F.col("f.id").alias("id"), "h", F.pmod("c", salts).cast("int").alias("salt"), (F.col("k") > CLASSES).alias("hot"), F.col("f.pos").alias("pos"))
     snippets = _snippets(docs, need, least).repartition("h", "salt").sortWithinPartitions("h", "salt")
     found = scratch.keep(snippets.mapInPandas(lambda b: _sort_shards(b, least), "id long, a long, b long, w1 long, w2 long"), "found")
-    _free(spark)
+    free_shuffles(spark)
     firsts = found.filter("w1 is not null")
     best = firsts.groupBy("w1", "w2").agg(F.min(F.struct("id", "a")).alias("f"), F.count("*").alias("m")).filter("m > 1")
     across = firsts.join(best, ["w1", "w2"]).filter((F.col("id") != F.col("f.id")) | (F.col("a") != F.col("f.a"))).select("id", "a", "b")
@@ -243,12 +257,6 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     return scratch.keep(whole.unionByName(inside), "spans")
 
 
-def _free(spark) -> None:
-    """Lets Spark remove the shuffle files of finished steps, which it does once their plans are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     d = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
