@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from skyloom.functions.cosmology import Cosmology
 from skyloom.operators import mesh as M
@@ -51,9 +53,6 @@ def gaussian_modes(spark: SparkSession, n: int, box: float, power, seed: int = 4
     white = M.fft(cells.select(*M.CELL, (g * (-1.0 if inverted else 1.0)).alias("v")), n)
     k = np.geomspace(1e-4, 10 * math.pi * n / box, 4096)
     table = spark.sparkContext.broadcast((np.log(k), np.log(np.maximum(power(k), 1e-300))))
-    import pandas as pd
-    from pyspark.sql.types import DoubleType
-
     @F.pandas_udf(DoubleType())
     def root_power(x: pd.Series) -> pd.Series:
         lk = np.log(np.maximum(x.to_numpy(), 1e-12))

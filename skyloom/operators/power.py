@@ -29,6 +29,11 @@ def k_edges(n: int, box: float, dk: float | None = None, kmin: float = 0.0, kmax
     return np.arange(kmin, math.pi * n / box + dk / 2 if kmax is None else kmax, dk).tolist()
 
 
+def squared_edges(edges: list[float], box: float) -> list[float]:
+    """Edges in k as squared wavenumbers in units of the fundamental one, lowered by rounding's width."""
+    return [(e * box / (2 * math.pi)) ** 2 * (1 - 1e-12) for e in edges]
+
+
 def _mean(x: Column) -> Column:
     return F.sum(F.col("h") * x) / F.sum("h")
 
@@ -36,11 +41,10 @@ def _mean(x: Column) -> Column:
 def bin_modes(p: DataFrame, n: int, box: float, edges: list[float], mu_edges: list[float] | None = None, poles: tuple[int, ...] = (), los=(0.0, 0.0, 1.0)) -> DataFrame:
     """Averages of modes by k (on k^2, bins [lo, hi)) and mu (last bin closed): k_bin, mu_bin, k, mu, power, modes, pole columns.
 
-    Modes count with their Hermitian weight. Poles are averages over all mu, so they go with mu_edges=None.
+    A mode on an edge is in the bin above it: squared wavenumbers are whole numbers, compared with slightly lowered edges. Modes count with their Hermitian weight. Poles are averages over all mu, so they go with mu_edges=None.
     """
     m = M.with_wavenumbers(p, n, box, los)
-    k2 = F.col("n2") * (2 * math.pi / box) ** 2
-    m = m.withColumn("k_bin", bin_of(k2, [e * e for e in edges])).where((F.col("k_bin") >= 0) & (F.col("k_bin") < len(edges) - 1))
+    m = m.withColumn("k_bin", bin_of(F.col("n2"), squared_edges(edges, box))).where((F.col("k_bin") >= 0) & (F.col("k_bin") < len(edges) - 1))
     keys = ["k_bin"]
     if mu_edges is not None:
         at = F.least(bin_of(F.col("mu"), mu_edges), F.lit(len(mu_edges) - 2))
@@ -80,7 +84,7 @@ def projected_power(mesh: DataFrame, n: int, box: float, dk: float | None = None
         full_bins = np.flatnonzero(tot[0])
         return pd.DataFrame({"k_bin": full_bins, "k": (tot[1] / np.maximum(tot[0], 1))[full_bins], "power": (tot[2] / np.maximum(tot[0], 1))[full_bins], "modes": tot[0][full_bins].astype(np.int64)})
 
-    return plane.groupBy(F.lit(0)).applyInPandas(run, "k_bin int, k double, power double, modes long")
+    return plane.groupBy().applyInPandas(run, "k_bin int, k double, power double, modes long")
 
 
 def correlation(p: DataFrame, n: int, box: float, edges: list[float], mu_edges: list[float] | None = None, poles: tuple[int, ...] = ()) -> DataFrame:
@@ -146,7 +150,7 @@ def survey_poles(data: DataFrame, randoms: DataFrame, n: int, box: float, centre
     norm = sums["randoms_norm"] * volume / volume
     zero = F.col("n2") == 0
     cols = [F.when(zero, 0.0).otherwise((F.col("re") * F.col(f"a{e}") + F.col("im") * F.col(f"b{e}")) / norm).alias(f"p{e}") for e in poles]
-    m = out.select("n2", "k", "h", *cols).withColumn("k_bin", bin_of(F.col("n2") * (2 * math.pi / box) ** 2, [e * e for e in edges]))
+    m = out.select("n2", "k", "h", *cols).withColumn("k_bin", bin_of(F.col("n2"), squared_edges(edges, box)))
     m = m.where((F.col("k_bin") >= 0) & (F.col("k_bin") < len(edges) - 1))
     return m.groupBy("k_bin").agg(_mean(F.col("k")).alias("k"), F.sum("h").cast("long").alias("modes"), *[_mean(F.col(f"p{e}")).alias(f"power_{e}") for e in poles])
 

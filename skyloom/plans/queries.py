@@ -203,7 +203,7 @@ EDGES = power.k_edges(N, BOX)
 
 def bins_sql(power_modes: str, extra: str = "") -> str:
     """Averages by k bins of modes (n2, nz, h, re)."""
-    edge = " + ".join(f"cast(n2 * {K0**2!r} >= {e * e!r} as integer)" for e in EDGES)
+    edge = " + ".join(f"cast(n2 >= {e:.17e} as integer)" for e in power.squared_edges(EDGES, BOX))
     return f"select *, {edge} - 1 as k_bin, case when n2 = 0 then 0 else nz / sqrt(n2) end as mu{extra} from ({power_modes})"
 
 
@@ -282,7 +282,7 @@ def power_interlaced(spark, sf):
     return _power(spark, sf, M.interlace(_field(spark, sf), _field(spark, sf, shift=0.5), N, BOX))
 
 
-@query(mean_sql(bins_sql(auto_sql(CIC_MODES, f"exp(-(nx * nx + ny * ny + nz * nz) * {K0**2 * 100!r})"))))
+@query(mean_sql(bins_sql(auto_sql(CIC_MODES, f"exp(-(nx * nx + ny * ny + nz * nz) * {K0**2 * 100:.17e})"))))
 def filter_gaussian(spark, sf):
     return _power(spark, sf, M.apply_filter(_field(spark, sf), N, BOX, lambda k: sky.gaussian(k, 10.0)))
 
