@@ -81,7 +81,7 @@ def test_transform_and_back(spark, n):
 def test_modes_on_edges_are_in_the_bin_above(spark):
     cells = spark.createDataFrame([(0, 0, 0, 1.0)], "ix int, iy int, iz int, v double")
     p = power.power_modes(M.fft(cells, 8), None, 1.0)
-    assert {r["k_bin"]: r["modes"] for r in power.bin_modes(p, 8, 1.0, power.k_edges(8, 1.0)).collect()}[1] == 18
+    assert {r["k_bin"]: r["modes"] for r in power.bin_modes(p, 8, 1.0, power.k_edges(8, 1.0)).collect()}[1] == 6 + 12 + 8
 
 
 def test_uniform_mock_does_not_depend_on_partitions(spark):
