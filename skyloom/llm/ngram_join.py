@@ -5,8 +5,10 @@ tasks) tells which hashes are far more common than the mean, and the order is (c
 Two sets of similarity t or more share one of their first n - ceil(t n) + 1 shingles in any such
 order, so those are the join keys, and shingles that very many documents share come last.
 
-A candidate pair is verified by fragments: the order is cut into ranges, each set into its segments
-by range, the overlap of a pair is counted for each fragment separately and summed.
+A candidate pair is first held against the sketches of both sets (how many shingles fall in each of
+PROFILE ranges), which bound their overlap; only the documents of pairs that may link are read again.
+Those pairs are verified by fragments: the order is cut into ranges, each set into its segments by
+range, the overlap of a pair is counted for each fragment separately and summed.
 
 Only one document of each set takes part. Groups of near copies would make a square of pairs, so the
 join works by rounds: in each, a document is compared with pivots of the buckets that it shares
@@ -37,7 +39,7 @@ from skyloom.llm.common import Scratch, free_shuffles, packed_texts
 from skyloom.llm.tokens import in_chunks
 from skyloom.operators.graph import components
 
-CELLS, BLOCKS, FRAGMENTS, PROFILE, FULL, PART = 1 << 20, 16, 4, 512, 65535, 6
+CELLS, BLOCKS, FRAGMENTS, PROFILE, FULL, PART, BROADCAST_IDS = 1 << 20, 16, 4, 512, 255, 6, 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,25 +87,35 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (id, n, key), and for each task the blocks of its sketch of shingle counts."""
+    """A row for each document (id, n, key, sketch), and for each task the blocks of its table of shingle counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(CELLS, np.uint32)
-        names = ["id", "n", "key_a", "key_b"]
+        counts, held, size = np.zeros(CELLS, np.uint32), [], 0
+
+        def count(sets: list[np.ndarray]) -> None:
+            cells, n = np.unique(np.concatenate(sets) >> np.uint64(44), return_counts=True)
+            counts[cells.astype(np.int64)] += n.astype(np.uint32)
+
+        names = ["id", "n", "key_a", "key_b", "sketch"]
         for pdf in batches:
             rows = []
             for i, s in zip(pdf["id"].fillna(0) if pdf["id"].hasnans else pdf["id"], shingle_sets([t or "" for t in pdf["text"]], k), strict=True):
-                counts += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32) if len(s) > 20_000 else 0
-                if len(s) <= 20_000:
-                    np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
-                rows.append((i, len(s), *set_key(s)))
+                held.append(s)
+                size += len(s)
+                if size > 1_000_000:
+                    count(held)
+                    held, size = [], 0
+                sketch = np.bincount((s % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).clip(max=FULL).astype(np.uint8)
+                rows.append((i, len(s), *set_key(s), sketch.tobytes()))
             out = pd.DataFrame(rows, columns=names)
             out["id"] = pdf["id"].to_numpy()
             yield out.assign(block=None, counts=None)
+        if held:
+            count(held)
         blocks = counts.reshape(BLOCKS, -1)
-        yield pd.DataFrame({"id": None, "n": None, "key_a": None, "key_b": None, "block": range(BLOCKS), "counts": [b.astype("<u4").tobytes() for b in blocks]})
+        yield pd.DataFrame({"id": None, "n": None, "key_a": None, "key_b": None, "sketch": None, "block": range(BLOCKS), "counts": [b.astype("<u4").tobytes() for b in blocks]})
 
-    return docs.mapInPandas(run, "id long, n long, key_a long, key_b long, block int, counts binary")
+    return docs.mapInPandas(run, "id long, n long, key_a long, key_b long, sketch binary, block int, counts binary")
 
 
 def _commonness(profile: DataFrame) -> np.ndarray:
@@ -157,36 +169,35 @@ def _keys(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, k: int, common) -> DataFrame:
-    """(id, fragment, segment) of the documents asked for; a segment is a binary of sorted hashes.
+    """(id, fragment, segment) of the documents asked for (id, key_a, key_b); a segment is a binary of sorted hashes.
 
-    Fragment -1 is a profile instead: how many shingles fall in each of PROFILE ranges of the hashes' low bits.
+    A few documents are found by a broadcast of their ids; beyond BROADCAST_IDS of them the texts are shuffled, compressed.
     """
-    joined = packed_texts(docs).join(wanted.withColumnRenamed("id", "own"), F.col("id") == F.col("own")).select("id", "z", "key_a", "key_b")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = wanted.withColumnRenamed("id", "own")
+    joined = docs.join(F.broadcast(wanted), F.col("id") == F.col("own")) if few else packed_texts(docs).join(wanted, F.col("id") == F.col("own"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
         for pdf in batches:
-            rows, texts = [], [z.decompress(x).decode("utf-8") for x in pdf["z"]]
+            rows, texts = [], [t or "" for t in pdf["text"]] if few else [z.decompress(x).decode("utf-8") for x in pdf["z"]]
             for i, a, b, s in zip(pdf["id"], pdf["key_a"], pdf["key_b"], shingle_sets(texts, k), strict=True):
                 if set_key(s) != (a, b):
                     continue  # another text of the same id
                 c = common.value[(s >> np.uint64(44)).astype(np.int64)]
                 part = np.where(c > 0, FRAGMENTS - 1, (s >> np.uint64(40)).astype(np.int64) * (FRAGMENTS - 1) >> 24)
                 rows += [(i, f, s[part == f].tobytes()) for f in np.unique(part).tolist()]
-                rows.append((i, -1, np.bincount((s % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).clip(max=FULL).astype(np.uint16).tobytes()))
             yield pd.DataFrame(rows, columns=["id", "fragment", "segment"])
 
-    return joined.mapInPandas(run, "id long, fragment int, segment binary")
+    return joined.select("id", "text" if few else "z", "key_a", "key_b").mapInPandas(run, "id long, fragment int, segment binary")
 
 
 @F.pandas_udf(LongType())
 def _most(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The most that two sets of these profiles can share; without bound if a range is full."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        low = np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))
-        out.append(1 << 40 if low.max() == FULL else int(low.sum(dtype=np.int64)))
-    return pd.Series(out, dtype="int64")
+    """The most that two sets of these sketches can share; without bound if a range is full."""
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, PROFILE) for s in (a, b))
+    low = np.minimum(x, y)
+    return pd.Series(np.where((low == FULL).any(axis=1), 1 << 40, low.sum(axis=1, dtype=np.int64)))
 
 
 @F.pandas_udf(LongType())
@@ -194,20 +205,21 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _both(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    left = pairs.join(segments.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("s_a")), "a")
-    return left.join(segments.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("s_b")), ["b", "fragment"])
-
-
-def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that link: partial overlaps by fragment, summed.
-
-    Pairs whose profiles rule a link out are left out first, so that few whole sets travel.
-    """
+def _verify(pairs: DataFrame, member: DataFrame, docs: DataFrame, k: int, percent: int, common, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that link: partial overlaps by fragment, summed."""
     enough = lambda o: 100 * o >= percent * (F.col("n_a") + F.col("n_b") - o)
-    near = _both(pairs, segments.filter("fragment = -1")).filter(enough(_most("s_a", "s_b"))).select("a", "b", "n_a", "n_b").distinct()
-    parts = _both(near, segments.filter("fragment >= 0")).select("a", "b", "n_a", "n_b", "fragment", _overlap("s_a", "s_b").alias("o")).distinct()
-    return parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o")).filter(enough(F.col("o"))).select("a", "b")
+    sketches = member.filter("id = rep")
+    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("s_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("s_b")), "b")
+    near = scratch.keep(both.filter(enough(_most("s_a", "s_b"))).select("a", "b", "n_a", "n_b"), f"near-{name}")
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = scratch.keep(ids.join(sketches.select("id", "key_a", "key_b"), "id"), f"wanted-{name}")
+    segments = scratch.keep(_segments(docs, wanted, k, common), f"segments-{name}")
+    left = near.join(segments.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("s_a")), "a")
+    parts = left.join(segments.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("s_b")), ["b", "fragment"])
+    parts = parts.select("a", "b", "n_a", "n_b", "fragment", _overlap("s_a", "s_b").alias("o")).distinct()
+    links = scratch.keep(parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o")).filter(enough(F.col("o"))).select("a", "b"), f"links-{name}")
+    scratch.drop(f"near-{name}", f"wanted-{name}", f"segments-{name}")
+    return links
 
 
 def _possible(n_a, n_b, rest_a, rest_b, percent: int):
@@ -247,11 +259,11 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     d = docs.select(F.col("doc_id").alias("id"), "text")
     profile = scratch.keep(_profile(d, k), "profile")
     common = spark.sparkContext.broadcast(_commonness(profile))
-    rows = profile.filter("block is null").select("id", "n", "key_a", "key_b")
+    rows = profile.filter("block is null").select("id", "n", "key_a", "key_b", "sketch")
     known = rows.filter("id is not null and n > 0")
-    one = known.groupBy("id").agg(F.min(F.struct("key_a", "key_b", "n")).alias("k")).select("id", "k.*")
+    one = known.groupBy("id").agg(F.min(F.struct("key_a", "key_b", "n", "sketch")).alias("k")).select("id", "k.*")
     classes = one.groupBy("key_a", "key_b", "n").agg(F.min("id").alias("rep"))
-    member = scratch.keep(one.join(classes, ["key_a", "key_b", "n"]).select("id", "rep", "n", "key_a", "key_b"), "member")
+    member = scratch.keep(one.join(classes, ["key_a", "key_b", "n"]).select("id", "rep", "n", "key_a", "key_b", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "member")
 
     sigs = _keys(d.filter("id is not null"), k, percent, common)
     shared = sigs.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
@@ -261,15 +273,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     buckets = met.join(met.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1"), "sig")
     buckets = scratch.keep(buckets.select("sig", "id", "n", "rest", "m"), "buckets")
     scratch.drop("met")
-    wanted = buckets.select("id").distinct().join(member.filter("id = rep").select("id", "key_a", "key_b"), "id")
-    segments = scratch.keep(_segments(d.filter("id is not null"), wanted, k, common), "segments")
     free_shuffles(spark)
 
     labels = buckets.select("id", F.col("id").alias("label")).distinct()
     links = None
     for r in range(rounds + 1):
         pairs = _pivot_pairs(buckets, labels, r, percent, each) if r < rounds else _open_pairs(buckets, labels, percent)
-        found = scratch.keep(_verify(pairs, segments, percent), f"links{r}")
+        found = _verify(pairs, member, d.filter("id is not null"), k, percent, common, scratch, str(r))
         free_shuffles(spark)
         links = found if links is None else links.unionByName(found)
         joined = scratch.keep(components(links), f"labels{r}")
