@@ -265,10 +265,11 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     classes = one.groupBy("key_a", "key_b", "n").agg(F.min("id").alias("rep"))
     member = scratch.keep(one.join(classes, ["key_a", "key_b", "n"]).select("id", "rep", "n", "key_a", "key_b", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "member")
 
-    sigs = _keys(d.filter("id is not null"), k, percent, common)
+    sigs = scratch.keep(_keys(d.filter("id is not null"), k, percent, common), "sigs")
     shared = sigs.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
     met = sigs.join(shared, "sig").join(member.select("id", "rep", "n"), "id").groupBy("sig", F.col("rep").alias("id"), "n").agg(F.max("rest").alias("rest"))
     met = scratch.keep(met, "met")
+    scratch.drop("sigs")
     free_shuffles(spark)
     buckets = met.join(met.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1"), "sig")
     buckets = scratch.keep(buckets.select("sig", "id", "n", "rest", "m"), "buckets")
