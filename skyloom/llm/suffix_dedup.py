@@ -14,8 +14,9 @@ reports the first place of each of its strings under a 128-bit hash, and a group
 shards settles which of them is first of all.
 
 Defined results: null text is empty; a null doc_id counts as the smallest and comes back null; rows
-that repeat a doc_id are taken as one document, whose windows do not precede each other; extra
-columns are ignored; an empty table gives no rows.
+that repeat a doc_id and text are one document and get the same result; different texts under one
+doc_id are documents of their own, in order of their SHA-256; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -257,8 +258,21 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     return scratch.keep(whole.unionByName(inside), "spans")
 
 
+def _one_row_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, text, own, copies) for each distinct (own, text); id is a number in order of own and the text's SHA-256."""
+    distinct = docs.groupBy(F.col("id").alias("own"), "text").agg(F.count("*").alias("copies"))
+    ordered = distinct.orderBy("own", F.sha2(F.encode("text", "UTF-8"), 256))
+    return scratch.keep(ordered.select(F.monotonically_increasing_id().alias("id"), "text", "own", "copies"), "distinct")
+
+
 def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     d = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = _erase(d, repeated_spans(d, least))
+    if d.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
+        out = _erase(d, repeated_spans(d, least))
+    else:
+        d = _one_row_each(d, Scratch(docs.sparkSession))
+        found = _erase(d, repeated_spans(d, least)).withColumnRenamed("doc_id", "id")
+        rows = d.select("id", "own", "copies").join(found, "id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        out = rows.select(F.col("own").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
