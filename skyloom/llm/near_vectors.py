@@ -1,18 +1,20 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
 A vector is turned by a fixed random rotation and cut into two blocks; each block has a code of
-random unit words. A filter is a pair of code words, and a vector passes it when the two inner
-products add up to the threshold: it then lies in the cap around that direction. The filters passed
-are list-decoded: for each word of one block, those of the other block, in sorted order, that reach
-the rest of the threshold. Vectors are joined on filters and verified in double precision.
+random unit words. A filter is a pair of code words, and a vector passes the MOST filters whose two
+inner products add up to the most, so every vector has filters, whatever its direction and length.
+They are among the pairs of a word ranked i in one block and a word ranked j in the other with
+i * j <= MOST, so only those are added up. Vectors are joined on filters and verified in double
+precision.
 
 Vectors equal in every component are one class with a multiplicity. A filter's members are compared
 in blocks of bounded size, so a common direction is split over tasks; a pair that shares several
 filters is counted at the smallest of them only. Each block reports counts and a spanning forest of
 its links, never the pairs.
 
-With 256 words to a block and threshold 0.385 a vector passes about 52 of 65 536 filters; pairs at a
-cosine of exactly 0.95 are found with probability 0.97, closer pairs with more (see the tests).
+The number of words follows the dimension: the largest for which planted pairs at the least cosine
+share a filter with a probability of TARGET (below 8 components the code is a single block). Closer
+pairs are found with more (see the tests, and the README for the recall measured).
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link
 with nothing; vectors of other lengths are not compared; repeated rows are one vector; a null vec_id
@@ -32,34 +34,58 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import Scratch
 from skyloom.operators.graph import components
 
-WORDS, THRESHOLD, BLOCK = 256, 0.385, 1024
+MOST, TARGET, BLOCK = 52, 0.98, 1024
+SIZES = (256, 192, 128, 96, 64, 48, 32, 24, 16, 12, 8, 4)
 
 
-@lru_cache(maxsize=8)
-def _code(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+@lru_cache(maxsize=64)
+def _words(dim: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Rotation and the two blocks' code words for vectors of one length."""
     rng = np.random.default_rng(dim)
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    cut = max(dim // 2, 1)
-    words = [rng.standard_normal((WORDS, n)) for n in (cut, max(dim - cut, 0))]
+    cut = dim // 2 if dim >= 8 else dim
+    words = [rng.standard_normal((n, m)) for n, m in (((size, cut), (size, dim - cut)) if dim >= 8 else ((size * size, dim), (1, 0)))]
     unit = [w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) / np.sqrt(2) for w in words]
     return turn, unit[0], unit[1], cut
 
 
-def filters_of(unit: np.ndarray) -> list[np.ndarray]:
-    """The sorted filters that each unit vector (a row) passes."""
-    turn, one, two, cut = _code(unit.shape[1])
+def _best(unit: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """The sorted filters of each unit vector (a row): the MOST best, or all where there are fewer."""
+    turn, one, two, cut = code
     z = unit @ turn
-    a, b = z[:, :cut] @ one.T, z[:, cut:] @ two.T
-    order = np.argsort(b, axis=1)
-    out = []
-    for i in range(len(z)):
-        first = np.searchsorted(b[i, order[i]], THRESHOLD - a[i])
-        n = WORDS - first
-        x = np.repeat(np.arange(WORDS), n)
-        y = order[i, np.repeat(first, n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)]
-        out.append(np.sort(x * WORDS + y))
-    return out
+    # Rounded, so that ties fall the same way in batches of any size.
+    a, b = np.round(z[:, :cut] @ one.T, 9), np.round(z[:, cut:] @ two.T, 9)
+    x, y = (np.argsort(-v, axis=1, kind="stable")[:, :MOST] for v in (a, b))
+    i, j = np.nonzero(np.outer(np.arange(1, x.shape[1] + 1), np.arange(1, y.shape[1] + 1)) <= MOST)
+    sums = np.take_along_axis(a, x, 1)[:, i] + np.take_along_axis(b, y, 1)[:, j]
+    top = np.argsort(-np.round(sums, 9), axis=1, kind="stable")[:, :MOST]
+    return np.sort(np.take_along_axis(x, i[top], 1) * len(two) + np.take_along_axis(y, j[top], 1), axis=1)
+
+
+def planted_pairs(dim: int, cosine: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n pairs of random unit vectors at a cosine."""
+    u, v = np.random.default_rng(seed).standard_normal((2, n, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v -= (u * v).sum(axis=1, keepdims=True) * u
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return u, u * cosine + v / np.maximum(norm, 1e-300) * np.sqrt(1 - cosine * cosine) if dim > 1 else u.copy()
+
+
+@lru_cache(maxsize=64)
+def code_of(dim: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The largest code by which planted pairs at the least cosine share a filter with probability TARGET."""
+    u, v = planted_pairs(dim, least, 1000, dim + 1)
+    for size in SIZES[:-1] if dim >= 8 else SIZES[6:-1]:
+        code = _words(dim, size)
+        if np.mean([np.intersect1d(p, q, True).size > 0 for p, q in zip(_best(u, code), _best(v, code), strict=True)]) >= TARGET:
+            return code
+    return _words(dim, SIZES[-1])  # 16 filters, fewer than MOST: every pair is compared
+
+
+def filters_of(unit: np.ndarray, least: float) -> np.ndarray:
+    """The sorted filters that each unit vector (a row) passes."""
+    code = code_of(unit.shape[1], least)
+    return np.concatenate([_best(unit[k : k + 4096], code) for k in range(0, len(unit), 4096)])
 
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
@@ -117,7 +143,7 @@ def _compare(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataF
         if not len(used):
             continue
         near, unit, ids, mult = near[np.ix_(used, used)], unit[used], ids[used], mult[used]
-        lists = filters_of(unit)
+        lists = filters_of(unit, least)
         smaller = [f[f < own] for f in lists]
         seen = np.unique(np.concatenate(smaller))
         has = np.zeros((len(used), len(seen)), np.float32)
@@ -143,10 +169,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
             sizes = pdf["e"].map(len)
             for _, g in pdf.groupby(sizes):
                 vs = [np.asarray(v, np.float32) for v in g["e"]]
-                lists = filters_of(_unit(vs))
-                n = [len(f) for f in lists]
-                if sum(n):
-                    yield pd.DataFrame({"filter": np.concatenate(lists) + (len(vs[0]) << 32), "id": np.repeat(g["rep"].to_numpy(), n), "mult": np.repeat(g["mult"].to_numpy(), n), "vector": np.repeat(np.array([v.tobytes() for v in vs], object), n)})
+                lists = filters_of(_unit(vs), least)
+                n = lists.shape[1]
+                yield pd.DataFrame({"filter": lists.ravel() + (len(vs[0]) << 32), "id": np.repeat(g["rep"].to_numpy(), n), "mult": np.repeat(g["mult"].to_numpy(), n), "vector": np.repeat(np.array([v.tobytes() for v in vs], object), n)})
 
     passed = classes.mapInPandas(decode, "filter long, id long, mult long, vector binary")
     sizes = passed.groupBy("filter").agg(F.count("*").alias("members")).filter("members > 1")
