@@ -4,9 +4,12 @@ The model predicts bytes from the four before them. Tasks count 5-grams of the t
 send a sum for each; everything else is joins of count tables on n-grams: lower orders count the
 distinct bytes to the left, each order has its three discounts (for counts 1, 2 and 3 or more),
 contexts have their totals, and the probabilities of an order are joined with those of the order
-below. The tables are cut into shards by the byte before the predicted one, each of at most
-SHARD_ROWS n-grams where a byte allows; the documents are scored against one shard at a time, and the
-parts are summed for each document. A document is kept if its perplexity is at most the
+below. A task counts the n-grams of each document of a block of texts and sends a row for each n-gram
+of the block, with the documents that hold it. The documents' distinct n-grams are joined with
+the tables of probabilities and back-off weights, order by order, the blocks' rows with the log
+probabilities, and these are summed for each document: no task and not the driver holds the
+model. (Only orders 1 and 2, at most 65 536 n-grams, are broadcast.) A document is kept if its
+perplexity is at most the
 HIGH quantile of its language's trusted documents that the model was not trained on.
 
 Defined results: null and empty texts have a null perplexity and are not kept; a null lang is a
@@ -16,6 +19,7 @@ rows; a null doc_id is scored like any other; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Scratch, text_or_empty
+from skyloom.llm.common import Scratch, free_shuffles, text_or_empty
 from skyloom.llm.suffix_dedup import _chunks
 
-ORDER, SHARD_ROWS = 5, 4_000_000
+ORDER, BLOCK_BYTES, BLOCK_ROWS = 5, 8 << 20, 1 << 16
 HIGH = 0.998
 _PAD = b"\n" * (ORDER - 1)
 
@@ -85,87 +89,90 @@ def build_model(trusted: DataFrame, scratch: Scratch) -> DataFrame:
         below = scratch.keep(p, f"p{k}")
         rows = below.select(F.lit("p").alias("kind"), F.lit(k).alias("k"), "g", F.log("p").alias("v")).unionByName(contexts.select(F.lit("b").alias("kind"), F.lit(k).alias("k"), F.col("h").alias("g"), F.log(F.col("left") / F.col("total")).alias("v")))
         out = rows if out is None else out.unionByName(rows)
-    # The byte before the predicted one; the tables of order 1 are in every shard.
-    byte = F.when(F.col("k") == 1, -1).when(F.col("kind") == "p", F.shiftright("g", 8).bitwiseAND(255)).otherwise(F.col("g").bitwiseAND(255))
-    return scratch.keep(out.withColumn("byte", byte.cast("int")), "model")
-
-
-class Shard:
-    """Sorted tables of one shard."""
-
-    def __init__(self, rows: pd.DataFrame, bytes_: np.ndarray):
-        self.bytes = np.zeros(256, bool)
-        self.bytes[bytes_] = True
-        self.tables = {}
-        for (kind, k), part in rows.groupby(["kind", "k"]):
-            part = part.sort_values("g")
-            self.tables[kind, k] = (part["g"].to_numpy(np.int64), part["v"].to_numpy(np.float64))
-
-    def _find(self, kind: str, k: int, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, v = self.tables.get((kind, k), (np.zeros(0, np.int64), np.zeros(0)))
-        if not len(keys):
-            return np.zeros(len(g), bool), np.zeros(len(g))
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        return keys[at] == g, v[at]
-
-    def log_p(self, g: np.ndarray) -> np.ndarray:
-        """Log probabilities of n-grams of the highest order; 0 for those of other shards."""
-        out = np.full(len(g), -np.log(256.0))
-        for k in range(1, ORDER + 1):
-            known, back = self._find("b", k, g >> 8 & ((1 << 8 * (k - 1)) - 1))
-            seen, p = self._find("p", k, g & ((1 << 8 * k) - 1))
-            out = np.where(seen, p, out + np.where(known, back, 0.0))
-        return np.where(self.bytes[g >> 8 & 255], out, 0.0)
-
-
-def shards(model: DataFrame, most: int = SHARD_ROWS) -> Iterator[Shard]:
-    """The model by groups of preceding bytes, read one at a time."""
-    sizes = [(r["byte"], r["n"]) for r in model.filter("byte >= 0").groupBy("byte").agg(F.count("*").alias("n")).orderBy("byte").collect()]
-    groups, total = [[]], 0
-    for b, n in sizes:
-        if groups[-1] and total + n > most:
-            groups.append([])
-            total = 0
-        groups[-1].append(b)
-        total += n
-    missing = sorted(set(range(256)) - {b for b, _ in sizes})
-    for i, own in enumerate(groups):
-        rows = model.filter(F.col("byte").isin([-1, *own])).select("kind", "k", "g", "v").toPandas()
-        yield Shard(rows, np.array(own + (missing if i == 0 else []), int))
-
-
-def _score(docs: DataFrame, shard) -> DataFrame:
+    return scratch.keep(out, "model")
+
+
+def _block_grams(docs: DataFrame) -> DataFrame:
+    """(g, block, held): the n-grams of a block of consecutive rows; held has the step from one occurrence's row to the next one's, in bytes (255: the step goes on)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            data = [t.encode("utf-8", "replace") for t in pdf["text"]]
-            total = np.zeros(len(data))
-            for a, b in _chunks(list(map(len, data))):
-                g, start = grams(data[a:b])
-                if not len(g):
-                    continue
-                distinct, at = np.unique(g, return_inverse=True)
-                sums = np.concatenate([[0.0], np.cumsum(shard.value.log_p(distinct)[at])])
-                total[a:b] = np.diff(np.append(sums[start], sums[-1]))
-            yield pd.DataFrame({"row": pdf["row"], "log_p": total})
-
-    return docs.mapInPandas(run, "row long, log_p double")
+            data, row = [t.encode("utf-8", "replace") for t in pdf["text"]], pdf["row"].to_numpy(np.int64)
+            for x, y in _chunks(list(map(len, data)), BLOCK_BYTES):
+                for a in range(x, y, BLOCK_ROWS):
+                    part = data[a : min(a + BLOCK_ROWS, y)]
+                    g = grams(part)[0]
+                    if not len(g):
+                        continue
+                    key = np.sort(g << 16 | np.repeat(row[a : a + len(part)] - row[a], list(map(len, part))))
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] >> 16 != key[:-1] >> 16]))
+                    step = np.diff(key & 65535, prepend=0)
+                    step[first] = key[first] & 65535
+                    ends = np.cumsum(step // 255 + 1)
+                    out = np.full(int(ends[-1]), 255, np.uint8)
+                    out[ends - 1] = step % 255
+                    raw, at = out.tobytes(), [0, *ends[np.append(first[1:], len(key)) - 1].tolist()]
+                    yield pd.DataFrame({"g": key[first] >> 16, "block": row[a], "held": [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]})
+
+    return docs.mapInPandas(run, "g long, block long, held binary")
+
+
+def log_p(distinct: DataFrame, model: DataFrame) -> DataFrame:
+    """(g, v): the log probability of each n-gram of the highest order."""
+    out = distinct.select("g", F.lit(-math.log(256.0)).alias("v"))
+    for k in range(1, ORDER + 1):
+        p, b = (model.filter((F.col("kind") == kind) & (F.col("k") == k)).select(F.col("g").alias(f"{kind}_g"), F.col("v").alias(f"{kind}_v")) for kind in "pb")
+        if k <= 2:
+            p, b = F.broadcast(p), F.broadcast(b)
+        out = out.join(b, F.shiftright("g", 8).bitwiseAND((1 << 8 * (k - 1)) - 1) == F.col("b_g"), "left")
+        out = out.join(p, F.col("g").bitwiseAND((1 << 8 * k) - 1) == F.col("p_g"), "left")
+        out = out.select("g", F.coalesce("p_v", F.col("v") + F.coalesce("b_v", F.lit(0.0))).alias("v"))
+    return out
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial sums of log probabilities for each row."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        h = np.frombuffer(b"".join(pdf["held"]), np.uint8)
+        n = pdf["held"].map(len).to_numpy()
+        total = np.cumsum(h, dtype=np.int64)
+        before = np.concatenate([[0], total[np.cumsum(n)[:-1] - 1]])
+        own, ends = np.repeat(np.arange(len(n)), n), h < 255
+        own, place = own[ends], (total - before[own])[ends]
+        block, of = np.unique(pdf["block"].to_numpy(np.int64), return_inverse=True)
+        span = int(place.max()) + 1
+        cell = of[own] * span + place
+        distinct = np.arange(len(block) * span)
+        if len(distinct) > 8_000_000:
+            distinct, cell = np.unique(cell, return_inverse=True)
+        sums = np.bincount(cell, pdf["v"].to_numpy()[own], len(distinct))
+        used = np.flatnonzero(sums)
+        held.append(pd.DataFrame({"row": block[distinct[used] // span] + distinct[used] % span, "log_p": sums[used]}))
+        if sum(map(len, held)) > 1_000_000:
+            held = [pd.concat(held).groupby("row", as_index=False)["log_p"].sum()]
+            if len(held[0]) > 500_000:
+                yield held.pop()
+    if held:
+        yield pd.concat(held).groupby("row", as_index=False)["log_p"].sum()
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, high (the language's bound), kept for each row."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("own")).distinct()
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     d = docs.select("doc_id", text_or_empty().alias("text"), "lang")
     model = build_model(d.join(good, F.col("doc_id") == F.col("own"), "left_semi").filter(~held_out).select("text"), scratch)
-    # One row for each document and shard, summed; a row is named by its place in the scan.
+    # A row is named by its place in the scan; rows of a batch follow each other.
     rows = d.withColumn("row", F.monotonically_increasing_id())
     names = scratch.keep(rows.select("row", "doc_id", "lang", F.octet_length("text").alias("n")), "names")
-    parts = None
-    for i, shard in enumerate(shards(model)):
-        part = scratch.keep(_score(rows.select("row", "text"), spark.sparkContext.broadcast(shard)), f"part{i}")
-        parts = part if parts is None else parts.unionByName(part)
-    scored = names.join(parts.groupBy("row").agg(F.sum("log_p").alias("log_p")), "row")
+    values = scratch.keep(log_p(scratch.keep(_count(d.select("text")).select("g"), "distinct"), model), "values")
+    free_shuffles(docs.sparkSession)
+    parts = _block_grams(rows.select("row", "text")).join(values, "g").select("block", "held", "v").mapInPandas(_sums, "row long, log_p double")
+    scored = names.join(parts.groupBy("row").agg(F.sum("log_p").alias("log_p")), "row", "left")
     scored = scratch.keep(scored.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity")), "scored")
     trusted = scored.join(good, F.col("doc_id") == F.col("own"), "left_semi").filter(held_out & F.col("perplexity").isNotNull())
     bounds = trusted.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", F.lit(HIGH), F.lit(100_000)).alias("high"))
