@@ -12,16 +12,23 @@ from pyspark.sql import functions as F
 
 from skyloom.plans.scratch import Scratch
 
-__all__ = ["NULL_ID", "Scratch", "free_shuffles", "packed_texts", "text_or_empty"]
+__all__ = ["KEY", "NULL_ID", "Scratch", "free_shuffles", "packed_texts", "row_key", "text_or_empty"]
 
 #: Stands for a null doc_id inside operators that key rows by it.
 NULL_ID = -(2**63)
+#: Name of a column of row keys beside the documents' own columns.
+KEY = "skyloom row key"
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_key() -> Column:
+    """doc_id; a row without one is named by its text, with a number above 2^62."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.xxhash64(text_or_empty()).bitwiseAND(2**61 - 1))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps, which it does once their plans are collected."""
     gc.collect()

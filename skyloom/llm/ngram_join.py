@@ -10,16 +10,18 @@ PROFILE ranges), which bound their overlap; only the documents of pairs that may
 Those pairs are verified by fragments: the order is cut into ranges, each set into its segments by
 range, the overlap of a pair is counted for each fragment separately and summed.
 
-Only one document of each set takes part. Groups of near copies would make a square of pairs, so the
-join works by rounds: in each, a document is compared with pivots of the buckets that it shares
-(a few, those with most buckets in common) unless both are connected already. In the end
-every pair of a bucket whose documents are still in different components is compared, so no
-connection is lost, while dense groups have become one component before that.
+Equal sets are one class, numbered in a written table, and classes take part, not documents. Groups of
+near copies would make a square of pairs, so the join works by rounds: in each, a class is compared
+with pivots of the buckets that it shares (a few, those with most buckets in common) unless both
+are connected already. The pivot of a bucket is its most central class, that whose keys the
+most others share: an original rather than one of its copies. In the end every pair of a bucket whose
+classes are still in different components is compared, so no connection is lost, while dense
+groups have become one component before that; pairs within a component are not made (see _open_pairs).
 
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing; texts of
-the same set are linked; a null doc_id is linked with nothing and gets a null component; if one
-doc_id has several texts, the one of the smallest set key stands for it and all its rows get its
-component; extra columns are ignored.
+the same set are linked; a null doc_id is linked with nothing and gets a null component; rows of one
+doc_id are one document, linked with all that any of its texts is linked with (n_shingles is that of
+the row's own text); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,22 +37,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from skyloom.llm.common import Scratch, free_shuffles, packed_texts
+from skyloom.llm.common import KEY, Scratch, free_shuffles, packed_texts, row_key
 from skyloom.llm.tokens import in_chunks
 from skyloom.operators.graph import components
 
-CELLS, BLOCKS, FRAGMENTS, PROFILE, FULL, PART, BROADCAST_IDS = 1 << 20, 16, 4, 512, 255, 6, 100_000
+CELLS, BLOCKS, FRAGMENTS, PROFILE, FULL, PART, BROADCAST_IDS, HELD_WORDS = 1 << 20, 16, 4, 512, 255, 6, 100_000, 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
+    """Hashes of the words of a task; it starts anew at HELD_WORDS, so that workers stay small."""
+
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_HASHES = _Hashes()
-
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,14 +60,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], k: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str], k: int = 5, hashes: _Hashes | None = None) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; words are split at ASCII white space, A-Z lower-cased."""
+    hashes = hashes if hashes is not None else _Hashes()
     for a, b in in_chunks(texts):
-        if len(_HASHES) > 900_000:
-            _HASHES.clear()
+        if len(hashes) > HELD_WORDS:
+            hashes.clear()
         split = [t.encode("utf-8", "replace").lower().split() for t in texts[a:b]]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+        flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
         run = np.zeros(max(len(flat) - k + 1, 0), np.uint64)
         for j in range(k):
             run = run * _P + flat[j : len(flat) - k + 1 + j]
@@ -90,7 +93,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document (id, n, key, sketch), and for each task the blocks of its table of shingle counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, held, size = np.zeros(CELLS, np.uint32), [], 0
+        counts, held, size, hashes = np.zeros(CELLS, np.uint32), [], 0, _Hashes()
 
         def count(sets: list[np.ndarray]) -> None:
             cells, n = np.unique(np.concatenate(sets) >> np.uint64(44), return_counts=True)
@@ -99,7 +102,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
         names = ["id", "n", "key_a", "key_b", "sketch"]
         for pdf in batches:
             rows = []
-            for i, s in zip(pdf["id"].fillna(0) if pdf["id"].hasnans else pdf["id"], shingle_sets([t or "" for t in pdf["text"]], k), strict=True):
+            for i, s in zip(pdf["id"].fillna(0) if pdf["id"].hasnans else pdf["id"], shingle_sets([t or "" for t in pdf["text"]], k, hashes), strict=True):
                 held.append(s)
                 size += len(s)
                 if size > 1_000_000:
@@ -151,37 +154,39 @@ def in_order(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
-    """(sig, id, rest): the first shingles of each set in the global order, and how many the set has from there on."""
+    """(sig, key_a, n, rest): the first shingles of each set in the global order, and how many the set has from there on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
         for pdf in batches:
-            sigs, sizes, rest = [], [], []
-            for s in shingle_sets([t or "" for t in pdf["text"]], k):
+            sigs, sizes, rest, key = [], [], [], []
+            for s in shingle_sets([t or "" for t in pdf["text"]], k, hashes):
                 n = len(s)
+                key.append((set_key(s)[0], n))
                 own = in_order(s, common.value)[: n - -(-percent * n // 100) + 1 if n else 0]
                 sigs.append(own)
                 sizes.append(len(own))
                 rest.append(n - np.arange(len(own)))
             if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "id": np.repeat(pdf["id"].to_numpy(np.int64), sizes), "rest": np.concatenate(rest)})
+                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "key_a": np.repeat(np.array([a for a, _ in key], np.int64), sizes), "n": np.repeat([n for _, n in key], sizes), "rest": np.concatenate(rest)})
 
-    return docs.mapInPandas(run, "sig long, id long, rest int")
+    return docs.select("text").mapInPandas(run, "sig long, key_a long, n int, rest int")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, k: int, common) -> DataFrame:
-    """(id, fragment, segment) of the documents asked for (id, key_a, key_b); a segment is a binary of sorted hashes.
+    """(id, fragment, segment) of the classes asked for (id, rep, key_a, key_b); a segment is a binary of sorted hashes.
 
-    A few documents are found by a broadcast of their ids; beyond BROADCAST_IDS of them the texts are shuffled, compressed.
+    A class is read from the text of its document rep. A few documents are found by a broadcast of their ids; beyond BROADCAST_IDS of them the texts are shuffled, compressed.
     """
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = wanted.withColumnRenamed("id", "own")
-    joined = docs.join(F.broadcast(wanted), F.col("id") == F.col("own")) if few else packed_texts(docs).join(wanted, F.col("id") == F.col("own"))
+    wanted = wanted.withColumnRenamed("id", "node")
+    joined = docs.join(F.broadcast(wanted), F.col("id") == F.col("rep")) if few else packed_texts(docs).join(wanted, F.col("id") == F.col("rep"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdDecompressor()
+        z, hashes = zstandard.ZstdDecompressor(), _Hashes()
         for pdf in batches:
             rows, texts = [], [t or "" for t in pdf["text"]] if few else [z.decompress(x).decode("utf-8") for x in pdf["z"]]
-            for i, a, b, s in zip(pdf["id"], pdf["key_a"], pdf["key_b"], shingle_sets(texts, k), strict=True):
+            for i, a, b, s in zip(pdf["node"], pdf["key_a"], pdf["key_b"], shingle_sets(texts, k, hashes), strict=True):
                 if set_key(s) != (a, b):
                     continue  # another text of the same id
                 c = common.value[(s >> np.uint64(44)).astype(np.int64)]
@@ -189,7 +194,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, k: int, common) -> DataFrame:
                 rows += [(i, f, s[part == f].tobytes()) for f in np.unique(part).tolist()]
             yield pd.DataFrame(rows, columns=["id", "fragment", "segment"])
 
-    return joined.select("id", "text" if few else "z", "key_a", "key_b").mapInPandas(run, "id long, fragment int, segment binary")
+    return joined.select("node", "text" if few else "z", "key_a", "key_b").mapInPandas(run, "id long, fragment int, segment binary")
 
 
 @F.pandas_udf(LongType())
@@ -205,14 +210,13 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _verify(pairs: DataFrame, member: DataFrame, docs: DataFrame, k: int, percent: int, common, scratch: Scratch, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, common, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that link: partial overlaps by fragment, summed."""
     enough = lambda o: 100 * o >= percent * (F.col("n_a") + F.col("n_b") - o)
-    sketches = member.filter("id = rep")
-    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("s_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("s_b")), "b")
+    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("sketch").alias("s_a")), "a").join(classes.select(F.col("id").alias("b"), F.col("sketch").alias("s_b")), "b")
     near = scratch.keep(both.filter(enough(_most("s_a", "s_b"))).select("a", "b", "n_a", "n_b"), f"near-{name}")
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = scratch.keep(ids.join(sketches.select("id", "key_a", "key_b"), "id"), f"wanted-{name}")
+    wanted = scratch.keep(ids.join(classes.select("id", "rep", "key_a", "key_b"), "id"), f"wanted-{name}")
     segments = scratch.keep(_segments(docs, wanted, k, common), f"segments-{name}")
     left = near.join(segments.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("s_a")), "a")
     parts = left.join(segments.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("s_b")), ["b", "fragment"])
@@ -228,13 +232,14 @@ def _possible(n_a, n_b, rest_a, rest_b, percent: int):
 
 
 def _pivot_pairs(buckets: DataFrame, labels: DataFrame, salt: int, percent: int, each: int) -> DataFrame:
-    """For each document at most `each` pivots of its buckets, those that most of its buckets name.
+    """For each class at most `each` pivots of its buckets, those that most of its buckets name.
 
-    A bucket is cut at random into parts of about PART documents, and each part has a pivot of its own.
+    In the first round a bucket has one pivot, the most central of its classes; later it is cut at random
+    into parts of about PART classes, and each part has a pivot of its own.
     """
-    part = F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col("m") / PART))
+    part = F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col("m") / PART)) if salt else F.lit(0).cast("long")
     at = buckets.join(labels, "id").withColumn("part", part)
-    pivots = at.groupBy("sig", "part").agg(F.min_by(F.struct("id", "n", "rest", "label"), F.struct(F.xxhash64("id", F.lit(~salt)), "id")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    pivots = at.groupBy("sig", "part").agg(F.max_by(F.struct("id", "n", "rest", "label"), F.struct("weight", "id")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     met = at.join(pivots, ["sig", "part"]).filter("label <> p.label")
     met = met.filter(_possible(F.col("n"), F.col("p.n"), F.col("rest"), F.col("p.rest"), percent)).groupBy("id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")).agg(F.count("*").alias("c"))
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "pivot"))).filter(F.col("r") <= each)
@@ -243,14 +248,21 @@ def _pivot_pairs(buckets: DataFrame, labels: DataFrame, salt: int, percent: int,
 
 
 def _open_pairs(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket that are not connected yet and whose sizes allow a link."""
-    at = buckets.join(labels, "id")
-    still = at.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    at = at.join(still, "sig")
-    x = at.select("sig", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("r_a"), F.col("label").alias("l_a"))
-    y = at.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("r_b"), F.col("label").alias("l_b"))
-    sizes = _possible(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"), percent)
-    return x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & sizes).select("a", "b", "n_a", "n_b").distinct()
+    """All pairs of a bucket that are not connected yet and whose sizes allow a link.
+
+    Of each open bucket, the classes outside its commonest component meet all of the bucket: of m classes
+    with t in that component at most m (m - t) meetings, twice the pairs that are not connected.
+    """
+    at = buckets.join(labels, "id").select("sig", "id", "n", "rest", "label")
+    parts = at.groupBy("sig", "label").agg(F.count("*").alias("c"))
+    common = parts.groupBy("sig").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("sig", "top")
+    at = at.join(common, "sig")
+    x = at.filter("label <> top").select("sig", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("r_a"), F.col("label").alias("l_a"))
+    y = at.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("r_b"), F.col("label").alias("l_b"), "top")
+    once = (F.col("a") < F.col("b")) | (F.col("l_b") == F.col("top"))
+    p = x.join(y, "sig").filter((F.col("l_a") != F.col("l_b")) & once & _possible(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"), percent))
+    low = F.col("a") < F.col("b")
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(low, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, each: int = 3) -> DataFrame:
@@ -259,20 +271,22 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     d = docs.select(F.col("doc_id").alias("id"), "text")
     profile = scratch.keep(_profile(d, k), "profile")
     common = spark.sparkContext.broadcast(_commonness(profile))
-    rows = profile.filter("block is null").select("id", "n", "key_a", "key_b", "sketch")
-    known = rows.filter("id is not null and n > 0")
-    one = known.groupBy("id").agg(F.min(F.struct("key_a", "key_b", "n", "sketch")).alias("k")).select("id", "k.*")
-    classes = one.groupBy("key_a", "key_b", "n").agg(F.min("id").alias("rep"))
-    member = scratch.keep(one.join(classes, ["key_a", "key_b", "n"]).select("id", "rep", "n", "key_a", "key_b", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "member")
+    rows = profile.filter("block is null").select("id", "n", "key_a", "key_b")
+    # A class is a set of shingles; its number is written with it.
+    known = profile.filter("id is not null and n > 0").groupBy("key_a", "key_b", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = scratch.keep(known.select(F.monotonically_increasing_id().alias("id"), "rep", F.col("n").cast("int").alias("n"), "key_a", "key_b", "sketch"), "classes")
+    numbers = classes.select("key_a", "n", "id")
 
     sigs = scratch.keep(_keys(d.filter("id is not null"), k, percent, common), "sigs")
     shared = sigs.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
-    met = sigs.join(shared, "sig").join(member.select("id", "rep", "n"), "id").groupBy("sig", F.col("rep").alias("id"), "n").agg(F.max("rest").alias("rest"))
+    met = sigs.join(shared, "sig").join(numbers, ["key_a", "n"]).groupBy("sig", "id", "n").agg(F.max("rest").alias("rest"))
     met = scratch.keep(met, "met")
     scratch.drop("sigs")
     free_shuffles(spark)
-    buckets = met.join(met.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1"), "sig")
-    buckets = scratch.keep(buckets.select("sig", "id", "n", "rest", "m"), "buckets")
+    met = met.join(met.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1"), "sig")
+    # How many meetings a class has in all its buckets tells how central it is.
+    weights = met.groupBy("id").agg(F.sum("m").alias("weight"))
+    buckets = scratch.keep(met.join(weights, "id").select("sig", "id", "n", "rest", "m", "weight"), "buckets")
     scratch.drop("met")
     free_shuffles(spark)
 
@@ -280,18 +294,39 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     links = None
     for r in range(rounds + 1):
         pairs = _pivot_pairs(buckets, labels, r, percent, each) if r < rounds else _open_pairs(buckets, labels, percent)
-        found = _verify(pairs, member, d.filter("id is not null"), k, percent, common, scratch, str(r))
+        found = _verify(pairs, classes, d.filter("id is not null"), k, percent, common, scratch, str(r))
         free_shuffles(spark)
         links = found if links is None else links.unionByName(found)
-        joined = scratch.keep(components(links), f"labels{r}")
-        labels = buckets.select("id").distinct().join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    of = member.select("id", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
-    out = rows.join(of, "id", "left")
+        if r < rounds:
+            joined = scratch.keep(components(links), f"labels{r}")
+            labels = buckets.select("id").distinct().join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    # The texts of one doc_id belong together, too.
+    owned = scratch.keep(rows.filter("id is not null and n > 0").join(classes.select("key_a", "key_b", F.col("n").cast("long").alias("n"), F.col("id").alias("class")), ["key_a", "key_b", "n"]).select("id", "class").distinct(), "owned")
+    several = owned.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("id", "a")
+    links = links.unionByName(owned.join(several, "id").select("a", F.col("class").alias("b")).filter("a <> b"))
+    of = owned.join(components(links), F.col("class") == F.col("node"), "left").select("id", F.coalesce("label", "class").alias("label"))
+    of = of.groupBy("id").agg(F.min("label").alias("label"))
+    least = of.groupBy("label").agg(F.min("id").alias("component_id"))
+    out = rows.join(of.join(least, "label").select("id", "component_id"), "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component; rows without an id or shingles stay."""
-    found = ngram_components(docs, k, percent)
-    gone = Scratch(docs.sparkSession).keep(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component: that of the smallest doc_id (of rows that repeat it any one); rows without shingles stay.
+
+    A row without an id is named by its text, after all ids.
+    """
+    scratch = Scratch(docs.sparkSession)
+    d = docs.select(row_key().alias("doc_id"), "text")
+    found = scratch.keep(ngram_components(d, k, percent), "found")
+    some = found.filter("n_shingles > 0")
+    gone = scratch.keep(some.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    again = scratch.keep(some.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").join(gone, "doc_id", "left_anti").select("doc_id"), "again")
+    keyed = docs.withColumn(KEY, row_key()).join(gone.withColumnRenamed("doc_id", KEY), KEY, "left_anti")
+    again = again.withColumnRenamed("doc_id", KEY)
+    # Only rows whose key repeats are compared with each other.
+    one = keyed.join(again, KEY, "left_anti").select(docs.columns)
+    several = keyed.join(again, KEY, "left_semi")
+    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]", " ")) == ""
+    kept = several.filter(~blank).dropDuplicates([KEY]).unionByName(several.filter(blank))
+    return one.unionByName(kept.select(docs.columns))
