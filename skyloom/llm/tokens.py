@@ -46,7 +46,7 @@ class WordEncoder:
     tokenizer. The table starts anew when it holds `most` words, so memory stays bounded.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -122,7 +122,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process, so that later tasks reuse its words."""
+    """One encoder for each worker process; its words are bounded, so that an idle worker stays small."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
