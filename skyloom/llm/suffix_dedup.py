@@ -9,7 +9,7 @@ anchor that differ go to a shard as snippets (the piece and the bytes that its l
 
 A shard sorts its suffixes by induced sorting and finds the common prefixes of neighbours; a run of
 neighbours that agree on `least` bytes holds the places of one string, and all but the first repeat
-it. Anchors with very many classes are salted over shards of bounded size; each such shard then
+it. Anchors with very many classes are salted over shards of bounded size; each such shard
 reports the first place of each of its strings under a 128-bit hash, and a grouped minimum over the
 shards settles which of them is first of all.
 
@@ -35,7 +35,7 @@ from skyloom.llm.common import NULL_ID, Scratch, free_shuffles, packed_texts
 from skyloom.llm.ngram_join import _mix
 from skyloom.llm.suffix_array import common_prefixes, suffix_array
 
-GRAM, SHARD_BYTES, CLASSES = 40, 2_000_000, 2000
+GRAM, SHARD_BYTES, CLASSES, WIDE = 40, 2_000_000, 2000, 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -115,7 +115,7 @@ def _pieces(docs: DataFrame, least: int) -> DataFrame:
                 base = np.array([parts[x + d][1] for d in range(y - x)], np.int64)
                 ends = start + n + least - 1
                 c = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)), np.uint64, len(start))
-                yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "id": ids[own[doc]], "pos": (start - bounds[doc] + base[doc]) * 128 + n})
+                yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "id": ids[own[doc]], "pos": (start - bounds[doc] + base[doc] << WIDE) + n})
 
     return docs.mapInPandas(run, "h long, c long, id long, pos long")
 
@@ -133,7 +133,7 @@ def _snippets(docs: DataFrame, need: DataFrame, least: int) -> DataFrame:
             if flat is None:
                 continue
             cut, at = [], 0
-            start, n = flat["pos"] >> 7, flat["pos"] & 127
+            start, n = flat["pos"] >> WIDE, flat["pos"] & (1 << WIDE) - 1
             a, b = start.tolist(), (start + n + least - 1).tolist()
             for packed, m in zip(pdf["z"], sizes, strict=True):
                 data = z.decompress(packed)
@@ -235,17 +235,22 @@ def _erase(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     """(id, a, b): byte ranges to remove, which may overlap. docs has id and text, without nulls."""
+    if not GRAM <= least < GRAM + (1 << WIDE):
+        raise ValueError(f"strings of {GRAM} bytes or more are looked for, not of {least}")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    pieces = _pieces(docs, least)
-    shared = pieces.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    pieces = scratch.keep(_pieces(docs, least), "pieces")
+    # The anchors that occur again are written, so that both sides of the join are plain shuffles, which a hot anchor can be split in.
+    shared = scratch.keep(pieces.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "shared")
+    free_shuffles(spark)
     places = scratch.keep(pieces.join(shared, "h"), "places")
+    scratch.drop("pieces", "shared")
     free_shuffles(spark)
     first = F.min(F.struct("id", "pos"))
     classes = scratch.keep(places.groupBy("h", "c").agg(first.alias("f"), F.count("*").alias("m")), "classes")
     later = places.join(classes.filter("m > 1").select("h", "c", "f"), ["h", "c"]).filter((F.col("id") != F.col("f.id")) | (F.col("pos") != F.col("f.pos")))
-    start, n = F.shiftright("pos", 7), F.col("pos").bitwiseAND(127)
+    start, n = F.shiftright("pos", WIDE), F.col("pos").bitwiseAND((1 << WIDE) - 1)
     whole = later.select("id", start.alias("a"), (start + n + (least - 1)).alias("b"))
-    many = classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    many = scratch.keep(classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "many")
     salts = F.ceil(F.col("k") / CLASSES)
     need = classes.join(many, "h").select(F.col("f.id").alias("id"), "h", F.pmod("c", salts).cast("int").alias("salt"), (F.col("k") > CLASSES).alias("hot"), F.col("f.pos").alias("pos"))
     snippets = _snippets(docs, need, least).repartition("h", "salt").sortWithinPartitions("h", "salt")
@@ -255,7 +260,10 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     best = firsts.groupBy("w1", "w2").agg(F.min(F.struct("id", "a")).alias("f"), F.count("*").alias("m")).filter("m > 1")
     across = firsts.join(best, ["w1", "w2"]).filter((F.col("id") != F.col("f.id")) | (F.col("a") != F.col("f.a"))).select("id", "a", "b")
     inside = found.filter("w1 is null").select("id", "a", "b").unionByName(across).select("id", "a", (F.col("b") + (least - 1)).alias("b"))
-    return scratch.keep(whole.unionByName(inside), "spans")
+    spans = scratch.keep(whole.unionByName(inside), "spans")
+    scratch.drop("places", "classes", "many", "found")
+    free_shuffles(spark)
+    return spans
 
 
 def _one_row_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
