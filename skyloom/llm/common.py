@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyloom.plans.scratch import Scratch
 
-__all__ = ["KEY", "NULL_ID", "Scratch", "free_shuffles", "packed_texts", "row_key", "text_or_empty"]
+__all__ = ["KEY", "NULL_ID", "Scratch", "free_shuffles", "packed_texts", "row_key", "stable_rows", "text_or_empty"]
 
 #: Stands for a null doc_id inside operators that key rows by it.
 NULL_ID = -(2**63)
@@ -35,6 +35,13 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def stable_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The table, written first unless it is a scan with filters and columns, whose rows come in the same order each time."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" +-:").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()]
+    return docs if all(n in ("Project", "Filter", "Relation", "LocalRelation", "LogicalRDD") for n in nodes) else scratch.keep(docs, "rows")
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
     """(id, z): texts compressed for a shuffle."""
 

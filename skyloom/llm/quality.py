@@ -1,181 +1,274 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
-
-The model predicts bytes from the four before them. Tasks count 5-grams of the trusted documents and
-send a sum for each; everything else is joins of count tables on n-grams: lower orders count the
-distinct bytes to the left, each order has its three discounts (for counts 1, 2 and 3 or more),
-contexts have their totals, and the probabilities of an order are joined with those of the order
-below. A task counts the n-grams of each document of a block of texts and sends a row for each n-gram
-of the block, with the documents that hold it. The documents' distinct n-grams are joined with
-the tables of probabilities and back-off weights, order by order, the blocks' rows with the log
-probabilities, and these are summed for each document: no task and not the driver holds the
-model. (Only orders 1 and 2, at most 65 536 n-grams, are broadcast.) A document is kept if its
-perplexity is at most the
-HIGH quantile of its language's trusted documents that the model was not trained on.
-
-Defined results: null and empty texts have a null perplexity and are not kept; a null lang is a
-language of its own; a language without trusted documents keeps all; repeated rows give repeated
-rows; a null doc_id is scored like any other; extra columns are ignored.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted words.
+
+A text's words (split at white space, lower-cased) are numbered by a hash below BUCKETS, and each word
+is predicted from the one before it. The bigrams' counts are sharded by a hash of the bigram: a task
+counts a block of texts and sends its sorted bigrams to each shard as one packed row, and a shard adds
+them up. Totals, kinds of counts and continuation counts of single words are summed over the
+shards into arrays whose size BUCKETS fixes; from them come the discounts, the unigram probabilities and
+the back-off weights (the only part of the model that is broadcast: 3 arrays of BUCKETS doubles).
+
+Scoring is a join by shard. The log probability of a text is the sum over its words of back-off weight
+plus unigram log probability, which the reading task adds up, and over its seen bigrams of what the
+bigram adds to that. So a block's bigrams go to the shards with the texts that hold them, meet the
+counts there, and the sums come back to the texts. No task and not the driver holds the bigrams.
+A document is kept if its perplexity is at most the HIGH quantile of its language's trusted
+documents that the model was not trained on.
+
+Defined results: texts without words, null and empty ones among them, have a null perplexity and are
+not kept; a null lang is a language of its own; a language without trusted documents keeps all;
+repeated rows give repeated rows; a null doc_id is scored like any other; extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Scratch, free_shuffles, text_or_empty
+from skyloom.llm.common import Scratch, free_shuffles, stable_rows, text_or_empty
+from skyloom.llm.ngram_join import HELD_WORDS, _Hashes
 from skyloom.llm.suffix_dedup import _chunks
 
-ORDER, BLOCK_BYTES, BLOCK_ROWS = 5, 8 << 20, 1 << 16
+BITS = 20
+BUCKETS, START = 1 << BITS, 1 << BITS
+BLOCK_BYTES, BLOCK_ROWS, SHARD_BYTES, LEAST_SHARDS, RANGES = 8 << 20, 1 << 16, 16 << 20, 16, 16
 HIGH = 0.998
-_PAD = b"\n" * (ORDER - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def pack(a: np.ndarray, kind: str) -> bytes:
+    """Numbers by planes of bytes, compressed."""
+    wide = np.ascontiguousarray(a.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(wide.T.tobytes())
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+
+
+def word_numbers(texts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words in order, and how many each text has."""
+    if len(hashes) > HELD_WORDS:
+        hashes.clear()
+    split = [t.encode("utf-8", "replace").lower().split() for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), sizes
+
+
+def bigrams(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each word its number behind that of the word before, START at the first of a text."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    first = np.cumsum(sizes) - sizes
+    before[first[sizes > 0]] = START
+    return before << BITS | words
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte of the texts (each after line ends), as integers, and where each text begins."""
-    data = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8).astype(np.int64)
-    g = np.zeros(max(len(data) - ORDER + 1, 0), np.int64)
-    for j in range(ORDER):
-        g = g << 8 | data[j : len(data) - ORDER + 1 + j]
-    size = np.array([len(t) for t in texts], np.int64)
-    start = np.cumsum(size + ORDER - 1) - size - ORDER + 1
-    own = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return g[own], np.cumsum(size) - size
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (((keys.astype(np.uint64) * _ODD) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
-def _count(texts: DataFrame) -> DataFrame:
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[str]]]:
+    for pdf in batches:
+        texts = list(pdf["text"])
+        for x, y in _chunks(list(map(len, texts)), BLOCK_BYTES):
+            for a in range(x, y, BLOCK_ROWS):
+                b = min(a + BLOCK_ROWS, y)
+                yield pdf.iloc[a:b], texts[a:b]
+
+
+def _count(texts: DataFrame, shards: int) -> DataFrame:
+    """(shard, keys, counts): the bigrams of the texts, in sorted and packed rows of at most BUCKETS each."""
+
+    def cut(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        of = shard_of(keys, shards)
+        order = np.argsort(of, kind="stable")
+        keys, counts, of = keys[order], counts[order], of[order]
+        at = np.flatnonzero(np.diff(of, prepend=-1))
+        rows = [(of[a], pack(np.diff(keys[a:b], prepend=0), "<u8"), pack(counts[a:b], "<u8")) for a, b in zip(at, [*at[1:], len(keys)], strict=True)]
+        return pd.DataFrame(rows, columns=["shard", "keys", "counts"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        hashes, held, size = _Hashes(), [], 0
+        for _, part in _blocks(batches):
+            k, c = np.unique(bigrams(*word_numbers(part, hashes)), return_counts=True)
+            held.append((k, c))
+            size += len(k)
+            if size > 3_000_000:
+                yield cut(*merged(held))
+                held, size = [], 0
+        if size:
+            yield cut(*merged(held))
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k, c = merged([(np.cumsum(unpack(x, "<u8")), unpack(y, "<u8")) for x, y in zip(pdf["keys"], pdf["counts"], strict=True)])
+        rows = [(key[0], pack(np.diff(k[a : a + BUCKETS], prepend=0), "<u8"), pack(c[a : a + BUCKETS], "<u8")) for a in range(0, len(k), BUCKETS)]
+        return pd.DataFrame(rows, columns=["shard", "keys", "counts"])
+
+    schema = "shard int, keys binary, counts binary"
+    return texts.mapInPandas(run, schema).groupBy("shard").applyInPandas(add, schema)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+
+def _totals(table: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Over all bigrams, for each first word their count (row 0) and the number with count 1, 2 and 3 or more (1 to 3); for each second word the number of first words (4); and at the START of rows 1 to 4 the number of bigrams with count 1 to 4."""
+
+    def rows(sums: np.ndarray) -> pd.DataFrame:
+        parts = np.array_split(sums, RANGES, axis=1)
+        return pd.DataFrame({"part": range(RANGES), "sums": [pack(p.ravel(), "<u8") for p in parts]})
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((5, BUCKETS + 2), np.int64)
         for pdf in batches:
-            data = [t.encode("utf-8", "replace") for t in pdf["text"]]
-            for a, b in _chunks(list(map(len, data))):
-                g, c = np.unique(grams(data[a:b])[0], return_counts=True)
-                held.append(pd.DataFrame({"g": g, "c": c}))
-                if sum(map(len, held)) > 2_000_000:
-                    held = [pd.concat(held).groupby("g", as_index=False)["c"].sum()]
-                    if len(held[0]) > 1_000_000:
-                        yield held.pop()
-        if held:
-            yield pd.concat(held).groupby("g", as_index=False)["c"].sum()
-
-    return texts.mapInPandas(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def build_model(trusted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(kind, k, g, v): for kind p the log probability of a seen k-gram g, for kind b the log weight that a seen context g of k - 1 bytes leaves to the order below."""
-    tables = {ORDER: scratch.keep(_count(trusted), f"count{ORDER}")}
-    for k in range(ORDER - 1, 0, -1):
-        tables[k] = scratch.keep(tables[k + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * k) - 1).alias("g")).agg(F.count("*").alias("c")), f"count{k}")
-    below, out = None, None
-    for k in range(1, ORDER + 1):
-        t = tables[k]
-        n = t.agg(*[F.sum((F.col("c") == j).cast("long")).alias(f"n{j}") for j in (1, 2, 3, 4)]).first()
-        n1, n2, n3, n4 = [max(x or 0, 1) for x in n]
-        y = n1 / (n1 + 2 * n2)
-        d = [min(max(j - (j + 1) * y * b / a, 0.05), j - 0.05) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        h = F.shiftright("g", 8)
-        contexts = t.groupBy(h.alias("h")).agg(F.sum("c").alias("total"), F.sum(off).alias("left"))
-        seen = t.withColumn("h", h).join(contexts, "h").select("g", "h", ((F.col("c") - off) / F.col("total")).alias("a"), (F.col("left") / F.col("total")).alias("w"))
-        if below is None:
-            p = seen.select("g", (F.col("a") + F.col("w") / 256).alias("p"))
-        else:
-            lower = below.select(F.col("g").alias("s"), F.col("p").alias("q"))
-            p = seen.join(lower, seen["g"].bitwiseAND((1 << 8 * (k - 1)) - 1) == lower["s"]).select("g", (F.col("a") + F.col("w") * F.col("q")).alias("p"))
-        below = scratch.keep(p, f"p{k}")
-        rows = below.select(F.lit("p").alias("kind"), F.lit(k).alias("k"), "g", F.log("p").alias("v")).unionByName(contexts.select(F.lit("b").alias("kind"), F.lit(k).alias("k"), F.col("h").alias("g"), F.log(F.col("left") / F.col("total")).alias("v")))
-        out = rows if out is None else out.unionByName(rows)
-    return scratch.keep(out, "model")
-
-
-def _block_grams(docs: DataFrame) -> DataFrame:
-    """(g, block, held): the n-grams of a block of consecutive rows; held has the step from one occurrence's row to the next one's, in bytes (255: the step goes on)."""
+            for x, y in zip(pdf["keys"], pdf["counts"], strict=True):
+                k, c = np.cumsum(unpack(x, "<u8")), unpack(y, "<u8")
+                v = k >> BITS
+                sums[0] += np.bincount(v, c, BUCKETS + 2).astype(np.int64)
+                for j in (1, 2, 3):
+                    sums[j] += np.bincount(v[c == j if j < 3 else c >= 3], minlength=BUCKETS + 2)
+                sums[4] += np.bincount(k & (BUCKETS - 1), minlength=BUCKETS + 2)
+                for j in (1, 2, 3, 4):
+                    sums[j, BUCKETS + 1] += int((c == j).sum())
+        yield rows(sums)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            data, row = [t.encode("utf-8", "replace") for t in pdf["text"]], pdf["row"].to_numpy(np.int64)
-            for x, y in _chunks(list(map(len, data)), BLOCK_BYTES):
-                for a in range(x, y, BLOCK_ROWS):
-                    part = data[a : min(a + BLOCK_ROWS, y)]
-                    g = grams(part)[0]
-                    if not len(g):
-                        continue
-                    key = np.sort(g << 16 | np.repeat(row[a : a + len(part)] - row[a], list(map(len, part))))
-                    first = np.flatnonzero(np.concatenate([[True], key[1:] >> 16 != key[:-1] >> 16]))
-                    step = np.diff(key & 65535, prepend=0)
-                    step[first] = key[first] & 65535
-                    ends = np.cumsum(step // 255 + 1)
-                    out = np.full(int(ends[-1]), 255, np.uint8)
-                    out[ends - 1] = step % 255
-                    raw, at = out.tobytes(), [0, *ends[np.append(first[1:], len(key)) - 1].tolist()]
-                    yield pd.DataFrame({"g": key[first] >> 16, "block": row[a], "held": [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]})
-
-    return docs.mapInPandas(run, "g long, block long, held binary")
-
-
-def log_p(distinct: DataFrame, model: DataFrame) -> DataFrame:
-    """(g, v): the log probability of each n-gram of the highest order."""
-    out = distinct.select("g", F.lit(-math.log(256.0)).alias("v"))
-    for k in range(1, ORDER + 1):
-        p, b = (model.filter((F.col("kind") == kind) & (F.col("k") == k)).select(F.col("g").alias(f"{kind}_g"), F.col("v").alias(f"{kind}_v")) for kind in "pb")
-        if k <= 2:
-            p, b = F.broadcast(p), F.broadcast(b)
-        out = out.join(b, F.shiftright("g", 8).bitwiseAND((1 << 8 * (k - 1)) - 1) == F.col("b_g"), "left")
-        out = out.join(p, F.col("g").bitwiseAND((1 << 8 * k) - 1) == F.col("p_g"), "left")
-        out = out.select("g", F.coalesce("p_v", F.col("v") + F.coalesce("b_v", F.lit(0.0))).alias("v"))
-    return out
-
-
-def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums of log probabilities for each row."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        h = np.frombuffer(b"".join(pdf["held"]), np.uint8)
-        n = pdf["held"].map(len).to_numpy()
-        total = np.cumsum(h, dtype=np.int64)
-        before = np.concatenate([[0], total[np.cumsum(n)[:-1] - 1]])
-        own, ends = np.repeat(np.arange(len(n)), n), h < 255
-        own, place = own[ends], (total - before[own])[ends]
-        block, of = np.unique(pdf["block"].to_numpy(np.int64), return_inverse=True)
-        span = int(place.max()) + 1
-        cell = of[own] * span + place
-        distinct = np.arange(len(block) * span)
-        if len(distinct) > 8_000_000:
-            distinct, cell = np.unique(cell, return_inverse=True)
-        sums = np.bincount(cell, pdf["v"].to_numpy()[own], len(distinct))
-        used = np.flatnonzero(sums)
-        held.append(pd.DataFrame({"row": block[distinct[used] // span] + distinct[used] % span, "log_p": sums[used]}))
-        if sum(map(len, held)) > 1_000_000:
-            held = [pd.concat(held).groupby("row", as_index=False)["log_p"].sum()]
-            if len(held[0]) > 500_000:
-                yield held.pop()
-    if held:
-        yield pd.concat(held).groupby("row", as_index=False)["log_p"].sum()
+            for part, x in zip(pdf["part"], pdf["sums"], strict=True):
+                sums[part] = sums.get(part, 0) + unpack(x, "<u8")
+        yield pd.DataFrame({"part": list(sums), "sums": [pack(s, "<u8") for s in sums.values()]})
+
+    schema = "part int, sums binary"
+    each = scratch.keep(table.select("keys", "counts").mapInPandas(partial, schema), "partial")
+    # A task adds up what some of the tasks before have found, so a range has at most 64 rows.
+    few = each.coalesce(64).mapInPandas(again, schema).repartition(RANGES, "part")
+    found: dict[int, np.ndarray] = {}
+    for r in few.mapInPandas(again, schema).collect():
+        found[r["part"]] = unpack(r["sums"], "<u8").reshape(5, -1)
+    sizes = [p.shape[1] for p in np.array_split(np.zeros((5, BUCKETS + 2), np.int8), RANGES, axis=1)]
+    return np.concatenate([found.get(i, np.zeros((5, n), np.int64)) for i, n in enumerate(sizes)], axis=1)
+
+
+def discounts(n: list[int]) -> np.ndarray:
+    """The discount of counts 0, 1, 2 and 3 or more from the numbers of counts 1 to 4."""
+    n1, n2, n3, n4 = [max(int(x), 1) for x in n]
+    y = n1 / (n1 + 2 * n2)
+    return np.array([0.0, *[min(max(j - (j + 1) * y * b / a, 0.05), j - 0.05) for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]])
+
+
+class Model:
+    """What single words need: log probability, log back-off weight and total of each; and the bigrams' discounts."""
+
+    def __init__(self, totals: np.ndarray):
+        own = totals[4, :BUCKETS]
+        d = discounts([(own == j).sum() for j in (1, 2, 3, 4)])
+        c = max(int(own.sum()), 1)
+        left = d[np.minimum(own, 3)].sum() / c if own.any() else 1.0
+        self.uni = np.log((own - d[np.minimum(own, 3)]) / c + left / BUCKETS)
+        self.d = discounts([totals[j, BUCKETS + 1] for j in (1, 2, 3, 4)])
+        self.total = np.maximum(totals[0, : BUCKETS + 1], 1)
+        rest = totals[1:4, : BUCKETS + 1].T @ self.d[1:]
+        self.back = np.where(totals[0, : BUCKETS + 1] > 0, np.log(np.maximum(rest, 1e-300) / self.total), 0.0)
+
+    def base(self, keys: np.ndarray) -> np.ndarray:
+        """What a word has behind another one if the two were not seen together."""
+        return self.back[keys >> BITS] + self.uni[keys & (BUCKETS - 1)]
+
+    def gain(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What seen bigrams have more than that."""
+        base = self.base(keys)
+        return np.log((counts - self.d[np.minimum(counts, 3)]) / self.total[keys >> BITS] + np.exp(base)) - base
+
+
+def _parts(rows: DataFrame, model, shards: int) -> DataFrame:
+    """(shard, block, keys, counts, docs) of blocks of consecutive rows: bigrams, how often the block has each and in which rows; under shards below 0, each row's words (counts) and base (docs)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, m = _Hashes(), model.value
+        for pdf, part in _blocks(batches):
+            words, sizes = word_numbers(part, hashes)
+            keys, row = bigrams(words, sizes), np.repeat(np.arange(len(part)), sizes)
+            first = int(pdf["row"].iloc[0])
+            sums = np.bincount(row, m.base(keys), len(part))
+            out = [(-1 - first % shards, first, b"", pack(sizes, "<u8"), sums.astype("<f8").tobytes())]
+            both = np.sort(keys << 16 | row)
+            keys = both >> 16
+            at = np.flatnonzero(np.diff(keys, prepend=-1))
+            n = np.diff(np.append(at, len(keys)))
+            of = shard_of(keys[at], shards)
+            order = np.argsort(of, kind="stable")
+            n, of, own = n[order], of[order], keys[at][order]
+            ends = np.cumsum(n)
+            docs = (both & 0xFFFF)[np.repeat(at[order] - (ends - n), n) + np.arange(len(both))]
+            cuts = np.flatnonzero(np.diff(of, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(of)], strict=True):
+                out.append((of[a], first, pack(np.diff(own[a:b], prepend=0), "<u8"), pack(n[a:b], "<u4"), pack(docs[ends[a] - n[a] : ends[b - 1]], "<u2")))
+            yield pd.DataFrame(out, columns=["shard", "block", "keys", "counts", "docs"])
+
+    return rows.mapInPandas(run, "shard int, block long, keys binary, counts binary, docs binary")
+
+
+def _score(model):
+    """Meets the counts of a shard with the blocks' bigrams: (row, log_p, n)."""
+
+    def run(counts: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        m, out = model.value, []
+        known = [(np.cumsum(unpack(x, "<u8")), unpack(y, "<u8")) for x, y in zip(counts["keys"], counts["counts"], strict=True)]
+        keys, c = merged(known) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        gain = np.append(m.gain(keys, c), 0.0)
+        for shard, first, k, n, docs in zip(blocks["shard"], blocks["block"], blocks["keys"], blocks["counts"], blocks["docs"], strict=True):
+            n = unpack(n, "<u8" if shard < 0 else "<u4")
+            if shard < 0:
+                out.append(pd.DataFrame({"row": first + np.arange(len(n)), "log_p": np.frombuffer(docs, "<f8"), "n": n}))
+                continue
+            k = np.cumsum(unpack(k, "<u8"))
+            at = np.searchsorted(keys, k)
+            at = np.where(np.append(keys, -1)[at] == k, at, len(keys))
+            sums = np.bincount(unpack(docs, "<u2"), np.repeat(gain[at], n))
+            used = np.flatnonzero(sums)
+            out.append(pd.DataFrame({"row": first + used, "log_p": sums[used], "n": 0}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "log_p": [], "n": []})
+
+    return run
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, high (the language's bound), kept for each row."""
-    scratch = Scratch(docs.sparkSession)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("own")).distinct()
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    d = docs.select("doc_id", text_or_empty().alias("text"), "lang")
-    model = build_model(d.join(good, F.col("doc_id") == F.col("own"), "left_semi").filter(~held_out).select("text"), scratch)
+    d = stable_rows(docs.select("doc_id", text_or_empty().alias("text"), "lang"), scratch)
     # A row is named by its place in the scan; rows of a batch follow each other.
     rows = d.withColumn("row", F.monotonically_increasing_id())
-    names = scratch.keep(rows.select("row", "doc_id", "lang", F.octet_length("text").alias("n")), "names")
-    values = scratch.keep(log_p(scratch.keep(_count(d.select("text")).select("g"), "distinct"), model), "values")
-    free_shuffles(docs.sparkSession)
-    parts = _block_grams(rows.select("row", "text")).join(values, "g").select("block", "held", "v").mapInPandas(_sums, "row long, log_p double")
-    scored = names.join(parts.groupBy("row").agg(F.sum("log_p").alias("log_p")), "row", "left")
+    names = scratch.keep(rows.select("row", "doc_id", "lang", F.octet_length("text").alias("bytes")), "names")
+    shards = max(LEAST_SHARDS, (names.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES)
+    trusted = d.filter(~held_out).join(good, F.col("doc_id") == F.col("own"), "left_semi").select("text")
+    counts = scratch.keep(_count(trusted, shards), "counts")
+    model = spark.sparkContext.broadcast(Model(_totals(counts, scratch)))
+    free_shuffles(spark)
+    parts = _parts(rows.select("row", "text"), model, shards)
+    sums = counts.groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(_score(model), "row long, log_p double, n long")
+    sums = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
+    scored = names.join(sums, "row", "left")
     scored = scratch.keep(scored.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity")), "scored")
-    trusted = scored.join(good, F.col("doc_id") == F.col("own"), "left_semi").filter(held_out & F.col("perplexity").isNotNull())
-    bounds = trusted.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", F.lit(HIGH), F.lit(100_000)).alias("high"))
+    free_shuffles(spark)
+    scratch.drop("counts", "partial", "names")
+    known = scored.join(good, F.col("doc_id") == F.col("own"), "left_semi").filter(held_out & F.col("perplexity").isNotNull())
+    bounds = known.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", F.lit(HIGH), F.lit(100_000)).alias("high"))
     out = scored.join(F.broadcast(bounds), F.col("lang").eqNullSafe(F.col("l")), "left")
     inside = F.col("perplexity") <= F.coalesce("high", F.lit(float("inf")))
     return out.select("doc_id", "lang", "perplexity", "high", F.coalesce(inside, F.lit(False)).alias("kept"))

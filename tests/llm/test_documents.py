@@ -230,43 +230,48 @@ def test_licenses(spark):
 # 7
 
 
-def brute_perplexity(trusted, texts_, order=5):
-    pad = b"\n" * (order - 1)
-    counts = {order: Counter(g for t in trusted for g in ((pad + t)[a : a + order] for a in range(len(t))))}
-    for k in range(order - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    disc, total, left = {}, {}, {}
-    for k, c in counts.items():
+def brute_perplexity(trusted, texts_):
+    words = lambda t: t.encode().lower().split()
+    pairs = lambda t: list(zip([None, *words(t)], words(t), strict=False))
+    two = Counter(g for t in trusted for g in pairs(t))
+    one = Counter(w for _, w in two)
+
+    def discount(c):
         n = [max(sum(v == j for v in c.values()), 1) for j in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
-        disc[k] = [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]
-        total[k], left[k] = Counter(), Counter()
-        for g, v in c.items():
-            total[k][g[:-1]] += v
-            left[k][g[:-1]] += disc[k][min(v, 3) - 1]
-
-    def p(g):
-        if not g:
-            return 1 / 256
-        k, low = len(g), p(g[1:])
-        if g[:-1] not in total[k]:
-            return low
-        v = counts[k][g]
-        return (max(v - disc[k][min(v, 3) - 1], 0) if v else 0) / total[k][g[:-1]] + left[k][g[:-1]] / total[k][g[:-1]] * low
-
-    return [np.exp(-np.mean([np.log(p((pad + t)[a : a + order])) for a in range(len(t))])) if t else None for t in texts_]
-
-
-def test_perplexity(spark):
-    docs = [(i, t) for i, t in rows() if i != 18]
+        return [0, *[min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]]
+
+    d1, d2 = discount(one), discount(two)
+    total, left = Counter(), Counter()
+    for (v, _), c in two.items():
+        total[v] += c
+        left[v] += d2[min(c, 3)]
+
+    def p(v, w):
+        low = (one[w] - d1[min(one[w], 3)]) / sum(one.values()) + sum(d1[min(c, 3)] for c in one.values()) / sum(one.values()) / quality.BUCKETS
+        return (two[v, w] - d2[min(two[v, w], 3)] + left[v] * low) / total[v] if total[v] else low
+
+    return [np.exp(-np.mean([np.log(p(*g)) for g in pairs(t)])) if words(t) else None for t in texts_]
+
+
+def test_perplexity(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    docs = [*rows(), (None, sentences(1, 30)), (None, sentences(3, 30)), (3, sentences(1, 30) + " other")]
     labels = spark.createDataFrame([(i, 1) for i in range(1, 14)] + [(None, 1), (20, 0)], "doc_id long, quality int")
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
-    want = brute_perplexity([(t or "").encode() for i, t in docs if i <= 13 and not held(i)], [(t or "").encode() for _, t in docs])
-    found = {r["doc_id"]: r for r in quality.classify_quality(frame(spark, docs), labels).collect()}
-    for (i, _), w in zip(docs, want, strict=True):
-        assert (found[i]["perplexity"] is None) == (w is None)
-        assert w is None or np.isclose(found[i]["perplexity"], w, rtol=1e-9)
-        assert found[i]["kept"] == (w is not None and (found[i]["high"] is None or found[i]["perplexity"] <= found[i]["high"]))
+    want = brute_perplexity([t or "" for i, t in docs if i and i <= 13 and not held(i)], [t or "" for _, t in docs])
+    found = quality.classify_quality(frame(spark, docs).repartition(3), labels).collect()
+    assert sorted((str(r["doc_id"]), round(r["perplexity"] or 0, 5)) for r in found) == sorted((str(i), round(w or 0, 5)) for (i, _), w in zip(docs, want, strict=True))
+    bound = sorted(w for (i, _), w in zip(docs, want, strict=True) if i and i <= 13 and held(i) and w)
+    assert all(r["kept"] == (r["perplexity"] is not None and r["perplexity"] <= r["high"]) for r in found)
+    assert np.isclose(found[0]["high"], bound[-1])
+
+
+def test_nothing_trusted(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    found = quality.classify_quality(frame(spark), labels).collect()
+    assert all(r["kept"] == (r["perplexity"] is not None) for r in found)
+    assert all(np.isclose(r["perplexity"], quality.BUCKETS) for r in found if r["perplexity"])
 
 
 # 8
