@@ -10,7 +10,9 @@ the back-off weights (the only part of the model that is broadcast: 3 arrays of
 Scoring is a join by shard. The log probability of a text is the sum over its words of back-off weight
 plus unigram log probability, which the reading task adds up, and over its seen bigrams of what the
 bigram adds to that. So a block's bigrams go to the shards with the texts that hold them, meet the
-counts there, and the sums come back to the texts. No task and not the driver holds the bigrams.
+counts there, and the sums come back to the block as one packed row from each shard (at most as many
+numbers as the block has bigrams). No task and not the driver holds the bigrams. The shards are taken
+in PASSES parts, each with a reading of the texts, so that only a part of the bigrams is on disk at a time.
 A document is kept if its perplexity is at most the HIGH quantile of its language's trusted
 documents that the model was not trained on.
 
@@ -37,7 +39,7 @@ from skyloom.llm.suffix_dedup import _chunks
 
 BITS = 20
 BUCKETS, START = 1 << BITS, 1 << BITS
-BLOCK_BYTES, BLOCK_ROWS, SHARD_BYTES, LEAST_SHARDS, RANGES = 8 << 20, 1 << 16, 16 << 20, 16, 16
+BLOCK_BYTES, BLOCK_ROWS, SHARD_BYTES, LEAST_SHARDS, RANGES, PASSES = 6 << 20, 1 << 16, 16 << 20, 16, 16, 2
 HIGH = 0.998
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,18 +196,20 @@ class Model:
         return np.log((counts - self.d[np.minimum(counts, 3)]) / self.total[keys >> BITS] + np.exp(base)) - base
 
 
-def _parts(rows: DataFrame, model, shards: int) -> DataFrame:
-    """(shard, block, keys, counts, docs) of blocks of consecutive rows: bigrams, how often the block has each and in which rows; under shards below 0, each row's words (counts) and base (docs)."""
+def _parts(rows: DataFrame, model, shards: int, at_pass: int) -> DataFrame:
+    """(shard, block, keys, counts, docs) of blocks of consecutive rows: bigrams of the shards of a pass, how often the block has each and in which rows; in the first pass, under shards below 0, each row's words (counts) and base (docs)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, m = _Hashes(), model.value
         for pdf, part in _blocks(batches):
             words, sizes = word_numbers(part, hashes)
             keys, row = bigrams(words, sizes), np.repeat(np.arange(len(part)), sizes)
-            first = int(pdf["row"].iloc[0])
-            sums = np.bincount(row, m.base(keys), len(part))
-            out = [(-1 - first % shards, first, b"", pack(sizes, "<u8"), sums.astype("<f8").tobytes())]
-            both = np.sort(keys << 16 | row)
+            first, out = int(pdf["row"].iloc[0]), []
+            if not at_pass:
+                sums = np.bincount(row, m.base(keys), len(part))
+                out.append((-1 - first % shards, first, b"", pack(sizes, "<u8"), sums.astype("<f8").tobytes()))
+            now = shard_of(keys, shards) % PASSES == at_pass
+            both = np.sort(keys[now] << 16 | row[now])
             keys = both >> 16
             at = np.flatnonzero(np.diff(keys, prepend=-1))
             n = np.diff(np.append(at, len(keys)))
@@ -215,15 +219,15 @@ def _parts(rows: DataFrame, model, shards: int) -> DataFrame:
             ends = np.cumsum(n)
             docs = (both & 0xFFFF)[np.repeat(at[order] - (ends - n), n) + np.arange(len(both))]
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(of)], strict=True):
+            for a, b in zip(cuts, [*cuts[1:], len(of)], strict=False):  # no cuts in an empty block
                 out.append((of[a], first, pack(np.diff(own[a:b], prepend=0), "<u8"), pack(n[a:b], "<u4"), pack(docs[ends[a] - n[a] : ends[b - 1]], "<u2")))
             yield pd.DataFrame(out, columns=["shard", "block", "keys", "counts", "docs"])
 
     return rows.mapInPandas(run, "shard int, block long, keys binary, counts binary, docs binary")
 
 
-def _score(model):
-    """Meets the counts of a shard with the blocks' bigrams: (row, log_p, n)."""
+def _meet(model):
+    """Meets the counts of a shard with the blocks' bigrams: (block, docs, sums, counts), a row for each block."""
 
     def run(counts: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         m, out = model.value, []
@@ -231,21 +235,28 @@ def _score(model):
         keys, c = merged(known) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         gain = np.append(m.gain(keys, c), 0.0)
         for shard, first, k, n, docs in zip(blocks["shard"], blocks["block"], blocks["keys"], blocks["counts"], blocks["docs"], strict=True):
-            n = unpack(n, "<u8" if shard < 0 else "<u4")
             if shard < 0:
-                out.append(pd.DataFrame({"row": first + np.arange(len(n)), "log_p": np.frombuffer(docs, "<f8"), "n": n}))
+                out.append((first, b"", docs, n))
                 continue
             k = np.cumsum(unpack(k, "<u8"))
             at = np.searchsorted(keys, k)
             at = np.where(np.append(keys, -1)[at] == k, at, len(keys))
-            sums = np.bincount(unpack(docs, "<u2"), np.repeat(gain[at], n))
+            sums = np.bincount(unpack(docs, "<u2"), np.repeat(gain[at], unpack(n, "<u4")))
             used = np.flatnonzero(sums)
-            out.append(pd.DataFrame({"row": first + used, "log_p": sums[used], "n": 0}))
-        return pd.concat(out) if out else pd.DataFrame({"row": [], "log_p": [], "n": []})
+            out.append((first, pack(used, "<u2"), sums[used].astype("<f8").tobytes(), b""))
+        return pd.DataFrame(out, columns=["block", "docs", "sums", "counts"])
 
     return run
 
 
+def _back(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a block's rows: (row, log_p, n)."""
+    docs = [unpack(d, "<u2") if d else np.arange(len(s) // 8) for d, s in zip(parts["docs"], parts["sums"], strict=True)]
+    log_p = np.bincount(np.concatenate(docs), np.frombuffer(b"".join(parts["sums"]), "<f8")) if docs else np.zeros(0)
+    n = [unpack(c, "<u8") for c in parts["counts"] if c]
+    return pd.DataFrame({"row": key[0] + np.arange(len(log_p)), "log_p": log_p, "n": n[0] if n else 0})
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, high (the language's bound), kept for each row."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -256,17 +267,22 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = d.withColumn("row", F.monotonically_increasing_id())
     names = scratch.keep(rows.select("row", "doc_id", "lang", F.octet_length("text").alias("bytes")), "names")
     shards = max(LEAST_SHARDS, (names.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES)
-    trusted = d.filter(~held_out).join(good, F.col("doc_id") == F.col("own"), "left_semi").select("text")
+    trusted = d.filter(~held_out).join(good.hint("merge"), F.col("doc_id") == F.col("own"), "left_semi").select("text")
     counts = scratch.keep(_count(trusted, shards), "counts")
     model = spark.sparkContext.broadcast(Model(_totals(counts, scratch)))
     free_shuffles(spark)
-    parts = _parts(rows.select("row", "text"), model, shards)
-    sums = counts.groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(_score(model), "row long, log_p double, n long")
+    sums = None
+    for k in range(PASSES):
+        parts = _parts(rows.select("row", "text"), model, shards, k)
+        met = counts.groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(_meet(model), "block long, docs binary, sums binary, counts binary")
+        own = scratch.keep(met.groupBy("block").applyInPandas(_back, "row long, log_p double, n long"), f"sums{k}")
+        sums = own if sums is None else sums.unionByName(own)
+        free_shuffles(spark)
     sums = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
     scored = names.join(sums, "row", "left")
     scored = scratch.keep(scored.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity")), "scored")
     free_shuffles(spark)
-    scratch.drop("counts", "partial", "names")
+    scratch.drop("counts", "partial", "names", *[f"sums{k}" for k in range(PASSES)])
     known = scored.join(good, F.col("doc_id") == F.col("own"), "left_semi").filter(held_out & F.col("perplexity").isNotNull())
     bounds = known.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", F.lit(HIGH), F.lit(100_000)).alias("high"))
     out = scored.join(F.broadcast(bounds), F.col("lang").eqNullSafe(F.col("l")), "left")
