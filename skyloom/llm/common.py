@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,9 +31,14 @@ def row_key() -> Column:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps, which it does once their plans are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark remove the shuffle files of finished steps, which it does once their plans are collected.
+
+    Twice, as what the first collection lets go may hold shuffles that only the second one finds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def stable_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:

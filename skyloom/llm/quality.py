@@ -269,6 +269,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shards = max(LEAST_SHARDS, (names.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES)
     trusted = d.filter(~held_out).join(good.hint("merge"), F.col("doc_id") == F.col("own"), "left_semi").select("text")
     counts = scratch.keep(_count(trusted, shards), "counts")
+    del trusted
+    free_shuffles(spark)
     model = spark.sparkContext.broadcast(Model(_totals(counts, scratch)))
     free_shuffles(spark)
     sums = None
