@@ -34,10 +34,12 @@ def separations(a: DataFrame, b: DataFrame, radius: float, box: float | None = N
             continue
         near = [F.col(f"c{i}") + d for d in (-1, 0, 1)]
         right = right.withColumn(f"c{i}", F.explode(F.array(*[F.pmod(n, F.lit(counts[i])) if counts[i] else n for n in near])))
-    pairs = left.join(right, ["c0", "c1", "c2"])
+    # A small table's cells would be joined in the one task that reads it.
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(parts, "c0", "c1", "c2").join(right, ["c0", "c1", "c2"])
     gap = [F.col(f"{c}1") - F.col(f"{c}2") for c in AXES]
     if box is not None:
-        gap = [d - box * F.round(d / box) for d in gap]
+        gap = [d - box * F.rint(d / box) for d in gap]
     return pairs.select("id1", "id2", *[g.alias(f"d{c}") for g, c in zip(gap, AXES, strict=True)], *[f"{c}1" for c in keep_a], *[f"{c}2" for c in keep_b])
 
 
