@@ -90,6 +90,7 @@ def filters_of(unit: np.ndarray, least: float) -> np.ndarray:
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
     v = np.array(vectors, np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -128,13 +129,13 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return node, low[node]
 
 
-def _compare(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], least: float, kind: str) -> Iterator[pd.DataFrame]:
     for g in whole_groups(batches, ["key", "lo", "hi"]):
         if len(g) < 2:
             continue
         ids, part, mult = g["id"].to_numpy(np.int64), g["chunk"].to_numpy(), g["mult"].to_numpy(np.int64)
         own, lo, hi = int(g["key"].iloc[0]) % (1 << 32), int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
-        unit = _unit([np.frombuffer(v, np.float32) for v in g["vector"]])
+        unit = _unit([np.frombuffer(v, kind) for v in g["vector"]])
         near = unit @ unit.T >= least
         np.fill_diagonal(near, False)
         if lo != hi:  # pairs within one chunk are compared in its own block
@@ -158,7 +159,10 @@ def _compare(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataF
 def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
-    e = F.col("embedding").cast("array<float>")
+    # Other numbers than floats are compared as doubles.
+    name = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    kind = {"float": "<f4", "double": "<f8"}[name]
+    e = F.col("embedding").cast(f"array<{name}>")
     good = F.col("id").isNotNull() & e.isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").alias("id"), "embedding").withColumn("e", F.when(good, e))
     distinct = rows.filter("e is not null").groupBy("id", "e").agg(F.lit(1).alias("x"))
@@ -168,7 +172,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         for pdf in batches:
             sizes = pdf["e"].map(len)
             for _, g in pdf.groupby(sizes):
-                vs = [np.asarray(v, np.float32) for v in g["e"]]
+                vs = [np.asarray(v, kind) for v in g["e"]]
                 lists = filters_of(_unit(vs), least)
                 n = lists.shape[1]
                 yield pd.DataFrame({"filter": lists.ravel() + (len(vs[0]) << 32), "id": np.repeat(g["rep"].to_numpy(), n), "mult": np.repeat(g["mult"].to_numpy(), n), "vector": np.repeat(np.array([v.tobytes() for v in vs], object), n)})
@@ -181,7 +185,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     met = met.select(F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.col("filter").alias("key"), "chunk", "id", "mult", "vector")
     dealt = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    found = scratch.keep(dealt.mapInPandas(lambda b: _compare(b, least), "id long, n long, to long"), "found")
+    found = scratch.keep(dealt.mapInPandas(lambda b: _compare(b, least, kind), "id long, n long, to long"), "found")
 
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
