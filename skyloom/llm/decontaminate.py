@@ -6,16 +6,24 @@ those of the benchmark items; a hit fixes how item and document are aligned. Aro
 verified word by word: in some window of WINDOW words (or the whole item, if shorter) at least LEAST
 of the words must be equal, wherever the others were substituted.
 
+Items of fewer than SHORT words are too short for the masks. They are sought by every run of as many
+words as any allowed substitutions leave whole somewhere (run_length), so none of their overlaps is
+missed. Documents get hashes of such runs only where the benchmark has items that need them. For items
+of 15 words the masks find 0.976 of those with three words changed, from 18 words on over 0.999.
+
 The benchmark's hashes are broadcast only while there are at most BROADCAST_ROWS of them; beyond
 that the join is by shuffle.
 
 Defined results: words are runs of letters and digits, lower-cased; null and empty texts have none;
-items shorter than the shortest mask are not searched for; a null doc_id or item_id gives no rows;
+items without words are not searched for; a null doc_id or item_id gives no rows;
 repeated rows give their pair once; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +31,18 @@ from skyloom.llm.common import Scratch
 
 # The masks; 1 keeps a token.
 MASKS = ("11101011", "110100111", "1100110101")
-WINDOW, LEAST, BROADCAST_ROWS = 20, 0.8, 500_000
+RUNS = ("1", "11", "111", "1111")
+WINDOW, LEAST, SHORT, BROADCAST_ROWS = 20, 0.8, 15, 500_000
+
+
+def run_length(n: int) -> int:
+    """The longest run that stays whole in n words wherever the allowed substitutions fall."""
+    whole = math.ceil(n * LEAST)
+    return math.ceil(whole / (n - whole + 1))
+
+
+def masks_for(n: int) -> tuple[str, ...]:
+    return MASKS if n >= SHORT else (RUNS[run_length(n) - 1],)
 
 
 def words_of(text: Column) -> Column:
@@ -31,14 +50,14 @@ def words_of(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " ", -1))
 
 
-def _seeds(table: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def _seeds(table: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
     """Masked hashes at every word: key, pos, seed. Only the hashes are exploded, not the words with them."""
 
     def at(word: Column, i: Column) -> Column:
         hashes = []
-        for k, mask in enumerate(masks):
+        for mask in masks:
             kept = [F.get("words", i + j) for j, x in enumerate(mask) if x == "1"]
-            hashes.append(F.when(i + (len(mask) - 1) < F.size("words"), F.xxhash64(F.lit(k), *kept)))
+            hashes.append(F.when(i + (len(mask) - 1) < F.size("words"), F.xxhash64(F.lit((MASKS + RUNS).index(mask)), *kept)))
         return F.array(*hashes)
 
     every = table.select(key, F.posexplode(F.flatten(F.transform("words", at))).alias("place", "seed"))
@@ -56,10 +75,15 @@ def _best_window(doc: Column, item: Column, shift: Column) -> Column:
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_equal (words, in the best window), window, start_word for each contaminated pair."""
     items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("words")).distinct()
-    tests = _seeds(items, "item_id").withColumnRenamed("pos", "item_pos")
+    # At most SHORT - 1 lengths come to the driver.
+    n = F.size("words")
+    lengths = [r.n for r in items.filter((n > 0) & (n < SHORT)).select(n.alias("n")).distinct().collect()]
+    by_mask = {MASKS: n >= SHORT} | {(run,): n.isin(having) for run in RUNS if (having := [x for x in lengths if masks_for(x) == (run,)])}
+    parts = [_seeds(items.filter(which), "item_id", masks) for masks, which in by_mask.items()]
+    tests = reduce(DataFrame.unionByName, parts).withColumnRenamed("pos", "item_pos")
     small = tests.limit(broadcast_rows + 1).count() <= broadcast_rows
     d = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", words_of(F.col("text")).alias("words"))
-    met = _seeds(d, "doc_id").join(F.broadcast(tests) if small else tests, "seed")
+    met = _seeds(d, "doc_id", sum(by_mask, ())).join(F.broadcast(tests) if small else tests, "seed")
     # The alignments are few; written, their size is known when they fetch their documents' words.
     hits = Scratch(docs.sparkSession).keep(met.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
     hits = d.join(hits, "doc_id").join(items.withColumnRenamed("words", "item"), "item_id")
@@ -69,16 +93,23 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_equal", "b.window", F.col("b.start_word").cast("long").alias("start_word"))
 
 
-def oracle_sql(window: int = WINDOW, least: float = LEAST, masks: tuple[str, ...] = MASKS) -> str:
+def oracle_sql(window: int = WINDOW, least: float = LEAST) -> str:
     """DuckDB SQL for the same rows."""
     seeds = []
-    for k, mask in enumerate(masks):
+    for k, mask in enumerate(MASKS + RUNS):
+        lengths = [n for n in range(1, SHORT) if mask in masks_for(n)]
+        used = f"len(w) in ({', '.join(map(str, lengths))})" if lengths else f"len(w) >= {SHORT}"
         kept = ", ".join(f"w[pos + {i}]" for i, x in enumerate(mask) if x == "1")
-        seeds.append(f"select id, w, pos - 1 as pos, {k} as mask, [{kept}] as seed from places where pos + {len(mask) - 1} <= len(w)")
+        # Only the benchmark's own lengths decide which masks an item has; documents have all that some item needs.
+        seeds.append((used, f"select id, w, pos - 1 as pos, {k} as mask, [{kept}] as seed from places where pos + {len(mask) - 1} <= len(w)"))
+    chosen = {
+        "benchmark": [f"{sql} and {used}" for used, sql in seeds],
+        "documents": [f"{sql} and exists (from keys where mask = {k})" for k, (_, sql) in enumerate(seeds)],
+    }
     side = lambda table, key: f"""  select id, w, mask, seed, pos from (
     with t as (select {key} as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from {table} where {key} is not null),
     places as (select id, w, unnest(range(1, len(w) + 1)) as pos from t)
-    {" union all ".join(seeds)})"""
+    {" union all ".join(chosen[table])})"""
     return f"""
 with test as materialized (
 {side("benchmark", "item_id")}
