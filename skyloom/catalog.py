@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators.field import Mesh
+from skyloom.operators.numbering import dense_index
+
 DEFAULTS = {"Selection": lambda: F.lit(True), "Weight": lambda: F.lit(1.0), "Value": lambda: F.lit(1.0)}
 
 
@@ -49,10 +52,31 @@ class Catalog:
         if isinstance(key, (list, tuple)) and all(isinstance(k, str) for k in key):
             return Catalog(self.df.select("id", *[self[k].alias(k) for k in key if k != "id"]), self.attrs)
         if isinstance(key, (list, tuple)) and all(isinstance(k, int) and not isinstance(k, bool) for k in key):
-            n = self.size if any(k < 0 for k in key) else 0
-            return Catalog(self.df.where(F.col("id").isin([k + n if k < 0 else k for k in key])), self.attrs)
+            return self._take(key)
         raise KeyError(key)
 
+    def _take(self, places: Sequence[int]) -> Catalog:
+        """Rows at positions, in their order and as often as named; the new id is the place in the list."""
+        n = self.size
+        if bad := [k for k in places if not -n <= k < n]:
+            raise IndexError(bad[0])
+        wanted = self.df.sparkSession.createDataFrame([(i, k % n) for i, k in enumerate(places)], "_place long, id long")
+        # The list came from the driver, so it is small.
+        found = self.df.join(F.broadcast(wanted), "id").withColumn("id", F.col("_place"))
+        return Catalog(found.select(*self.df.columns), self.attrs)
+
+    def dense(self) -> Catalog:
+        """The same rows in the order of their ids, with ids 0.. without gaps, as filters and slices leave them."""
+        numbered = dense_index(self.df.withColumnRenamed("id", "_old"), ["_old"], "id")
+        return Catalog(numbered.select(*self.df.columns), self.attrs)
+
+    def copy(self) -> Catalog:
+        return Catalog(self.df, self.attrs)
+
+    def to_mesh(self, n: int, box: float | None = None, window: str = "cic", interlaced: bool = False, compensated: bool = False, weight: str = "Weight", value: str = "Value", selection: str = "Selection") -> Mesh:
+        """A grid of the catalog's density; the box is the attribute BoxSize, if not given."""
+        return Mesh.from_points(self.df, n, box or self.attrs["BoxSize"], window, self[weight], self[value], self[selection], interlaced, compensated)
+
     def with_column(self, name: str, value) -> Catalog:
         return Catalog(self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value)), self.attrs)
 

@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.sky import to_unit_sphere
 from skyloom.operators.graph import components
+from skyloom.operators.numbering import dense_index
 from skyloom.operators.spatial import nearest, radius_pairs, separations
 from skyloom.plans.scratch import Scratch
 
@@ -25,16 +26,19 @@ def fof(df: DataFrame, linking: float, nmin: int = 0, box: float | None = None,
     p = radius_pairs(df, df, linking, box).where("id1 < id2").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     minid = df.select("id").join(components(p).withColumnRenamed("node", "id").withColumnRenamed("label", "m"), "id", "left").select("id", F.coalesce("m", "id").alias("m"))
     sizes = minid.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > nmin)
-    # One row for each large group, ordered: the catalog of groups, not of points.
-    ranked = sizes.withColumn("label", F.row_number().over(Window.orderBy(F.desc("n"), "m")))
+    ranked = dense_index(sizes, [F.desc("n"), F.asc("m")], "label").withColumn("label", (F.col("label") + 1).cast("int"))
     return minid.join(ranked, "m", "left").select("id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def fof_catalog(df: DataFrame, labels: DataFrame, box: float | None = None, columns: tuple[str, ...] = (), peak: str | None = None) -> DataFrame:
-    """A row for each label: length (0 for label 0), the centre of mass cx, cy, cz in [0, box), means of columns, the peak's place."""
+    """A row for each label: length (0 for label 0), the centre of mass cx, cy, cz in [0, box), means of columns, the peak's place.
+
+    Separations are taken from the group's smallest coordinates; label 0 is no group and takes them from 0.
+    """
     at = df.join(labels, "id")
+    alone, at = at.where("label = 0"), at.where("label <> 0")
     ref = at.groupBy("label").agg(*[F.min(a).alias(f"m{a}") for a in "xyz"])
-    at = at.join(ref, "label")
+    at = at.join(ref, "label").unionByName(alone.withColumns({f"m{a}": F.lit(0.0) for a in "xyz"}))
     gap = {a: F.col(a) - F.col(f"m{a}") for a in "xyz"}
     if box:
         gap = {a: F.pmod(g + box / 2, F.lit(float(box))) - box / 2 for a, g in gap.items()}
@@ -82,7 +86,7 @@ def cylindrical_groups(df: DataFrame, rank: str, rperp: float, rpar: float, box:
         state = scratch.keep(state.join(marks, "id", "left").select("id", F.coalesce("kind", "k").alias("kind")), f"state{k + 1}")
         k += 1
     centrals = state.where("kind = 0").join(src.select("id", "r"), "id")
-    ids = centrals.withColumn("cgm_haloid", (F.row_number().over(Window.orderBy(F.desc("r"), "id")) - 1).cast("long")).select("id", "cgm_haloid")
+    ids = dense_index(centrals, [F.desc("r"), F.asc("id")], "cgm_haloid").select("id", "cgm_haloid")
     host = edges.join(centrals.select(F.col("id").alias("hi")), "hi").join(state.where("kind = 1").select(F.col("id").alias("lo")), "lo").groupBy("lo").agg(F.max_by("hi", F.struct("r", -F.col("hi"))).alias("hi"))
     sats = host.join(ids, F.col("hi") == F.col("id")).select(F.col("lo").alias("id"), "cgm_haloid")
     count = sats.groupBy("cgm_haloid").agg(F.count("*").alias("n"))
@@ -130,5 +134,4 @@ def fiber_collisions(df: DataFrame, radius: float = 62 / 3600, seed: int = 0) ->
 def dense_labels(df: DataFrame, keys: list[str | Column], name: str = "label") -> DataFrame:
     """Dense labels 0.. of distinct keys in order: distinct keys are numbered, rows join back."""
     distinct = df.select(*keys).distinct()
-    numbered = distinct.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
-    return df.join(numbered, [k for k in keys])
+    return df.join(dense_index(distinct, list(keys), name), [k for k in keys])

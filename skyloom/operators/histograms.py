@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions.cosmology import Cosmology
@@ -63,13 +63,75 @@ class Bins:
             out, _ = out.where(F.col(dim) == i).drop(dim), dims.pop(dim)
         return Bins(out, dims, self.attrs)
 
+    @property
+    def variables(self) -> list[str]:
+        return [c for c in self.df.columns if c not in self.dims]
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return tuple(len(e) - 1 for e in self.dims.values())
+
+    def __getitem__(self, key) -> DataFrame | Bins:
+        """A name gives that variable beside the dimensions, a list of names only those variables, numbers and slices the bins of each dimension in turn.
+
+        A number keeps its dimension with one bin; squeeze() removes it.
+        """
+        if isinstance(key, str):
+            if key not in self.variables:
+                raise KeyError(key)
+            return self.df.select(*self.dims, key)
+        if isinstance(key, list):
+            if unknown := [k for k in key if k not in self.variables]:
+                raise KeyError(unknown)
+            return Bins(self.df.select(*self.dims, *key), self.dims, self.attrs)
+        out, keys = self, key if isinstance(key, tuple) else (key,)
+        if len(keys) > len(self.dims):
+            raise IndexError("more places than dimensions")
+        for dim, k in zip(self.dims, keys, strict=False):
+            n = len(self.dims[dim]) - 1
+            if isinstance(k, int):
+                if not -n <= k < n:
+                    raise IndexError(k)
+                k = slice(k % n, k % n + 1)
+            start, stop, step = k.indices(n)
+            if step != 1 or start >= stop:
+                raise IndexError("only non-empty slices of step 1")
+            out = out.take(dim, start, stop)
+        return out
+
+    def mask(self, dim: str, keep: list[bool]) -> Bins:
+        """The bins of a dimension that a mask marks, numbered anew; they must be next to each other, as edges must."""
+        at = [i for i, k in enumerate(keep) if k]
+        if len(keep) != len(self.dims[dim]) - 1 or not at or at[-1] - at[0] + 1 != len(at):
+            raise ValueError("a mask marks one run of bins, of all that there are")
+        return self.take(dim, at[0], at[-1] + 1)
+
+    def squeeze(self, dim: str | None = None) -> Bins:
+        """Without a dimension of one bin, by default all such."""
+        one = [d for d in self.dims if len(self.dims[d]) == 2 and dim in (None, d)]
+        if not one:
+            raise ValueError("no dimension of one bin")
+        if len(one) == len(self.dims):
+            raise ValueError("the last dimension cannot be squeezed")
+        return Bins(self.df.drop(*one), {d: e for d, e in self.dims.items() if d not in one}, self.attrs)
+
+    def copy(self) -> Bins:
+        return Bins(self.df, self.dims, self.attrs)
+
+    def with_variable(self, name: str, value: Column) -> Bins:
+        if name in self.dims:
+            raise ValueError(f"{name} is a dimension")
+        return Bins(self.df.withColumn(name, value), self.dims, self.attrs)
+
     def take(self, dim: str, start: int, stop: int) -> Bins:
         """Bins start..stop-1 of a dimension, numbered anew."""
         out = self.df.where((F.col(dim) >= start) & (F.col(dim) < stop)).withColumn(dim, F.col(dim) - start)
         return Bins(out, self.dims | {dim: self.dims[dim][start : stop + 1]}, self.attrs)
 
     def rename(self, old: str, new: str) -> Bins:
-        return Bins(self.df.withColumnRenamed(old, new), self.dims, self.attrs)
+        if old not in self.df.columns or new in self.df.columns:
+            raise ValueError(f"cannot rename {old} to {new}")
+        return Bins(self.df.withColumnRenamed(old, new), {new if d == old else d: e for d, e in self.dims.items()}, self.attrs)
 
     def reindex(self, dim: str, factor: int, weight: str | None = None, summed: tuple[str, ...] = ("modes", "npairs", "wnpairs", "n"), force: bool = False) -> Bins:
         """Merges `factor` adjacent bins: sums of count-like columns, (weighted) means of the others; a rest is an error unless forced off."""

@@ -24,13 +24,21 @@ def normal(seed: int, *keys: Column | str) -> Column:
 
 
 def poisson(mean: Column, seed: int, *keys: Column | str, most: int = 24) -> Column:
-    """Poisson numbers by inversion, as a sum of steps for means up to about 5; the normal limit beyond."""
-    u, p, total, n = uniform(seed, *keys), F.exp(-mean), F.exp(-mean), F.lit(0)
-    for i in range(1, most):
-        n = n + (u > total).cast("int")
-        p = p * mean / i
-        total = total + p
-    return F.when(mean < 5, n).otherwise(F.greatest(F.lit(0), F.round(mean + F.sqrt(mean) * normal(seed, *keys)).cast("int")))
+    """Poisson numbers by inversion; a mean above 5 is the sum of as many independent numbers of a smaller mean as it needs."""
+    steps = F.greatest(F.lit(1), F.ceil(mean / 5).cast("int"))
+    share = mean / steps
+
+    def one(u: Column) -> Column:
+        # A running product and sum of the probabilities of 0, 1, 2, ...
+        start = F.struct(F.exp(-share).alias("p"), F.exp(-share).alias("total"), F.lit(0).alias("n"))
+
+        def add(a: Column, i: Column) -> Column:
+            p = a["p"] * share / i
+            return F.struct(p.alias("p"), (a["total"] + p).alias("total"), (a["n"] + (u > a["total"]).cast("int")).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, add)["n"]
+
+    return F.aggregate(F.sequence(F.lit(1), steps), F.lit(0), lambda a, j: a + one(F.when(j == 1, uniform(seed, *keys)).otherwise(uniform(seed, *keys, j))))
 
 
 def random_catalog(spark: SparkSession, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.functions.cosmology import Cosmology, sky_to_comoving
 from skyloom.functions.sky import bin_of, legendre, to_unit_sphere
 from skyloom.operators.spatial import separations
 
@@ -58,15 +59,19 @@ def box_pairs(first: DataFrame, edges: list[float], box: float | None, second: D
     return _binned(p, F.sqrt(s2), edges, mu, bool(weight))
 
 
-def survey_pairs(first: DataFrame, edges: list[float], second: DataFrame | None = None, mode: str = "1d", n_mu: int | None = None, pimax: float | None = None, weight: str | None = None) -> DataFrame:
-    """Pair counts of comoving positions x, y, z seen from the origin; the line of sight is that of the pair's midpoint."""
+def survey_pairs(first: DataFrame, edges: list[float], second: DataFrame | None = None, mode: str = "1d", n_mu: int | None = None, pimax: float | None = None, weight: str | None = None, cosmo: Cosmology | None = None) -> DataFrame:
+    """Pair counts of comoving positions x, y, z seen from the origin; the line of sight is that of the pair's midpoint.
+
+    With a cosmology, positions are made from ra, dec (degrees) and redshift.
+    """
     check_edges(edges, mode, n_mu, pimax)
+    if cosmo:
+        first, second = (d if d is None else d.withColumns(dict(zip("xyz", sky_to_comoving(cosmo, F.col("ra"), F.col("dec"), F.col("redshift")), strict=True))) for d in (first, second))
     b = first if second is None else second
     sides = [d.withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0)) for d in (first, b)]
-    keep, far = ["w", "x", "y", "z"], edges[-1] if mode != "projected" else math.hypot(edges[-1], pimax)
+    far = edges[-1] if mode != "projected" else math.hypot(edges[-1], pimax)
     sides = [d.select("id", "w", *"xyz", *[F.col(c).alias(f"p{c}") for c in "xyz"]) for d in sides]
     p = separations(*sides, far, None, ["w", "px", "py", "pz"], ["w", "px", "py", "pz"]).where("id1 <> id2" if second is None else "true")
-    del keep
     mid = [F.col(f"p{c}1") + F.col(f"p{c}2") for c in "xyz"]
     s2 = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
     along = F.abs(sum((F.col(f"d{a}") * m for a, m in zip("xyz", mid, strict=True)), F.lit(0.0)) / F.sqrt(sum((m * m for m in mid), F.lit(0.0))))

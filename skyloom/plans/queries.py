@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from skyloom.catalog import Catalog, position_sql, positions, species, stack
 from skyloom.functions import sky
-from skyloom.functions.cosmology import Cosmology
+from skyloom.functions.cosmology import Cosmology, comoving_to_sky, sky_to_comoving
 from skyloom.operators import groups, histograms, mocks, paircount, power
 from skyloom.operators import mesh as M
+from skyloom.operators.field import Mesh
+from skyloom.operators.numbering import dense_index
 
 BOX, N = 100.0, 8
 QUERIES, ORACLES = {}, {}
@@ -295,6 +297,13 @@ def filter_top_hat(spark, sf):
     return _power(spark, sf, M.apply_filter(_field(spark, sf), N, BOX, lambda k: sky.top_hat(k, 10.0)))
 
 
+@query(f"select ix, iy, iz, round(-im * m * {K0!r}, 8) + 0.0 as re, round(re * m * {K0!r}, 8) + 0.0 as im from (select *, case when nx = {N // 2} then -nx else nx end as m from ({modes_sql(f'select ix, iy, iz, v * (ix + 1) as v from ({density_sql(points_sql("orders"))})')}))")
+def mesh_queued_filters(spark, sf):
+    mesh = Mesh.from_points(points(spark, sf, "orders"), N, BOX)
+    mesh = mesh.apply(lambda x, y, z: x + 1, "index", "real").apply(lambda x, y, z: (F.lit(0.0), x))
+    return mesh.compute("complex").select(*M.CELL, r("re", 8).alias("re"), r("im", 8).alias("im"))
+
+
 @query()
 def power_projected(spark, sf):
     return power.projected_power(M.paint(points(spark, sf, "orders"), N, BOX, "cic"), N, BOX)
@@ -403,6 +412,41 @@ def pairs_survey(spark, sf):
     return _pairs(paircount.survey_pairs(points(spark, sf, "customer"), REDGES, mode="2d", n_mu=4, weight="w"))
 
 
+# A universe of matter alone has its distances in closed form.
+_MATTER = Cosmology(omega_m=1.0)
+_REACH = repr(2 * sky.LIGHT_SPEED / 100)
+
+
+def _on_sky(spark, sf, name: str) -> DataFrame:
+    return points(spark, sf, name).select("id", "w", (F.col("x") * 0.5).alias("ra"), (F.col("y") * 0.5 - 25).alias("dec"), ((F.col("z") + 20) / 3000).alias("redshift"))
+
+
+def comoving_sql(name: str) -> str:
+    found = f"select id, w, radians(x * 0.5) as a, radians(y * 0.5 - 25) as b, {_REACH} * (1 - 1 / sqrt(1 + (z + 20) / 3000)) as d from {points_sql(name)}"
+    return f"(select id, w, d * cos(b) * cos(a) as x, d * cos(b) * sin(a) as y, d * sin(b) as z from ({found}))"
+
+
+@query(f"select id, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, round(z, 4) + 0.0 as z from {comoving_sql('orders')}")
+def sky_to_comoving_positions(spark, sf):
+    src = _on_sky(spark, sf, "orders")
+    at = sky_to_comoving(_MATTER, F.col("ra"), F.col("dec"), F.col("redshift"))
+    return src.select("id", *[r(c, 4).alias(a) for c, a in zip(at, "xyz", strict=True)])
+
+
+_SEEN = f"select id, x, y, z, d, power(1 - d / {_REACH}, -2) - 1 as z0 from (select *, sqrt(x * x + y * y + z * z) as d from {points_sql('orders')})"
+
+
+@query(f"select id, case when d = 0 then 0 else round(((degrees(atan2(y, x)) % 360) + 360) % 360, 6) + 0.0 end as ra, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) + 0.0 as dec, round(z0 + coalesce((x * 30 + y * 20 - z * 10) / nullif(d, 0), 0) / {sky.LIGHT_SPEED!r} * (1 + z0), 8) + 0.0 as redshift from ({_SEEN})")
+def comoving_positions_to_sky(spark, sf):
+    ra, dec, z = comoving_to_sky(_MATTER, *(F.col(a) for a in "xyz"), velocity=(F.lit(30.0), F.lit(20.0), F.lit(-10.0)))
+    return points(spark, sf, "orders").select("id", r(ra).alias("ra"), r(dec).alias("dec"), r(z, 8).alias("redshift"))
+
+
+@query(pair_sql(comoving_sql("customer"), comoving_sql("customer"), "a.id <> b.id", S3, ", cast(least(floor(abs(dx * mx + dy * my + dz * mz) / sqrt(mx * mx + my * my + mz * mz) / s * 4), 3) as integer) as bin2", ", bin2", periodic=False))
+def pairs_survey_redshifts(spark, sf):
+    return _pairs(paircount.survey_pairs(_on_sky(spark, sf, "customer"), REDGES, mode="2d", n_mu=4, weight="w", cosmo=_MATTER))
+
+
 _SKY = f"(select id, w, cos(radians(y * 1.8 - 90)) * cos(radians(x * 3.6)) as x, cos(radians(y * 1.8 - 90)) * sin(radians(x * 3.6)) as y, sin(radians(y * 1.8 - 90)) as z from {CUST})"
 
 
@@ -516,13 +560,22 @@ def fiber_collisions(spark, sf):
     return groups.fiber_collisions(src, 0.2)
 
 
+@query("select c_custkey, row_number() over (order by c_acctbal desc, c_custkey) - 1 as place from customer")
+def dense_places(spark, sf):
+    return dense_index(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.asc("c_custkey")], "place").drop("c_acctbal")
+
+
 # Mocks and tables of bins
 
 
-@query()
+_TAIL = "(((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-u * u)"
+
+
+@query(f"""select id, round(central, 6) + 0.0 as central, round(case when mass > power(10, 13.27) then central * power((mass - power(10, 13.27)) / power(10, 14.08), 0.76) else 0 end, 6) + 0.0 as satellite
+from (select *, 0.5 * (1 + sign(u) * (1 - {_TAIL})) as central from (select *, 1 / (1 + 0.3275911 * abs(u)) as t from (select id, power(10, 12 + x / 25) as mass, (12 + x / 25 - 13.031) / 0.38 as u from {CUST})))""")
 def hod_zheng_mean_occupation(spark, sf):
     cen, sat = mocks.zheng07_means(F.pow(F.lit(10.0), 12 + F.col("x") / 25))
-    return points(spark, sf, "customer").select("id", cen.alias("central"), sat.alias("satellite"))
+    return points(spark, sf, "customer").select("id", r(cen).alias("central"), r(sat).alias("satellite"))
 
 
 @query()

@@ -141,8 +141,21 @@ def _fits_tables(data: bytes) -> Iterator[tuple[dict[str, str], int]]:
         at += -(-(size + int(cards.get("PCOUNT", 0))) // 2880) * 2880
 
 
+def _scaled(a: np.ndarray, scale: str, zero: str) -> np.ndarray:
+    s, z = (float(x.upper().replace("D", "E")) for x in (scale, zero))
+    if (s, z) == (1.0, 0.0):
+        return a
+    if a.dtype.kind in "iu" and s == 1.0 and z.is_integer():
+        # An offset of 2^63 marks unsigned 64-bit numbers.
+        return a.astype("u8") + np.uint64(2**63) if z == 2.0**63 else a.astype("i8") + int(z)
+    return a * s + z
+
+
 def read_fits(spark: SparkSession, path: str | list[str], fields: list[Field], ext: int | None = None) -> DataFrame:
-    """Columns of the first binary table of a FITS file, or of unit ext; an image there is an error."""
+    """Columns of the first binary table of a FITS file, or of unit ext; an image there is an error.
+
+    Scaled columns come as zero + scale * stored; whole numbers stay whole where the scale is 1.
+    """
 
     def decode(data: bytes) -> dict[str, np.ndarray]:
         for i, (cards, at) in enumerate(_fits_tables(data)):
@@ -154,7 +167,8 @@ def read_fits(spark: SparkSession, path: str | list[str], fields: list[Field], e
             formats = [re.fullmatch(r"(\d*)([A-Z]).*", cards[f"TFORM{k + 1}"]).groups() for k in range(int(cards["TFIELDS"]))]
             kind = np.dtype([(cards[f"TTYPE{k + 1}"], FITS_TYPES[letter], (int(w or 1),) if int(w or 1) > 1 else ()) for k, (w, letter) in enumerate(formats)])
             rows = np.frombuffer(data, kind, int(cards["NAXIS2"]), at)
-            return {name: _native(rows[name]).astype(np.dtype(k).newbyteorder("=")) for name, k, _ in fields}
+            scaling = {cards[f"TTYPE{k + 1}"]: (cards.get(f"TSCAL{k + 1}", "1"), cards.get(f"TZERO{k + 1}", "0")) for k in range(len(formats))}
+            return {name: _scaled(_native(rows[name]), *scaling[name]).astype(np.dtype(k).newbyteorder("=")) for name, k, _ in fields}
         raise ValueError("no binary table")
 
     return _decode(spark, path, _schema(fields), decode)
