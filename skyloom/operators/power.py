@@ -63,28 +63,35 @@ def unique_k(p: DataFrame, n: int, box: float) -> DataFrame:
     return m.groupBy("n2").agg((F.sqrt(F.first("n2")) * (2 * math.pi / box)).alias("k"), _mean(F.col("re")).alias("power"), F.sum("h").cast("long").alias("modes"))
 
 
-def projected_power(mesh: DataFrame, n: int, box: float, dk: float | None = None, kmin: float = 0.0, axes: str = "xy") -> DataFrame:
-    """Power of the grid summed over the axes not named: an n^d array, bounded by one plane, is transformed in one grouped map."""
-    dk, plane, d = dk or 2 * math.pi / box, M.preview(mesh, axes), len(axes)
-    edges = np.arange(kmin, math.pi * n / box + dk / 2, dk)
+def _transform_lines(grid: DataFrame, n: int, along: str, others: list[str], half: bool) -> DataFrame:
+    """One axis of a transform: each line of n cells is a group of its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((n,) * d)
-        np.add.at(grid, tuple(pdf[f"i{a}"] for a in axes), pdf["v"])
-        p = np.abs(np.fft.rfftn(grid) / n**d) ** 2 * box**d
-        p[(0,) * d] = 0
-        full, last = np.fft.fftfreq(n, 1 / n), np.arange(n // 2 + 1)
-        k = np.sqrt(sum(x**2 for x in np.meshgrid(*[full] * (d - 1), last, indexing="ij"))) * 2 * math.pi / box
-        w = np.full(p.shape, 2.0)
-        w[..., 0] = 1
-        w[..., -1] = 1 if n % 2 == 0 else 2
-        at = np.digitize(k.ravel(), edges) - 1
-        use = (at >= 0) & (at < len(edges) - 1)
-        tot = [np.bincount(at[use], (w.ravel() * x)[use], len(edges) - 1) for x in (np.ones(w.size), k.ravel(), p.ravel())]
-        full_bins = np.flatnonzero(tot[0])
-        return pd.DataFrame({"k_bin": full_bins, "k": (tot[1] / np.maximum(tot[0], 1))[full_bins], "power": (tot[2] / np.maximum(tot[0], 1))[full_bins], "modes": tot[0][full_bins].astype(np.int64)})
-
-    return plane.groupBy().applyInPandas(run, "k_bin int, k double, power double, modes long")
+        line = np.zeros(n, complex)
+        line[pdf[along]] = pdf["re"] + 1j * pdf["im"].to_numpy()
+        c = (np.fft.fft(line) / n)[: n // 2 + 1 if half else n]
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in others}, along: np.arange(len(c)), "re": c.real, "im": c.imag})
+
+    schema = ", ".join(f"{k} int" for k in (*others, along)) + ", re double, im double"
+    return grid.groupBy(*others).applyInPandas(run, schema)
+
+
+def projected_power(mesh: DataFrame, n: int, box: float, dk: float | None = None, kmin: float = 0.0, axes: str = "xy") -> DataFrame:
+    """Power of the grid summed over the axes not named, transformed axis by axis in lines: k_bin, k, power, modes.
+
+    The last axis named has half its modes, which count twice but for its first and (of an even grid) last. Modes on an edge are in the bin above.
+    """
+    edges, cells = k_edges(n, box, dk, kmin), [f"i{a}" for a in axes]
+    m = M.preview(mesh, axes).select(*cells, F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    for c in reversed(cells):
+        m = _transform_lines(m, n, c, [x for x in cells if x != c], c == cells[-1])
+    signed = [F.when(F.col(c) > (n - 1) // 2, F.col(c) - n).otherwise(F.col(c)) for c in cells]
+    last = F.col(cells[-1])
+    n2 = sum((x * x for x in signed), F.lit(0))
+    m = m.withColumns({"n2": n2, "h": F.when((last == 0) | (last * 2 == n), 1).otherwise(2)})
+    power = F.when(F.col("n2") == 0, 0.0).otherwise((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * box ** len(axes))
+    m = m.withColumn("k_bin", bin_of(F.col("n2"), squared_edges(edges, box))).where((F.col("k_bin") >= 0) & (F.col("k_bin") < len(edges) - 1))
+    return m.groupBy("k_bin").agg(_mean(F.sqrt("n2") * (2 * math.pi / box)).alias("k"), _mean(power).alias("power"), F.sum("h").cast("long").alias("modes"))
 
 
 def correlation(p: DataFrame, n: int, box: float, edges: list[float], mu_edges: list[float] | None = None, poles: tuple[int, ...] = ()) -> DataFrame:

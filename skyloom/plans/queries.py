@@ -304,9 +304,15 @@ def mesh_queued_filters(spark, sf):
     return mesh.compute("complex").select(*M.CELL, r("re", 8).alias("re"), r("im", 8).alias("im"))
 
 
-@query()
+_PLANE = f"""select mx, my, case when mx > {N // 2} then mx - {N} else mx end as nx, my as ny, case when my > 0 and my < {N // 2} then 2 else 1 end as h,
+  sum(v * cos({2 * math.pi / N!r} * (mx * ix + my * iy))) / {N**2} as re, sum(v * sin({2 * math.pi / N!r} * (mx * ix + my * iy))) / {N**2} as im
+from ({paint_sql(points_sql("orders"), "cic")}) c cross join (select cast(unnest(range(0, {N})) as integer) as mx) a cross join (select cast(unnest(range(0, {N // 2 + 1})) as integer) as my) b group by mx, my"""
+
+
+@query(mean_sql(bins_sql(f"select h, nx * nx + ny * ny as n2, 0 as nz, case when nx = 0 and ny = 0 then 0 else (re * re + im * im) * {BOX**2} end as re from ({_PLANE})")))
 def power_projected(spark, sf):
-    return power.projected_power(M.paint(points(spark, sf, "orders"), N, BOX, "cic"), N, BOX)
+    p = power.projected_power(M.paint(points(spark, sf, "orders"), N, BOX, "cic"), N, BOX)
+    return p.select("k_bin", r("k").alias("k"), r("power", 4).alias("power"), "modes")
 
 
 @query()

@@ -103,3 +103,20 @@ def test_bins(spark, tmp_path):
     b.to_json(str(tmp_path / "b.json"))
     back = histograms.Bins.from_json(spark, str(tmp_path / "b.json"))
     assert back.df.exceptAll(df).isEmpty() and back.attrs == {"n": 1} and back.dims == b.dims
+
+
+@pytest.mark.parametrize("axes", ["x", "zx", "xyz"])
+def test_projected_power(spark, axes):
+    n, box = 4, 10.0
+    v = np.random.default_rng(6).random((n, n, n))
+    cells = spark.createDataFrame([(*map(int, i), float(v[i])) for i in np.ndindex(v.shape)], "ix int, iy int, iz int, v double")
+    grid = v.sum(axis=tuple(i for i in range(3) if "xyz"[i] not in axes))
+    grid = grid.T if axes == "zx" else grid
+    p = np.abs(np.fft.fftn(grid) / grid.size) ** 2 * box ** len(axes)
+    p[(0,) * p.ndim] = 0
+    k = np.sqrt(sum(x**2 for x in np.meshgrid(*[np.fft.fftfreq(n, 1 / n)] * p.ndim, indexing="ij")))
+    # Every mode of the whole space once, which is what counting half of them twice comes to.
+    found = {r["k_bin"]: r for r in power.projected_power(cells, n, box, axes=axes).collect()}
+    for i in range(2):
+        use = (k >= i) & (k < i + 1)
+        assert found[i]["modes"] == use.sum() and np.isclose(found[i]["power"], p[use].mean())
