@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -105,27 +106,45 @@ def fiber_collisions(df: DataFrame, radius: float = 62 / 3600, seed: int = 0) ->
     Groups are friends of friends on the sphere. In a group of two a random one collides; in a larger one
     the object with most neighbours is removed again and again (ties: fewest collisions among its
     neighbours, then a random key) until none is too close. A collided object's neighbor is the nearest kept one.
+    A group is decided in one task, which holds its links, not its pairs.
     """
     x, y, z = to_unit_sphere(F.col("ra"), F.col("dec"))
     pos = df.select("id", x.alias("x"), y.alias("y"), z.alias("z"))
     link = 2 * math.sin(math.radians(radius) / 2)
     labels = fof(pos, link, 1)
-    grouped = pos.join(labels.where("label > 0"), "id").withColumn("key", F.xxhash64("id", F.lit(seed)))
+    near = radius_pairs(pos, pos, link).where("id1 <> id2").groupBy(F.col("id1").alias("id")).agg(F.collect_list("id2").alias("near"))
+    grouped = pos.join(labels.where("label > 0"), "id").join(near, "id").withColumn("key", F.xxhash64("id", F.lit(seed)))
 
     def assign(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id").reset_index(drop=True)
-        p = g[["x", "y", "z"]].to_numpy()
-        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
-        near = d <= link
-        np.fill_diagonal(near, False)
-        left = np.ones(len(g), bool)
-        while (n := (near & left & left[:, None]).sum(axis=1)).any():
-            most = np.flatnonzero(left & (n == n[left].max()))
-            around = np.array([n[near[i] & left].sum() for i in most])
-            best = most[around == around.min()]
-            left[best[np.argmin(g["key"].to_numpy()[best])]] = False
-        to = np.where(left, -1, g["id"].to_numpy()[np.where(left[None, :], d, np.inf).argmin(axis=1)])
-        return pd.DataFrame({"id": g["id"], "label": g["label"], "collided": (~left).astype(np.int32), "neighbor_id": to})
+        ids, key, p = g["id"].to_numpy(), g["key"].tolist(), g[["x", "y", "z"]].to_numpy()
+        links = [np.searchsorted(ids, x).tolist() for x in g["near"]]
+        left, n = [True] * len(g), [len(x) for x in links]
+        around = [sum(n[j] for j in x) for x in links]
+        first = [(-n[i], around[i], key[i], i) for i in range(len(g))]
+        heapq.heapify(first)
+        while first and first[0][0] < 0:
+            count, beside, _, i = heapq.heappop(first)
+            if not left[i] or (-count, beside) != (n[i], around[i]):
+                continue  # an entry from before a neighbour went
+            left[i], changed = False, set()
+            for j in links[i]:
+                if left[j]:
+                    around[j] -= n[i]
+                    n[j] -= 1
+                    changed.add(j)
+                    for k in links[j]:
+                        around[k] -= 1
+                        changed.add(k)
+            for j in changed:
+                if left[j]:
+                    heapq.heappush(first, (-n[j], around[j], key[j], j))
+        kept, to = np.flatnonzero(left), np.full(len(g), -1)
+        for i in np.flatnonzero(~np.array(left)):
+            # A kept object within the link is nearer than all beyond it.
+            beside = np.array([j for j in sorted(links[i]) if left[j]] or kept)
+            to[i] = ids[beside[((p[beside] - p[i]) ** 2).sum(axis=1).argmin()]]
+        return pd.DataFrame({"id": ids, "label": g["label"], "collided": (~np.array(left)).astype(np.int32), "neighbor_id": to})
 
     found = grouped.groupBy("label").applyInPandas(assign, "id long, label int, collided int, neighbor_id long")
     return df.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("collided", F.lit(0)).alias("collided"), F.when(F.col("neighbor_id") >= 0, F.col("neighbor_id")).alias("neighbor_id"))

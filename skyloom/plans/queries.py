@@ -315,9 +315,18 @@ def power_projected(spark, sf):
     return p.select("k_bin", r("k").alias("k"), r("power", 4).alias("power"), "modes")
 
 
-@query()
+CEDGES = [1.0, 15.0, 30.0, 45.0]
+_CELLS = " cross join ".join(f"(select cast(unnest(range(0, {N})) as integer) as {c}) {c}s" for c in ("cx", "cy", "cz"))
+_NEAR = ", ".join(f"case when {c} > {N // 2} then {c} - {N} else {c} end as d{c[1]}" for c in ("cx", "cy", "cz"))
+
+
+@query(f"""select r_bin, round(avg(r), 6) as r, round(avg(v), 8) + 0.0 as corr, count(*) as modes, round(avg(v), 8) + 0.0 as corr_0, round(avg(v * 5 * (3 * mu * mu - 1) / 2), 8) + 0.0 as corr_2
+from (select *, {" + ".join(f"cast(r >= {e} as integer)" for e in CEDGES)} - 1 as r_bin, case when r = 0 then 0 else abs(dz) * {BOX / N} / r end as mu from (select *, sqrt(dx * dx + dy * dy + dz * dz) * {BOX / N} as r from (select {_NEAR}, v from (
+  select cx, cy, cz, sum(h * re * cos({2 * math.pi / N!r} * (ix * cx + iy * cy + iz * cz))) / {BOX**3} as v from ({auto_sql(CIC_MODES)}) m cross join {_CELLS} group by cx, cy, cz))))
+where r_bin between 0 and {len(CEDGES) - 2} group by r_bin""")
 def fft_corr(spark, sf):
-    return power.correlation(power.power_modes(_field(spark, sf), None, BOX**3), N, BOX, [1.0, 15.0, 30.0, 45.0], poles=(0, 2))
+    c = power.correlation(power.power_modes(_field(spark, sf), None, BOX**3), N, BOX, CEDGES, poles=(0, 2))
+    return c.select("r_bin", r("r").alias("r"), r("corr", 8).alias("corr"), "modes", r("corr_0", 8).alias("corr_0"), r("corr_2", 8).alias("corr_2"))
 
 
 @query()

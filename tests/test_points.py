@@ -120,3 +120,27 @@ def test_projected_power(spark, axes):
     for i in range(2):
         use = (k >= i) & (k < i + 1)
         assert found[i]["modes"] == use.sum() and np.isclose(found[i]["power"], p[use].mean())
+
+
+def test_fiber_collisions_are_greedy(spark):
+    rng = np.random.default_rng(8)
+    ra, dec = rng.random(160) * 3, rng.random(160) * 3
+    df = spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec, strict=True))], "id long, ra double, dec double")
+    found = {r["id"]: r for r in groups.fiber_collisions(df, 0.25, 5).collect()}
+    key = {r["id"]: r["k"] for r in df.select("id", F.xxhash64("id", F.lit(5)).alias("k")).collect()}
+    a, d = np.radians(ra), np.radians(dec)
+    p = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], 1)
+    gap = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    near = (gap <= 2 * np.sin(np.radians(0.25) / 2)) & ~np.eye(160, dtype=bool)
+    left = np.ones(160, bool)
+    # Groups do not touch each other, so one order over all of them decides each group alike.
+    while (n := (near & left).sum(axis=1) * left).any():
+        most = np.flatnonzero(n == n.max())
+        left[min(most, key=lambda i: (n[near[i] & left].sum(), key[i]))] = False
+    assert {i for i, r in found.items() if r["collided"]} == set(np.flatnonzero(~left))
+    for i, r in found.items():
+        if r["collided"]:
+            same = [j for j in np.flatnonzero(left) if found[j]["label"] == r["label"]]
+            assert r["neighbor_id"] == min(same, key=lambda j: gap[i, j])
+        else:
+            assert r["neighbor_id"] is None
