@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import decontaminate, licenses, near_vectors, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, toxicity
+from skyloom.llm import decontaminate, filter_audit, html_text, licenses, near_vectors, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_toxicity, op4_decontamination, op5_ngram_jaccard_join, op6_license_scan, op7_quality_perplexity, op8_token_counts, op9_embedding_near_dedup, op10_secret_scan)}
-ORACLES = {"op4_decontamination": decontaminate.oracle_sql(), "op6_license_scan": licenses.oracle_sql()}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_toxicity, op4_decontamination, op5_ngram_jaccard_join, op6_license_scan, op7_quality_perplexity, op8_token_counts, op9_embedding_near_dedup, op10_secret_scan, op11_filter_audit, op12_vector_codes, op13_html_text)}
+ORACLES = {"op4_decontamination": decontaminate.oracle_sql(), "op6_license_scan": licenses.oracle_sql(), "op11_filter_audit": filter_audit.oracle_sql(), "op12_vector_codes": vector_codes.oracle_sql(), "op13_html_text": html_text.oracle_sql()}
