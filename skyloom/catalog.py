@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators.box import Cells, Sides
 from skyloom.operators.field import Mesh
 from skyloom.operators.numbering import dense_index
 
@@ -73,7 +74,7 @@ class Catalog:
     def copy(self) -> Catalog:
         return Catalog(self.df, self.attrs)
 
-    def to_mesh(self, n: int, box: float | None = None, window: str = "cic", interlaced: bool = False, compensated: bool = False, weight: str = "Weight", value: str = "Value", selection: str = "Selection") -> Mesh:
+    def to_mesh(self, n: Cells, box: Sides | None = None, window: str = "cic", interlaced: bool = False, compensated: bool = False, weight: str = "Weight", value: str = "Value", selection: str = "Selection") -> Mesh:
         """A grid of the catalog's density; the box is the attribute BoxSize, if not given."""
         return Mesh.from_points(self.df, n, box or self.attrs["BoxSize"], window, self[weight], self[value], self[selection], interlaced, compensated)
 

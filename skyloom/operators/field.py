@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators import mesh as M
+from skyloom.operators.box import Cells, Sides, three
 
 #: A filter takes three coordinates and gives a factor, or its real and imaginary part.
 Filter = Callable[[Column, Column, Column], Column | tuple[Column, Column]]
@@ -17,15 +18,15 @@ KINDS = {"real": ("relative", "index"), "complex": ("wavenumber", "circular", "i
 
 
 class Mesh:
-    """n^3 cells (ix, iy, iz, v) in a box, or modes (ix, iy, iz, re, im); filters wait until compute()."""
+    """n cells (ix, iy, iz, v) in a box, each one number or one for each axis, or modes (ix, iy, iz, re, im); filters wait until compute()."""
 
-    def __init__(self, df: DataFrame, n: int, box: float, mode: str = "real", attrs: dict | None = None, queue: tuple = ()):
+    def __init__(self, df: DataFrame, n: Cells, box: Sides, mode: str = "real", attrs: dict | None = None, queue: tuple = ()):
         if mode not in KINDS:
             raise ValueError(f"unknown mode {mode}")
-        self.df, self.n, self.box, self.mode, self.attrs, self.queue = df, n, float(box), mode, dict(attrs or {}), tuple(queue)
+        self.df, self.n, self.box, self.mode, self.attrs, self.queue = df, three(n), tuple(map(float, three(box))), mode, dict(attrs or {}), tuple(queue)
 
     @classmethod
-    def from_points(cls, df: DataFrame, n: int, box: float, window: str = "cic", weight: Column | float = 1.0, value: Column | float = 1.0, selection: Column | None = None, interlaced: bool = False, compensated: bool = False) -> Mesh:
+    def from_points(cls, df: DataFrame, n: Cells, box: Sides, window: str = "cic", weight: Column | float = 1.0, value: Column | float = 1.0, selection: Column | None = None, interlaced: bool = False, compensated: bool = False) -> Mesh:
         """1 + delta of the selected points; interlaced grids start as modes."""
         attrs = M.totals(df, box, weight, selection)
         grids = [M.density(M.paint(df, n, box, window, weight, value, selection, shift), n, attrs["W"]) for shift in ((0.0, 0.5) if interlaced else (0.0,))]
@@ -47,13 +48,19 @@ class Mesh:
             raise ValueError(f"no coordinates {kind} for {mode}")
         return Mesh(self.df, self.n, self.box, self.mode, self.attrs, (*self.queue, (factor, kind, mode)))
 
-    def compute(self, mode: str = "real") -> DataFrame:
-        """Cells or modes after all filters in their order; transforms only where a filter needs the other form."""
+    def compute(self, mode: str = "real", n: Cells | None = None) -> DataFrame:
+        """Cells or modes after all filters in their order; transforms only where a filter needs the other form.
+
+        With n, the grid is resampled to so many cells at the end.
+        """
         df, now = self.df, self.mode
         for factor, kind, wanted in self.queue:
             df, now = self._turn(df, now, wanted), wanted
             df = self._filtered(df, factor, kind, wanted)
-        return self._turn(df, now, mode)
+        if n is None or three(n) == self.n:
+            return self._turn(df, now, mode)
+        df = M.resample(self._turn(df, now, "complex"), self.n, n)
+        return df if mode == "complex" else M.ifft(df, n)
 
     def _turn(self, df: DataFrame, now: str, to: str) -> DataFrame:
         if to not in KINDS:
@@ -61,10 +68,10 @@ class Mesh:
         return df if now == to else M.fft(df, self.n) if to == "complex" else M.ifft(df, self.n)
 
     def _filtered(self, df: DataFrame, factor: Filter, kind: str, mode: str) -> DataFrame:
-        unit = {"index": 1, "relative": self.box / self.n, "wavenumber": 2 * math.pi / self.box, "circular": 2 * math.pi / self.n}[kind]
+        units = [{"index": 1, "relative": side / n, "wavenumber": 2 * math.pi / side, "circular": 2 * math.pi / n}[kind] for n, side in zip(self.n, self.box, strict=True)]
         if mode == "complex":
             df = M.with_wavenumbers(df, self.n, self.box)
-        at = [F.col(c) * unit for c in (("nx", "ny", "nz") if mode == "complex" else M.CELL)]
+        at = [F.col(c) * unit for c, unit in zip(("nx", "ny", "nz") if mode == "complex" else M.CELL, units, strict=True)]
         f = factor(*at)
         if mode == "real":
             return df.select(*M.CELL, (F.col("v") * f).alias("v"))

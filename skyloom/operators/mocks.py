@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from skyloom.functions.cosmology import Cosmology
 from skyloom.operators import mesh as M
+from skyloom.operators.numbering import dense_index
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -90,8 +91,7 @@ def lognormal_catalog(spark: SparkSession, cosmo: Cosmology, redshift: float, nb
     objects = cells.where("number > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "number")))
     rate = float(cosmo.growth_rate(redshift) * 100 * cosmo.efunc(redshift) / (1 + redshift))
     where = [F.pmod((F.col(c) + uniform(seed + 10 + i, *M.CELL, "copy")) * (box / n) + F.col(f"psi{a}"), F.lit(float(box))).alias(a) for i, (c, a) in enumerate(zip(M.CELL, "xyz", strict=True))]
-    key = ((F.col("ix").cast("long") * n + F.col("iy")) * n + F.col("iz")) * 1000 + F.col("copy")
-    return objects.select(key.alias("id"), *where, *[(F.col(f"psi{a}") * rate).alias(f"v{a}") for a in "xyz"])
+    return dense_index(objects, [*M.CELL, "copy"], "id").select("id", *where, *[(F.col(f"psi{a}") * rate).alias(f"v{a}") for a in "xyz"])
 
 
 def zheng07_means(mass: Column, log_m_min: float = 13.031, sigma: float = 0.38, alpha: float = 0.76, log_m0: float = 13.27, log_m1: float = 14.08) -> tuple[Column, Column]:

@@ -329,13 +329,9 @@ def fft_corr(spark, sf):
     return c.select("r_bin", r("r").alias("r"), r("corr", 8).alias("corr"), "modes", r("corr_0", 8).alias("corr_0"), r("corr_2", 8).alias("corr_2"))
 
 
-@query()
-def reconstruction(spark, sf):
-    return power.reconstruct(points(spark, sf, "orders"), points(spark, sf, "customer"), N, BOX, 20.0, 2.0, 0.5, "LF2")
-
-
-def _survey(spark, sf, name: str) -> DataFrame:
-    return points(spark, sf, name).select("id", "x", "y", "z", F.lit(1e-3).alias("NZ"), F.col("w").alias("Weight"), sky.fkp_weight(F.lit(1e-3), 1e4).alias("FKPWeight"))
+def _survey(spark, sf) -> power.Survey:
+    data, randoms = [points(spark, sf, name).select("id", "x", "y", "z", F.lit(1e-3).alias("NZ"), F.col("w").alias("Weight"), sky.fkp_weight(F.lit(1e-3), 1e4).alias("FKPWeight")) for name in ("customer", "orders")]
+    return power.Survey(data, randoms)
 
 
 _FKP = 1 / (1 + 1e4 * 1e-3)
@@ -344,13 +340,8 @@ _FKP = 1 / (1 + 1e4 * 1e-3)
 @query(f"""select round(d.w / r.w, 9) as alpha, round(d.w / r.w * r.w * {1e-3 * _FKP**2!r}, 9) as norm, round((d.w2 * {_FKP**2!r} + d.w / r.w * d.w / r.w * r.w2 * {_FKP**2!r}) / (d.w / r.w * r.w * {1e-3 * _FKP**2!r}), 4) as shotnoise
 from (select sum(w) as w, sum(w * w) as w2 from {points_sql('customer')}) d cross join (select sum(w) as w, sum(w * w) as w2 from {points_sql('orders')}) r""")
 def convpower_norm_shotnoise(spark, sf):
-    s = power.fkp_sums(_survey(spark, sf, "customer"), _survey(spark, sf, "orders"))
-    return spark.createDataFrame([(round(s["alpha"], 9), round(s["randoms_norm"], 9), round(s["shotnoise"], 4))], "alpha double, norm double, shotnoise double")
-
-
-@query()
-def convpower_poles(spark, sf):
-    return power.survey_poles(_survey(spark, sf, "customer"), _survey(spark, sf, "orders"), N, BOX, (0.0, 0.0, 300.0), EDGES, (0, 2))
+    s = power.survey_sums(_survey(spark, sf))
+    return s.select(r("alpha", 9).alias("alpha"), r("randoms_norm", 9).alias("norm"), r("shotnoise", 4).alias("shotnoise"))
 
 
 # Histograms
@@ -619,3 +610,6 @@ def binned_reindex(spark, sf):
 @query(f"select r_bin, npairs, wnpairs from ({_TWO}) where bin2 = 1")
 def binned_sel(spark, sf):
     return _two(spark, sf).sel("nearest", bin2=0.4).df
+
+
+from skyloom.plans import box_queries  # noqa: E402, F401  they register themselves
