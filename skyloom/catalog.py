@@ -1,4 +1,4 @@
-"""A catalog: a DataFrame of objects with a dense id, coordinates and free columns, and a dict of attributes."""
+"""A catalog: a DataFrame of objects with an id, coordinates and free columns, and a dict of attributes."""
 
 from __future__ import annotations
 
@@ -16,10 +16,18 @@ DEFAULTS = {"Selection": lambda: F.lit(True), "Weight": lambda: F.lit(1.0), "Val
 
 
 class Catalog:
-    """Columns are looked up as own columns first, then as defaults (Selection, Weight, Value)."""
+    """Columns are looked up as own columns first, then as defaults (Selection, Weight, Value).
 
-    def __init__(self, df: DataFrame, attrs: Mapping | None = None):
-        self.df, self.attrs = df, dict(attrs or {})
+    Rows have an order: that of their ids, or of the last sort. Positions count in it. Ids that are known
+    to be 0.. in this order are positions; where they are not, as after a filter or a sort, rows are
+    numbered anew, by ranges, when positions are first asked for.
+    """
+
+    def __init__(self, df: DataFrame, attrs: Mapping | None = None, dense: bool = False, order: Sequence[Column] = ()):
+        self.df, self.attrs, self.is_dense, self.order = df, dict(attrs or {}), dense, tuple(order)
+
+    def _with(self, df: DataFrame, dense: bool | None = None) -> Catalog:
+        return Catalog(df, self.attrs, self.is_dense if dense is None else dense, self.order)
 
     @classmethod
     def from_arrays(cls, spark: SparkSession, data: Mapping[str, Sequence], **attrs) -> Catalog:
@@ -28,7 +36,7 @@ class Catalog:
         if len(sizes) != 1:
             raise ValueError(f"columns of different lengths: {sorted(sizes)}")
         rows = [(i, *[x.tolist() if hasattr(x, "tolist") else x for x in r]) for i, r in enumerate(zip(*data.values(), strict=True))]
-        return cls(spark.createDataFrame(rows, ["id", *data]), attrs)
+        return cls(spark.createDataFrame(rows, ["id", *data]), attrs, dense=True)
 
     @property
     def columns(self) -> list[str]:
@@ -39,7 +47,7 @@ class Catalog:
         return self.df.count()
 
     def __getitem__(self, key):
-        """A name gives a Column, names a projection, a boolean Column a filter, a slice rows by id."""
+        """A name gives a Column, names a projection, a boolean Column a filter, a slice or whole numbers rows by position."""
         if isinstance(key, str):
             if key in self.df.columns:
                 return self.df[key]
@@ -47,93 +55,107 @@ class Catalog:
                 return DEFAULTS[key]()
             raise KeyError(key)
         if isinstance(key, Column):
-            return Catalog(self.df.where(key), self.attrs)
+            return self._with(self.df.where(key), False)
         if isinstance(key, slice):
             return self.gslice(key.start, key.stop, key.step)
         if isinstance(key, (list, tuple)) and all(isinstance(k, str) for k in key):
-            return Catalog(self.df.select("id", *[self[k].alias(k) for k in key if k != "id"]), self.attrs)
+            kept = Catalog(self.df, self.attrs, self.is_dense, self.order) if not self.order else self.dense()
+            return kept._with(kept.df.select("id", *[kept[k].alias(k) for k in key if k != "id"]))
         if isinstance(key, (list, tuple)) and all(isinstance(k, int) and not isinstance(k, bool) for k in key):
             return self._take(key)
         raise KeyError(key)
 
     def _take(self, places: Sequence[int]) -> Catalog:
         """Rows at positions, in their order and as often as named; the new id is the place in the list."""
-        n = self.size
+        n, own = self.size, self.dense()
         if bad := [k for k in places if not -n <= k < n]:
             raise IndexError(bad[0])
         wanted = self.df.sparkSession.createDataFrame([(i, k % n) for i, k in enumerate(places)], "_place long, id long")
         # The list came from the driver, so it is small.
-        found = self.df.join(F.broadcast(wanted), "id").withColumn("id", F.col("_place"))
-        return Catalog(found.select(*self.df.columns), self.attrs)
+        found = own.df.join(F.broadcast(wanted), "id").withColumn("id", F.col("_place"))
+        return Catalog(found.select(*self.df.columns), self.attrs, dense=True)
 
     def dense(self) -> Catalog:
-        """The same rows in the order of their ids, with ids 0.. without gaps, as filters and slices leave them."""
-        numbered = dense_index(self.df.withColumnRenamed("id", "_old"), ["_old"], "id")
-        return Catalog(numbered.select(*self.df.columns), self.attrs)
+        """The same rows in the same order, with ids 0.. without gaps."""
+        if self.is_dense:
+            return self
+        numbered = dense_index(self.df.withColumnRenamed("id", "_old"), [*self.order, "_old"], "id")
+        return Catalog(numbered.select(*self.df.columns), self.attrs, dense=True)
 
     def copy(self) -> Catalog:
-        return Catalog(self.df, self.attrs)
+        return self._with(self.df)
 
     def to_mesh(self, n: Cells, box: Sides | None = None, window: str = "cic", interlaced: bool = False, compensated: bool = False, weight: str = "Weight", value: str = "Value", selection: str = "Selection") -> Mesh:
         """A grid of the catalog's density; the box is the attribute BoxSize, if not given."""
         return Mesh.from_points(self.df, n, box or self.attrs["BoxSize"], window, self[weight], self[value], self[selection], interlaced, compensated)
 
     def with_column(self, name: str, value) -> Catalog:
-        return Catalog(self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value)), self.attrs)
+        return self._with(self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value)))
 
     def drop(self, name: str) -> Catalog:
         if name not in self.df.columns or name == "id":
             raise ValueError(f"cannot delete {name}")
-        return Catalog(self.df.drop(name), self.attrs)
+        return self._with(self.df.drop(name))
 
     def gslice(self, start: int | None = None, stop: int | None = None, step: int | None = None, redistribute: bool = False) -> Catalog:
-        """Rows by position (id), as a slice of a sequence; steps must be positive."""
-        step = step or 1
-        if step < 0:
-            raise ValueError("a negative step is not supported")
-        n = self.size if any(x is not None and x < 0 for x in (start, stop)) else 0
-        lo = max((start or 0) + (n if (start or 0) < 0 else 0), 0)
+        """Rows by position, as a slice of a sequence; a negative step turns their order. Ids are those of the positions."""
+        by, own = step or 1, self.dense()
+        if by > 0 and (start or 0) >= 0 and (stop is None or stop >= 0):
+            # The number of rows does not matter.
+            lo, hi = start or 0, stop
+        else:
+            lo, hi, _ = slice(start, stop, by).indices(self.size)
+            if by < 0:
+                # The same rows, counted from below.
+                n = max((lo - hi - by - 1) // -by, 0)
+                lo, hi = lo + (n - 1) * by, lo + 1 if n else lo
         keep = F.col("id") >= lo
-        if stop is not None:
-            keep &= F.col("id") < (stop + n if stop < 0 else stop)
-        if step > 1:
-            keep &= (F.col("id") - lo) % step == 0
-        df = self.df.where(keep)
-        return Catalog(df.repartition("id") if redistribute else df, self.attrs)
+        if hi is not None:
+            keep &= F.col("id") < hi
+        if abs(by) > 1:
+            keep &= (F.col("id") - lo) % abs(by) == 0
+        df = own.df.where(keep)
+        return Catalog(df.repartition("id") if redistribute else df, self.attrs, order=[F.col("id").desc()] if by < 0 else [])
 
     def sort(self, keys: str | Sequence[str], reverse: bool = False, columns: Sequence[str] | None = None) -> Catalog:
         """By numeric order of the keys, the first key first; ties by id."""
         keys = [keys] if isinstance(keys, str) else list(keys)
         if len(set(keys)) != len(keys):
             raise ValueError("duplicate sort keys")
-        df = self.df if columns is None else self.df.select("id", *columns)
-        return Catalog(df.orderBy(*[F.col(k).desc() if reverse else F.col(k).asc() for k in keys], "id"), self.attrs)
+        order = [F.col(k).desc() if reverse else F.col(k).asc() for k in keys]
+        found = Catalog(self.df.orderBy(*order, "id"), self.attrs, order=order)
+        if columns is None:
+            return found
+        found = found.dense() if set(keys) - {"id", *columns} else found
+        return found._with(found.df.select("id", *[found[c].alias(c) for c in columns]))
 
     def concat(self, *others: Catalog, columns: Sequence[str] | None = None) -> Catalog:
-        """Rows of all catalogs by the columns of the first; ids are shifted so that they stay dense."""
+        """Rows of all catalogs by the columns of the first; ids are the positions in the whole."""
         names = list(columns or [c for c in self.df.columns if c != "id"])
         for o in others:
             if missing := [c for c in names if c not in o.columns]:
                 raise ValueError(f"missing columns {missing}")
         out, shift = None, 0
-        for o in (self, *others):
-            part = o.df.select((F.col("id") + shift).alias("id"), *[o[c].alias(c) for c in names])
+        for c in (self, *others):
+            o = c.dense()
+            part = o.df.select((F.col("id") + shift).alias("id"), *[o[n].alias(n) for n in names])
             out = part if out is None else out.unionByName(part)
-            shift += o.size
-        return Catalog(out, self.attrs)
+            shift += c.size if c is not (self, *others)[-1] else 0
+        return Catalog(out, self.attrs, dense=True)
 
     def persist(self) -> Catalog:
-        return Catalog(self.df.cache(), self.attrs)
+        return self._with(self.df.cache())
 
     def save(self, path: str, columns: Sequence[str] | None = None, rows_per_file: int = 32 << 20) -> None:
         """A Parquet directory, with the attributes beside it as one JSON row."""
-        names = list(columns or [c for c in self.df.columns if c != "id"])
-        self.df.select("id", *[self[c].alias(c) for c in names]).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/columns")
-        self.df.sparkSession.createDataFrame([(json.dumps(self.attrs),)], "attrs string").coalesce(1).write.mode("overwrite").text(f"{path}/attrs")
+        names, own = list(columns or [c for c in self.df.columns if c != "id"]), self.dense() if self.order else self
+        own.df.select("id", *[own[c].alias(c) for c in names]).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/columns")
+        self.df.sparkSession.createDataFrame([(json.dumps({"attrs": self.attrs, "dense": own.is_dense}),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/attrs")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
-        return cls(spark.read.parquet(f"{path}/columns"), json.loads(spark.read.text(f"{path}/attrs").first()[0]))
+        about = json.loads(spark.read.text(f"{path}/attrs").first()[0])
+        return cls(spark.read.parquet(f"{path}/columns"), about["attrs"], about["dense"])
 
 
 def species(**catalogs: Catalog) -> Catalog:

@@ -114,4 +114,12 @@ def velocity_dispersion(mass: Column, efunc: float) -> Column:
 
 def bin_of(x: Column, edges: list[float]) -> Column:
     """The bin [edge, next edge) of x, -1 below and len(edges) - 1 at or above the last edge."""
-    return sum(((x >= e).cast("int") for e in edges), F.lit(0)) - 1
+    low, high = 0, len(edges)  # the number of edges at or below x, by halves
+
+    def find(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low - 1)
+        mid = (low + high) // 2
+        return F.when(x >= edges[mid], find(mid + 1, high)).otherwise(find(low, mid))
+
+    return F.when(x.isNotNull(), find(low, high))

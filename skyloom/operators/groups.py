@@ -11,27 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.sky import to_unit_sphere
+from skyloom.operators.box import Sides, three, volume
 from skyloom.operators.graph import components
 from skyloom.operators.numbering import dense_index
 from skyloom.operators.spatial import nearest, radius_pairs, separations
 from skyloom.plans.scratch import Scratch
 
 
-def fof(df: DataFrame, linking: float, nmin: int = 0, box: float | None = None, absolute: bool = True) -> DataFrame:
+def fof(df: DataFrame, linking: float, nmin: int = 0, box: Sides | None = None, absolute: bool = True) -> DataFrame:
     """(id, label): groups of points linked by distance <= linking; labels 1.. by falling size, then smallest id.
 
     Groups of nmin or fewer get label 0. A relative linking length is in units of the mean separation.
     """
     if not absolute:
-        linking = linking * (box**3 / df.count()) ** (1 / 3)
-    p = radius_pairs(df, df, linking, box).where("id1 < id2").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+        linking = linking * (volume(box) / df.count()) ** (1 / 3)
+    p = radius_pairs(df, df, linking, box, half=True).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     minid = df.select("id").join(components(p).withColumnRenamed("node", "id").withColumnRenamed("label", "m"), "id", "left").select("id", F.coalesce("m", "id").alias("m"))
     sizes = minid.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > nmin)
-    ranked = dense_index(sizes, [F.desc("n"), F.asc("m")], "label").withColumn("label", (F.col("label") + 1).cast("int"))
-    return minid.join(ranked, "m", "left").select("id", F.coalesce("label", F.lit(0)).alias("label"))
+    ranked = dense_index(sizes, [F.desc("n"), F.asc("m")], "label").withColumn("label", F.col("label") + 1)
+    return minid.join(ranked, "m", "left").select("id", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
 
 
-def fof_catalog(df: DataFrame, labels: DataFrame, box: float | None = None, columns: tuple[str, ...] = (), peak: str | None = None) -> DataFrame:
+def fof_catalog(df: DataFrame, labels: DataFrame, box: Sides | None = None, columns: tuple[str, ...] = (), peak: str | None = None) -> DataFrame:
     """A row for each label: length (0 for label 0), the centre of mass cx, cy, cz in [0, box), means of columns, the peak's place.
 
     Separations are taken from the group's smallest coordinates; label 0 is no group and takes them from 0.
@@ -42,9 +43,9 @@ def fof_catalog(df: DataFrame, labels: DataFrame, box: float | None = None, colu
     at = at.join(ref, "label").unionByName(alone.withColumns({f"m{a}": F.lit(0.0) for a in "xyz"}))
     gap = {a: F.col(a) - F.col(f"m{a}") for a in "xyz"}
     if box:
-        gap = {a: F.pmod(g + box / 2, F.lit(float(box))) - box / 2 for a, g in gap.items()}
+        gap = {a: F.pmod(g + side / 2, F.lit(float(side))) - side / 2 for (a, g), side in zip(gap.items(), three(box), strict=True)}
     mean = {a: F.first(f"m{a}") + F.avg(gap[a]) for a in "xyz"}
-    cols = [(F.pmod(mean[a], F.lit(float(box))) if box else mean[a]).alias(f"c{a}") for a in "xyz"]
+    cols = [(F.pmod(mean[a], F.lit(float(side))) if side else mean[a]).alias(f"c{a}") for a, side in zip("xyz", three(box) if box else (None,) * 3, strict=True)]
     peaks = [F.max_by(a, F.struct(F.col(peak), -F.col("id"))).alias(f"peak_{a}") for a in "xyz"] if peak else []
     return at.groupBy("label").agg(F.when(F.col("label") == 0, 0).otherwise(F.count("*")).alias("length"), *cols, *[F.avg(c).alias(c) for c in columns], *peaks)
 
@@ -53,7 +54,7 @@ def to_halos(groups: DataFrame, particle_mass: float) -> DataFrame:
     return groups.where("length > 0").withColumn("mass", F.col("length") * float(particle_mass))
 
 
-def cylindrical_groups(df: DataFrame, rank: str, rperp: float, rpar: float, box: float | None = None, los: str | None = "z") -> DataFrame:
+def cylindrical_groups(df: DataFrame, rank: str, rperp: float, rpar: float, box: Sides | None = None, los: str | None = "z") -> DataFrame:
     """(id, cgm_type, cgm_haloid, num_cgm_sats): centrals 0 and satellites 1.
 
     Greedy by rank (highest first, ties by smallest id): an object is a central unless a higher-ranked
@@ -95,9 +96,9 @@ def cylindrical_groups(df: DataFrame, rank: str, rperp: float, rpar: float, box:
     return every.select("id", "cgm_type", "cgm_haloid", F.when(F.col("cgm_type") == 0, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("num_cgm_sats"))
 
 
-def knn_density(df: DataFrame, box: float, k: int = 8) -> DataFrame:
-    """(id, density): 1 / (d^3 V), d the distance in box units to the k-th neighbour, the point itself included."""
-    return nearest(df, k, box).select("id", (1.0 / (F.pow(F.col("r") / box, F.lit(3.0)) * box**3)).alias("density"))
+def knn_density(df: DataFrame, box: Sides, k: int = 8) -> DataFrame:
+    """(id, density): 1 / r^3 with the distance r to the k-th neighbour, the point itself included."""
+    return nearest(df, k, box).select("id", (1.0 / F.pow(F.col("r"), F.lit(3.0))).alias("density"))
 
 
 def fiber_collisions(df: DataFrame, radius: float = 62 / 3600, seed: int = 0) -> DataFrame:
@@ -146,8 +147,8 @@ def fiber_collisions(df: DataFrame, radius: float = 62 / 3600, seed: int = 0) ->
             to[i] = ids[beside[((p[beside] - p[i]) ** 2).sum(axis=1).argmin()]]
         return pd.DataFrame({"id": ids, "label": g["label"], "collided": (~np.array(left)).astype(np.int32), "neighbor_id": to})
 
-    found = grouped.groupBy("label").applyInPandas(assign, "id long, label int, collided int, neighbor_id long")
-    return df.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("collided", F.lit(0)).alias("collided"), F.when(F.col("neighbor_id") >= 0, F.col("neighbor_id")).alias("neighbor_id"))
+    found = grouped.groupBy("label").applyInPandas(assign, "id long, label long, collided int, neighbor_id long")
+    return df.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(0).cast("long")).alias("label"), F.coalesce("collided", F.lit(0)).alias("collided"), F.when(F.col("neighbor_id") >= 0, F.col("neighbor_id")).alias("neighbor_id"))
 
 
 def dense_labels(df: DataFrame, keys: list[str | Column], name: str = "label") -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.cosmology import Cosmology, sky_to_comoving
-from skyloom.functions.sky import bin_of, legendre, to_unit_sphere
+from skyloom.functions.sky import bin_of, legendre, real_ylm, to_unit_sphere
+from skyloom.operators.box import Sides, three, volume
 from skyloom.operators.spatial import separations
 
 
@@ -23,40 +25,50 @@ def check_edges(edges: list[float], mode: str, n_mu: int | None = None, pimax: f
         raise ValueError("mode projected needs pimax >= 1")
 
 
-def _binned(p: DataFrame, s: Column, edges: list[float], extra: Column | None, weighted: bool) -> DataFrame:
-    """Counts by separation [lo, hi): r_bin (and bin2), npairs, wnpairs (sum of weight products), the mean separation."""
+def _binned(p: DataFrame, s: Column, edges: list[float], extra: Column | None, weighted: bool, times: int = 1) -> DataFrame:
+    """Counts by separation [lo, hi): r_bin (and bin2), npairs, wnpairs (sum of weight products), the mean separation.
+
+    Each pair counts `times`: twice where one of two ordered pairs is given.
+    """
     p = p.withColumn("s", s).withColumn("r_bin", bin_of(F.col("s"), edges)).where((F.col("r_bin") >= 0) & (F.col("r_bin") < len(edges) - 1))
     keys = ["r_bin"]
     if extra is not None:
         p = p.withColumn("bin2", extra).where("bin2 is not null")
         keys.append("bin2")
     w = F.col("w1") * F.col("w2") if weighted else F.lit(1.0)
-    return p.groupBy(*keys).agg(F.count("*").alias("npairs"), F.sum(w).alias("wnpairs"), F.avg("s").alias("r"))
+    return p.groupBy(*keys).agg((F.count("*") * times).alias("npairs"), (F.sum(w) * times).alias("wnpairs"), F.avg("s").alias("r"))
+
 
+def _both(first: DataFrame, second: DataFrame | None, prepare: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a count; one table twice for pairs within it."""
+    a = prepare(first)
+    return a, a if second is None else prepare(second)
 
-def box_pairs(first: DataFrame, edges: list[float], box: float | None, second: DataFrame | None = None, mode: str = "1d", los: str = "z", n_mu: int | None = None, pimax: float | None = None, weight: str | None = None) -> DataFrame:
+
+def box_pairs(first: DataFrame, edges: list[float], box: Sides | None, second: DataFrame | None = None, mode: str = "1d", los: str = "z", n_mu: int | None = None, pimax: float | None = None, weight: str | None = None) -> DataFrame:
     """Ordered pair counts in a box (periodic if box is given).
 
     2d adds bin2 over |mu| in [0, 1] (mu = 1 in the last bin), projected bins the separation across the
     line of sight and adds bin2 of width 1 along it up to pimax. Positions x, y, z.
     """
     check_edges(edges, mode, n_mu, pimax)
-    if box is not None and edges[-1] > box / 2:
+    if box is not None and edges[-1] > min(three(box)) / 2:
         raise ValueError("a periodic count needs its largest separation within half the box")
-    b, keep = first if second is None else second, ["w"] if weight else []
-    sides = [d.withColumn("w", F.col(weight).cast("double")) if weight else d for d in (first, b)]
+    keep = ["w"] if weight else []
+    sides = _both(first, second, lambda d: d.withColumn("w", F.col(weight).cast("double")) if weight else d)
+    auto, times = second is None, 2 if second is None else 1
     reach = [edges[-1]] * 3
     if mode == "projected":
         reach["xyz".index(los)] = pimax
-    p = separations(*sides, edges[-1], box, keep, keep, tuple(reach)).where("id1 <> id2" if second is None else "true")
+    p = separations(*sides, edges[-1], box, keep, keep, tuple(reach), auto)
     along = F.col(f"d{los}")
     s2 = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
     if mode == "projected":
         across = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz" if a != los), F.lit(0.0))
-        return _binned(p, F.sqrt(across), edges, F.when(F.abs(along) < pimax, F.floor(F.abs(along)).cast("int")), bool(weight))
+        return _binned(p, F.sqrt(across), edges, F.when(F.abs(along) < pimax, F.floor(F.abs(along)).cast("int")), bool(weight), times)
     p = p.where((s2 < edges[-1] ** 2) & (s2 >= edges[0] ** 2))
     mu = None if mode == "1d" else F.least(F.floor(F.abs(along) / F.sqrt(s2) * n_mu), F.lit(n_mu - 1)).cast("int")
-    return _binned(p, F.sqrt(s2), edges, mu, bool(weight))
+    return _binned(p, F.sqrt(s2), edges, mu, bool(weight), times)
 
 
 def survey_pairs(first: DataFrame, edges: list[float], second: DataFrame | None = None, mode: str = "1d", n_mu: int | None = None, pimax: float | None = None, weight: str | None = None, cosmo: Cosmology | None = None) -> DataFrame:
@@ -67,32 +79,30 @@ def survey_pairs(first: DataFrame, edges: list[float], second: DataFrame | None
     check_edges(edges, mode, n_mu, pimax)
     if cosmo:
         first, second = (d if d is None else d.withColumns(dict(zip("xyz", sky_to_comoving(cosmo, F.col("ra"), F.col("dec"), F.col("redshift")), strict=True))) for d in (first, second))
-    b = first if second is None else second
-    sides = [d.withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0)) for d in (first, b)]
+    auto, times = second is None, 2 if second is None else 1
     far = edges[-1] if mode != "projected" else math.hypot(edges[-1], pimax)
-    sides = [d.select("id", "w", *"xyz", *[F.col(c).alias(f"p{c}") for c in "xyz"]) for d in sides]
-    p = separations(*sides, far, None, ["w", "px", "py", "pz"], ["w", "px", "py", "pz"]).where("id1 <> id2" if second is None else "true")
+    own = F.col(weight).cast("double") if weight else F.lit(1.0)
+    sides = _both(first, second, lambda d: d.select("id", own.alias("w"), *"xyz", *[F.col(c).alias(f"p{c}") for c in "xyz"]))
+    p = separations(*sides, far, None, ["w", "px", "py", "pz"], ["w", "px", "py", "pz"], half=auto)
     mid = [F.col(f"p{c}1") + F.col(f"p{c}2") for c in "xyz"]
     s2 = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
     along = F.abs(sum((F.col(f"d{a}") * m for a, m in zip("xyz", mid, strict=True)), F.lit(0.0)) / F.sqrt(sum((m * m for m in mid), F.lit(0.0))))
     if mode == "projected":
-        return _binned(p, F.sqrt(F.greatest(s2 - along * along, F.lit(0.0))), edges, F.when(along < pimax, F.floor(along).cast("int")), bool(weight))
+        return _binned(p, F.sqrt(F.greatest(s2 - along * along, F.lit(0.0))), edges, F.when(along < pimax, F.floor(along).cast("int")), bool(weight), times)
     mu = None if mode == "1d" else F.least(F.floor(along / F.sqrt(s2) * n_mu), F.lit(n_mu - 1)).cast("int")
-    return _binned(p.where(s2 > 0), F.sqrt(s2), edges, mu, bool(weight))
+    return _binned(p.where(s2 > 0), F.sqrt(s2), edges, mu, bool(weight), times)
 
 
 def angular_pairs(first: DataFrame, edges: list[float], second: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Pair counts by angle in degrees of sky positions ra, dec: chords 2 sin(angle / 2) on the unit sphere."""
     check_edges(edges, "angular")
-    b = first if second is None else second
-    sides = []
-    for d in (first, b):
-        x, y, z = to_unit_sphere(F.col("ra"), F.col("dec"))
-        sides.append(d.select("id", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), x.alias("x"), y.alias("y"), z.alias("z")))
+    x, y, z = to_unit_sphere(F.col("ra"), F.col("dec"))
+    own = F.col(weight).cast("double") if weight else F.lit(1.0)
+    sides = _both(first, second, lambda d: d.select("id", own.alias("w"), x.alias("x"), y.alias("y"), z.alias("z")))
     chord = 2 * math.sin(math.radians(edges[-1]) / 2)
-    p = separations(*sides, chord, None, ["w"], ["w"]).where("id1 <> id2" if second is None else "true")
+    p = separations(*sides, chord, None, ["w"], ["w"], half=second is None)
     s = F.sqrt(sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz"), F.lit(0.0)))
-    return _binned(p, F.degrees(2 * F.asin(F.least(s / 2, F.lit(1.0)))), edges, None, bool(weight))
+    return _binned(p, F.degrees(2 * F.asin(F.least(s / 2, F.lit(1.0)))), edges, None, bool(weight), 2 if second is None else 1)
 
 
 def total_weight(first: DataFrame, second: DataFrame | None = None, weight: str | None = None) -> float:
@@ -104,10 +114,10 @@ def total_weight(first: DataFrame, second: DataFrame | None = None, weight: str
     return a["w"] * second.agg(F.sum(w).alias("w")).first()["w"]
 
 
-def natural(counts: DataFrame, n: int, box: float, edges: list[float], n_mu: int | None = None) -> DataFrame:
+def natural(counts: DataFrame, n: int, box: Sides, edges: list[float], n_mu: int | None = None) -> DataFrame:
     """xi = DD / RR - 1 with the analytic count of uniform randoms in each shell (or wedge of a shell)."""
     shell = [4 / 3 * math.pi * (b**3 - a**3) / (n_mu or 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    rr = F.element_at(F.array(*[F.lit(v * n * (n - 1) / box**3) for v in shell]), F.col("r_bin") + 1)
+    rr = F.element_at(F.array(*[F.lit(v * n * (n - 1) / volume(box)) for v in shell]), F.col("r_bin") + 1)
     return counts.withColumn("rr", rr).withColumn("corr", F.col("wnpairs") / F.col("rr") - 1)
 
 
@@ -132,20 +142,32 @@ def corr_poles(corr: DataFrame, n_mu: int, poles: tuple[int, ...]) -> DataFrame:
     return corr.groupBy("r_bin").agg(*[(F.sum(F.col("corr") * legendre(ell, mu)) * ((2 * ell + 1) / n_mu)).alias(f"corr_{ell}") for ell in poles])
 
 
-def triplet_poles(first: DataFrame, edges: list[float], poles: tuple[int, ...], box: float | None = None, second: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+def triplet_poles(first: DataFrame, edges: list[float], poles: tuple[int, ...], box: Sides | None = None, second: DataFrame | None = None, weight: str | None = None, cosmo: Cosmology | None = None) -> DataFrame:
     """Three-point multipoles: sum over triplets of w w' w'' L_l(cos angle at the primary), by the bins of both sides.
 
     zeta_l(b1, b2) = sum_i w_i sum_jk w_j w_k (2 l + 1) / (4 pi)^2 P_l(r_ij . r_ik), bins (lo, hi], j = k included.
-    The neighbours of one primary meet in a join on its id, which the largest separation bounds.
+    Triplets are never made: by the addition theorem the sum over j and k is that over m of
+    A_lm(b1) A_lm(b2) / (4 pi), with A_lm(b) = sum_j w_j Y_lm(r_ij) over the neighbours of a primary in a bin. So
+    each pair is added once to its primary's moments, before a shuffle, and moments are multiplied for each
+    primary. With a cosmology, positions are made from ra, dec (degrees) and redshift.
     """
-    b, w = first if second is None else second, F.col(weight).cast("double") if weight else F.lit(1.0)
-    sides = [d.withColumn("w", w) for d in (first, b)]
-    p = separations(*sides, edges[-1], box, ["w"], ["w"])
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+
+    def prepare(d: DataFrame) -> DataFrame:
+        if cosmo:
+            d = d.withColumns(dict(zip("xyz", sky_to_comoving(cosmo, F.col("ra"), F.col("dec"), F.col("redshift")), strict=True)))
+        return d.withColumn("w", w)
+
+    p = separations(*_both(first, second, prepare), edges[-1], box, ["w"], ["w"])
     s2 = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
-    p = p.where(s2 > 0).withColumn("s", F.sqrt(s2)).withColumn("b", sum(((F.col("s") > e).cast("int") for e in edges), F.lit(0)) - 1)
+    # Bins are (lo, hi], the mirror of [lo, hi).
+    p = p.where(s2 > 0).withColumn("s", F.sqrt(s2)).withColumn("b", len(edges) - 2 - bin_of(-F.col("s"), [-e for e in reversed(edges)]))
     p = p.where((F.col("b") >= 0) & (F.col("b") < len(edges) - 1)).select("id1", "w1", "w2", "b", *[(F.col(f"d{a}") / F.col("s")).alias(f"u{a}") for a in "xyz"])
-    q = p.select("id1", F.col("w2").alias("w3"), F.col("b").alias("b2"), *[F.col(f"u{a}").alias(f"v{a}") for a in "xyz"])
-    t = p.join(q, "id1")
-    mu = sum((F.col(f"u{a}") * F.col(f"v{a}") for a in "xyz"), F.lit(0.0))
-    ww = F.col("w1") * F.col("w2") * F.col("w3")
-    return t.groupBy(F.col("b").alias("b1"), "b2").agg(*[F.sum(ww * legendre(e, mu) * ((2 * e + 1) / (4 * math.pi) ** 2)).alias(f"zeta_{e}") for e in poles])
+    at = [(ell, m) for ell in poles for m in range(-ell, ell + 1)]
+    sums = [F.sum(F.col("w2") * real_ylm(ell, m, F.col("ux"), F.col("uy"), F.col("uz"))) for ell, m in at]
+    moments = p.groupBy("id1", "b").agg(F.first("w1").alias("w1"), F.array(*sums).alias("a"))
+    # A primary has no more rows than there are bins.
+    sides = moments.groupBy("id1").agg(F.first("w1").alias("w1"), F.collect_list(F.struct("b", "a")).alias("own"))
+    both = sides.select("w1", "own", F.explode("own").alias("p")).select("w1", "p", F.explode("own").alias("q"))
+    product = [F.col("w1") * sum((F.col("p.a")[i] * F.col("q.a")[i] for i, (e, _) in enumerate(at) if e == ell), F.lit(0.0)) for ell in poles]
+    return both.groupBy(F.col("p.b").alias("b1"), F.col("q.b").alias("b2")).agg(*[(F.sum(z) / (4 * math.pi)).alias(f"zeta_{ell}") for ell, z in zip(poles, product, strict=True)])

@@ -1,74 +1,184 @@
-"""Pairs within a radius, as an equi-join of cells with a residual distance."""
+"""Pairs within a radius, as an equi-join of cells with a residual distance.
+
+Points are dealt to cells that are at least as wide as the reach, so that pairs lie in neighbour cells.
+The work of a cell is the product of its points on both sides, and it is not even: the number of
+partitions and the cut of dense cells follow from an estimate of it. A sample of bounded size gives a
+histogram of both sides; a cell with more than its share of the work is cut into b x b blocks, each
+joining one b-th of the left side with one b-th of the right side. No partition number is fixed, and no
+task holds more than a small part of a dense cell, whatever the clustering.
+"""
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.box import Sides, three
+from skyloom.plans.scratch import Scratch
+
 AXES = ("x", "y", "z")
+CELLS = ["c0", "c1", "c2"]
+#: Rows of the sample behind the histogram of a side, about.
+SAMPLE = 200_000
+#: Pairs of points that a task should look at, and the most partitions that are made for it.
+PAIRS_A_TASK, MOST_PARTITIONS = 20_000_000, 20_000
+#: Blocks that the work of one task is cut into, so that blocks can be dealt evenly.
+BLOCKS_A_TASK = 8
+
+
+@dataclass
+class Plan:
+    """How cells are dealt: partitions, the blocks of dense cells and the pairs expected."""
+
+    partitions: int
+    pairs: float
+    blocks: dict[tuple[int, int, int], int] = field(default_factory=dict)
+
+
+def _grid(box: Sides | None, reach: tuple[float, float, float]) -> list[int | None]:
+    """Cells of each axis; one where fewer than three fit, None without a box."""
+    counts = [max(int(side / r), 1) for side, r in zip(three(box), reach, strict=True)] if box else [None] * 3
+    return [(n if n >= 3 else 1) if n else None for n in counts]
+
+
+def _cell(axis: int, box: Sides | None, reach: tuple[float, float, float], counts: list[int | None]) -> Column:
+    x, n = F.col(AXES[axis]), counts[axis]
+    if n is None:
+        return F.floor(x / reach[axis])
+    side = float(three(box)[axis])
+    return F.least(F.floor(F.pmod(x, F.lit(side)) * (n / side)), F.lit(n - 1))
+
+
+def _offsets(counts: list[int | None], half: bool) -> list[tuple[int, int, int]]:
+    """Steps to neighbour cells; with half, one of each two opposite ones and the cell itself."""
+    steps = list(itertools.product(*[(0,) if n == 1 else (-1, 0, 1) for n in counts]))
+    return [s for s in steps if s >= (0, 0, 0)] if half else steps
+
 
+def _histogram(df: DataFrame, cells: list[Column]) -> tuple[Counter, int]:
+    """Sampled numbers of points by cell, scaled to the whole, and the number of points."""
+    n = df.count()
+    rate = max(n // SAMPLE, 1)
+    seen = df.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0) if rate > 1 else df
+    # The sample bounds the cells: at most about SAMPLE rows.
+    found = seen.select(*[c.alias(name) for c, name in zip(cells, CELLS, strict=True)]).groupBy(*CELLS).count().collect()
+    return Counter({(r["c0"], r["c1"], r["c2"]): r["count"] * rate for r in found}), n
 
-def separations(a: DataFrame, b: DataFrame, radius: float, box: float | None = None, keep_a: list[str] = (), keep_b: list[str] = (), reach: tuple[float, float, float] | None = None) -> DataFrame:
+
+def plan_pairs(a: DataFrame, b: DataFrame, box: Sides | None, reach: tuple[float, float, float], half: bool = False) -> Plan:
+    """Partitions and blocks for a join of neighbour cells; blocks are named by the left side's cell."""
+    counts = _grid(box, reach)
+    cells = [_cell(i, box, reach, counts) for i in range(3)]
+    left, n = _histogram(a, cells)
+    right, _ = (left, n) if b is a else _histogram(b, cells)
+    steps, work = _offsets(counts, half), {}
+    for at, m in left.items():
+        near = (tuple((x + s) % k if k else x + s for x, s, k in zip(at, step, counts, strict=True)) for step in steps)
+        work[at] = m * sum(right[c] for c in near)
+    total = float(sum(work.values()))
+    least = int(a.sparkSession.sparkContext.defaultParallelism)
+    partitions = min(max(math.ceil(total / PAIRS_A_TASK), least), MOST_PARTITIONS)
+    share = max(total / (partitions * BLOCKS_A_TASK), 1.0)
+    return Plan(partitions, total, {at: math.ceil(math.sqrt(w / share)) for at, w in work.items() if w > share})
+
+
+def _dealt(a: DataFrame, b: DataFrame, keep_a: list[str], keep_b: list[str], box: Sides | None, reach: tuple[float, float, float], half: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the cell and block that they meet in, dealt to partitions by it, and the names of these columns."""
+    counts, plan = _grid(box, reach), plan_pairs(a, b, box, reach, half)
+    cells = [_cell(i, box, reach, counts).alias(name) for i, name in enumerate(CELLS)]
+    left = a.select(F.col("id").alias("id1"), *[F.col(c).alias(f"{c}1") for c in (*AXES, *keep_a)], *cells)
+    right = b.select(F.col("id").alias("id2"), *[F.col(c).alias(f"{c}2") for c in (*AXES, *keep_b)], *cells)
+    steps = _offsets(counts, half)
+    # A point is sent to the cells of which its own is a neighbour.
+    near = F.array(*[F.struct(*[(F.pmod(F.col(c) - s, F.lit(n)) if n else F.col(c) - s).alias(c) for c, s, n in zip(CELLS, step, counts, strict=True)], F.lit(step == (0, 0, 0)).alias("own")) for step in steps])
+    right = right.withColumn("to", F.explode(near)).drop(*CELLS).select("*", "to.*").drop("to")
+    keys = list(CELLS)
+    if plan.blocks:
+        # At most BLOCKS_A_TASK cells for each partition are dense.
+        dense = F.broadcast(a.sparkSession.createDataFrame([(*map(int, at), n) for at, n in plan.blocks.items()], "c0 long, c1 long, c2 long, _b int"))
+        sides = []
+        for df, name, own, other in ((left, "id1", "_i", "_j"), (right, "id2", "_j", "_i")):
+            df = df.join(dense, CELLS, "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
+            sides.append(df.withColumn(own, F.pmod(F.xxhash64(name), F.col("_b")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b"))
+        left, right = sides
+        keys += ["_i", "_j"]
+    return left.repartition(plan.partitions, *keys), right.repartition(plan.partitions, *keys), keys
+
+
+def separations(a: DataFrame, b: DataFrame, radius: float, box: Sides | None = None, keep_a: list[str] = (), keep_b: list[str] = (), reach: tuple[float, float, float] | None = None, half: bool = False) -> DataFrame:
     """Ordered pairs of a and b whose cells are neighbours: id1, id2, dx, dy, dz and the kept columns, suffixed 1 and 2.
 
     With a box, separations are the nearest images. Cells are at least `reach` wide (by default the
     radius on each axis), so every pair within reach is found once; where fewer than three cells fit
     in the box, that axis has a single cell. Filter by distance afterwards; self pairs are included.
+    With half, a and b are the same points and of each two ordered pairs one comes, in either order,
+    without self pairs; only half of the neighbour cells is visited.
     """
-    reach = reach or (radius,) * 3
-    counts = [max(int(box / r), 1) if box else None for r in reach]
-    counts = [(n if n >= 3 else 1) if n else None for n in counts]
-
-    def cell(axis: int) -> Column:
-        x = F.col(AXES[axis])
-        if box is None:
-            return F.floor(x / reach[axis])
-        return F.least(F.floor(F.pmod(x, F.lit(float(box))) * (counts[axis] / box)), F.lit(counts[axis] - 1))
-
-    left = a.select(F.col("id").alias("id1"), *[F.col(c).alias(f"{c}1") for c in (*AXES, *keep_a)], *[cell(i).alias(f"c{i}") for i in range(3)])
-    right = b.select(F.col("id").alias("id2"), *[F.col(c).alias(f"{c}2") for c in (*AXES, *keep_b)], *[cell(i).alias(f"c{i}") for i in range(3)])
-    for i in range(3):
-        if counts[i] == 1:
-            continue
-        near = [F.col(f"c{i}") + d for d in (-1, 0, 1)]
-        right = right.withColumn(f"c{i}", F.explode(F.array(*[F.pmod(n, F.lit(counts[i])) if counts[i] else n for n in near])))
-    # A small table's cells would be joined in the one task that reads it.
-    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = left.repartition(parts, "c0", "c1", "c2").join(right, ["c0", "c1", "c2"])
+    left, right, keys = _dealt(a, b, keep_a, keep_b, box, tuple(reach or (radius,) * 3), half)
+    pairs = left.join(right, keys)
+    if half:
+        pairs = pairs.where(~F.col("own") | (F.col("id1") < F.col("id2")))
     gap = [F.col(f"{c}1") - F.col(f"{c}2") for c in AXES]
     if box is not None:
-        gap = [d - box * F.rint(d / box) for d in gap]
+        gap = [d - side * F.rint(d / side) for d, side in zip(gap, three(box), strict=True)]
     return pairs.select("id1", "id2", *[g.alias(f"d{c}") for g, c in zip(gap, AXES, strict=True)], *[f"{c}1" for c in keep_a], *[f"{c}2" for c in keep_b])
 
 
-def radius_pairs(a: DataFrame, b: DataFrame, radius: float, box: float | None = None, keep_a: list[str] = (), keep_b: list[str] = ()) -> DataFrame:
+def radius_pairs(a: DataFrame, b: DataFrame, radius: float, box: Sides | None = None, keep_a: list[str] = (), keep_b: list[str] = (), half: bool = False) -> DataFrame:
     """Pairs with separation s <= radius: id1, id2, s, dx, dy, dz."""
-    p = separations(a, b, radius, box, keep_a, keep_b)
+    p = separations(a, b, radius, box, keep_a, keep_b, half=half)
     s2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
     return p.where(s2 <= radius * radius).withColumn("s", F.sqrt(s2))
 
 
-def nearest(a: DataFrame, k: int, box: float, first_radius: float | None = None) -> DataFrame:
-    """The distance to the k-th nearest point in a periodic box, itself included: (id, r). Needs at least k points.
+def smallest(a: DataFrame, b: DataFrame, k: int, radius: float, box: Sides) -> DataFrame:
+    """(id, r array<double>): the distances of at most k nearest points of b within the radius, in rising order.
 
-    A point is settled when its k-th neighbour is within the radius searched; the others go on with twice the radius.
+    Two sides of a cell's block meet in one task, which keeps k distances for each point; those of a point's
+    27 cells and their blocks are merged after a shuffle, so it moves k numbers for a cell and no pairs.
     """
-    from pyspark.sql import Window
+    left, right, keys = _dealt(a, b, [], [], box, (radius,) * 3, False)
+    sides, chunk = np.array(three(box), float), 1 << 22
 
-    n = a.count()
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        ids, at, to = x["id1"].to_numpy(), x[["x1", "y1", "z1"]].to_numpy(), y[["x2", "y2", "z2"]].to_numpy()
+        out, step = [], max(chunk // max(len(to), 1), 1)
+        for i in range(0, len(at) if len(to) else 0, step):
+            d = at[i : i + step, None] - to[None]
+            d -= sides * np.rint(d / sides)
+            d = np.sqrt((d * d).sum(axis=2))
+            d = np.sort(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
+            out += [row[row <= radius] for row in d]
+        return pd.DataFrame({"id": ids[: len(out)], "near": pd.Series(out, dtype=object)})
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "id long, near array<double>").where(F.size("near") > 0)
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("r"))
+
+
+def nearest(a: DataFrame, k: int, box: Sides, first_radius: float | None = None) -> DataFrame:
+    """The distance to the k-th nearest point in a periodic box, itself included: (id, r). Needs at least k points.
+
+    A point is settled when its k-th neighbour is within the radius searched; the others go on with twice the
+    radius. Rounds are written, so that none is computed twice.
+    """
+    n, scratch, sides = a.count(), Scratch(a.sparkSession), three(box)
     if n < k:
         raise ValueError(f"{n} points have no {k}-th neighbour")
-    radius = first_radius or box * (2.0 * k / (4 / 3 * math.pi * n)) ** (1 / 3)
+    a = scratch.keep(a.select("id", *AXES), "points")
+    radius = first_radius or (math.prod(sides) * 2.0 * k / (4 / 3 * math.pi * n)) ** (1 / 3)
     left, out = a, None
     while True:
-        whole = radius >= box * math.sqrt(3) / 2
-        p = radius_pairs(left, a, min(radius, box * 2), box)
-        ranked = p.withColumn("n", F.row_number().over(Window.partitionBy("id1").orderBy("s", "id2"))).where(F.col("n") == k)
-        found = ranked.select(F.col("id1").alias("id"), F.col("s").alias("r"))
+        whole = radius >= math.sqrt(sum(s * s for s in sides)) / 2
+        found = scratch.keep(smallest(left, a, k, radius, box).where(F.size("r") >= k).select("id", F.col("r")[k - 1].alias("r")), f"round-{radius:g}")
         out = found if out is None else out.unionByName(found)
-        left = left.join(found, "id", "left_anti")
+        left = scratch.keep(left.join(found, "id", "left_anti"), f"left-{radius:g}")
         if whole or left.isEmpty():
             return out
         radius *= 2

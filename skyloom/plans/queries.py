@@ -67,6 +67,17 @@ def global_slice(spark, sf):
     return Catalog(points(spark, sf, "orders"))[7:1400:5].df.select("id", "w")
 
 
+@query("""select o_orderkey, o_totalprice, place from (select *, row_number() over (order by o_totalprice, o_orderkey) - 1 as place from orders where o_custkey % 3 = 0) where place >= 5 and place < (select count(*) from orders where o_custkey % 3 = 0) - 7 and (place - 5) % 4 = 0
+union all select o_orderkey, o_totalprice, place from (select *, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as place from orders where o_custkey % 3 = 0) where place in (0, 3)""")
+def positions_after_filter_and_sort(spark, sf):
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderkey", "o_custkey", "o_totalprice")
+    some = Catalog(t)[F.col("o_custkey") % 3 == 0]
+    middle, top = some.sort("o_totalprice")[5:-7:4], some.sort("o_totalprice", reverse=True)[[0, 3]]
+    # The list's own places are 0 and 1.
+    ends = top.df.withColumn("id", F.col("id") * 3)
+    return middle.df.unionByName(ends).select("o_orderkey", "o_totalprice", F.col("id").alias("place"))
+
+
 @query("select o_custkey, o_orderkey, row_number() over (order by o_custkey, o_totalprice, o_orderkey) as place from orders qualify place <= 100")
 def multi_key_sort_top(spark, sf):
     t = table(spark, sf, "orders").withColumn("id", F.col("o_orderkey"))
@@ -510,15 +521,32 @@ def tpcf_poles(spark, sf):
     return paircount.corr_poles(_ls(spark, sf, mode="2d", n_mu=2), 2, (0, 2)).select("r_bin", r("corr_0").alias("corr_0"), r("corr_2").alias("corr_2"))
 
 
-TEDGES = [0.0, 15.0, 25.0]
+TEDGES = [0.0, 8.0, 14.0]
+
+
+def triplet_sql(src: str, dist: str, periodic: bool, edges: list[float], norm: str = "") -> str:
+    """Triplets one by one: pairs joined with pairs of the same primary."""
+    gap = ", ".join(f"a.{c} - b.{c} - {f'{BOX} * round((a.{c} - b.{c}) / {BOX}, 0)' if periodic else '0'} as d{c}" for c in "xyz")
+    at = " + ".join(f"cast(s > {e} as integer)" for e in edges)
+    return f"""with p as (select *, {at} - 1 as b from (select *, {dist} as s from (select a.id as i, a.w as w1, b.w as w2, {gap} from {src} a join {src} b on a.id <> b.id)) where s > 0 and s <= {edges[-1]})
+select p.b as b1, q.b as b2, round(sum(p.w1 * p.w2 * q.w2) / {(4 * math.pi) ** 2!r}{norm}, 4) + 0.0 as zeta_0, round(5 * sum(p.w1 * p.w2 * q.w2 * (3 * m * m - 1) / 2) / {(4 * math.pi) ** 2!r}{norm}, 4) + 0.0 as zeta_2, round(7 * sum(p.w1 * p.w2 * q.w2 * (5 * m * m * m - 3 * m) / 2) / {(4 * math.pi) ** 2!r}{norm}, 4) + 0.0 as zeta_3
+from p join p q using (i) cross join lateral (select (p.dx * q.dx + p.dy * q.dy + p.dz * q.dz) / (p.s * q.s) as m) where p.b >= 0 and q.b >= 0 group by 1, 2"""
 
 
-@query(f"""with p as (select *, cast(s > 0 as integer) + cast(s > 15 as integer) + cast(s > 25 as integer) - 1 as b from (select *, {S3} as s from (select a.id as i, a.w as w1, b.w as w2, {", ".join(f"a.{c} - b.{c} - {BOX} * round((a.{c} - b.{c}) / {BOX}, 0) as d{c}" for c in "xyz")} from {points_sql('supplier')} a join {points_sql('supplier')} b on a.id <> b.id)) where s > 0 and s <= 25)
-select p.b as b1, q.b as b2, round(sum(p.w1 * p.w2 * q.w2) / {(4 * math.pi) ** 2!r}, 4) + 0.0 as zeta_0, round(5 * sum(p.w1 * p.w2 * q.w2 * (3 * m * m - 1) / 2) / {(4 * math.pi) ** 2!r}, 4) + 0.0 as zeta_2
-from p join p q using (i) cross join lateral (select (p.dx * q.dx + p.dy * q.dy + p.dz * q.dz) / (p.s * q.s) as m) where p.b <= 1 and q.b <= 1 group by 1, 2""")
+@query(triplet_sql(CUST, S3, True, TEDGES))
 def threept_multipoles(spark, sf):
-    t = paircount.triplet_poles(points(spark, sf, "supplier"), TEDGES, (0, 2), BOX, weight="w")
-    return t.select("b1", "b2", r("zeta_0", 4).alias("zeta_0"), r("zeta_2", 4).alias("zeta_2"))
+    t = paircount.triplet_poles(points(spark, sf, "customer"), TEDGES, (0, 2, 3), BOX, weight="w")
+    return t.select("b1", "b2", *[r(f"zeta_{e}", 4).alias(f"zeta_{e}") for e in (0, 2, 3)])
+
+
+# Mpc/h, in a survey of the near universe.
+SEDGES = [2.0, 6.0, 10.0]
+
+
+@query(triplet_sql(comoving_sql("customer"), S3, False, SEDGES))
+def threept_survey(spark, sf):
+    t = paircount.triplet_poles(_on_sky(spark, sf, "customer"), SEDGES, (0, 2, 3), weight="w", cosmo=_MATTER)
+    return t.select("b1", "b2", *[r(f"zeta_{e}", 4).alias(f"zeta_{e}") for e in (0, 2, 3)])
 
 
 # Groups
@@ -527,7 +555,7 @@ LINK = 3.0
 _EDGES = f"select a.id as a, b.id as b from {CUST} a join {CUST} b on a.id <> b.id and " + " + ".join(f"power(a.{c} - b.{c} - {BOX} * round((a.{c} - b.{c}) / {BOX}, 0), 2)" for c in "xyz") + f" <= {LINK**2}"
 FOF = f"""with recursive e as materialized ({_EDGES}), reach(id, m) as (select id, id from {CUST} union select e.b, reach.m from reach join e on e.a = reach.id and e.b > reach.m),
 low as (select id, min(m) as m from reach group by id), sizes as (select m, count(*) as n, row_number() over (order by count(*) desc, m) as label from low group by m having count(*) > 2)
-select id, cast(coalesce(label, 0) as integer) as label from low left join sizes using (m)"""
+select id, cast(coalesce(label, 0) as bigint) as label from low left join sizes using (m)"""
 
 
 def _fof(spark, sf) -> DataFrame:

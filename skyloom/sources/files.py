@@ -1,185 +1,116 @@
 """Readers of catalog files: delimited text, flat column-major binaries, particle snapshots and FITS tables.
 
-Text goes through Spark's own readers. Binary formats are read as whole files by Spark's binary reader,
-so any store that Spark reads will do, and each file is decoded in the task that read it; a large catalog
-is a stack of many files (a glob or a list), each below 2 GB. A row has `file` and `row`; with_ids() turns
-them into dense ids in the order of file names.
+Text goes through Spark's own readers. Binary formats are read by ranges of rows (see ranges.py): a row has
+its dense `id` over all files in the order of names, `file` and `row`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: name, numpy type of one element, elements to a row
-Field = tuple[str, str, int]
-_SQL = {"f4": "float", "f8": "double", "i2": "smallint", "i4": "int", "i8": "bigint", "u1": "smallint", "u4": "bigint", "u8": "bigint"}
+from skyloom.catalog import Catalog
+from skyloom.plans.scratch import Scratch
+from skyloom.sources.ranges import Field, FitsTable, FlatBinary, Format, Gadget1, read_ranges
 
 
-def _sql_type(kind: str, width: int) -> str:
-    name = _SQL[np.dtype(kind).str[1:]]
-    return name if width == 1 else f"array<{name}>"
+def read_csv(spark: SparkSession, path: str | list[str], names: list[str], types: dict[str, str] | str = "double", usecols: list[str] | None = None, whitespace: bool = True, sep: str = ",", comment: str = "#", skiprows: int = 0, nrows: int | None = None) -> DataFrame:
+    """Text without a header, one row to a line, blank and comment lines left out; fields parted by white space or sep.
 
-
-def read_csv(spark: SparkSession, path: str | list[str], names: list[str], types: dict[str, str] | str = "double", usecols: list[str] | None = None, whitespace: bool = True, sep: str = ",", comment: str = "#") -> DataFrame:
-    """Text without a header, one row to a line, blank and comment lines left out; fields parted by white space or sep."""
+    Missing fields at a line's end are null. skiprows and nrows count the lines with rows of each file, in its
+    order: rows are numbered by ranges of the file, which costs a second pass; without them there is none.
+    """
     if unknown := set(usecols or []) - set(names):
         raise ValueError(f"no such columns: {sorted(unknown)}")
     line = F.trim(F.regexp_replace("value", r"\s+", " ")) if whitespace else F.trim("value")
-    lines = spark.read.text(path).select(line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith(comment))
+    lines = spark.read.text(path).select(line.alias("line"), *([F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")] if skiprows or nrows is not None else []))
+    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith(comment))
+    if skiprows or nrows is not None:
+        # Lines of one block of a file are read by one task, in their order.
+        lines = Scratch(spark).keep(lines, "lines")
+        counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+        starts = counts.select("file", "block", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+        own = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+        place = F.col("first") + F.col("own")
+        lines = lines.withColumn("own", own).join(starts, ["file", "block"]).where((place >= skiprows) & (F.lit(True) if nrows is None else place < skiprows + nrows))
     parts = F.split("line", " " if whitespace else re.escape(sep))
     kind = lambda c: types if isinstance(types, str) else types.get(c, "double")
-    return lines.select(parts.alias("p")).select(*[F.trim(F.col("p")[i]).cast(kind(c)).alias(c) for i, c in enumerate(names) if usecols is None or c in usecols])
+    return lines.select(parts.alias("p")).select(*[F.trim(F.get("p", F.lit(i))).cast(kind(c)).alias(c) for i, c in enumerate(names) if usecols is None or c in usecols])
 
 
-def _decode(spark: SparkSession, path: str | list[str], schema: str, decode: Callable[[bytes], dict[str, np.ndarray]]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                columns = decode(content)
-                n = len(next(iter(columns.values()))) if columns else 0
-                for a in range(0, n, 100_000):
-                    part = {c: list(v[a : a + 100_000]) if v.ndim > 1 else v[a : a + 100_000] for c, v in columns.items()}
-                    yield pd.DataFrame({"file": name, "row": np.arange(a, min(n, a + 100_000)), **part})
+def read_binary(spark: SparkSession, path: str | list[str], fields: list[Field], header: int = 0, size: int | None = None, offsets: dict[str, int] | None = None, **ranges) -> DataFrame:
+    """Flat binary, one column after another behind a header; the number of rows follows from the file's size, which must fit."""
+    return read_ranges(spark, FlatBinary(tuple(fields), header, size, offsets), path, **ranges)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, f"file string, row long, {schema}")
 
+def read_tpm(spark: SparkSession, path: str | list[str], precision: str = "f4", **ranges) -> DataFrame:
+    """Position, Velocity and ID behind a header of 28 bytes."""
+    return read_binary(spark, path, [("Position", f"<{precision}", 3), ("Velocity", f"<{precision}", 3), ("ID", "<u8", 1)], header=28, **ranges)
 
-def _schema(fields: list[Field]) -> str:
-    return ", ".join(f"`{name}` {_sql_type(kind, width)}" for name, kind, width in fields)
 
+def read_gadget1(spark: SparkSession, path: str | list[str], ptype: int = 1, columns: Sequence[str] = ("Position", "GadgetVelocity", "ID"), **ranges) -> DataFrame:
+    """Particles of one type of a format-1 snapshot, masses from the header where it has them."""
+    return read_ranges(spark, Gadget1(ptype), path, list(columns), **ranges)
 
-def _native(a: np.ndarray) -> np.ndarray:
-    return a.astype(a.dtype.newbyteorder("="))
 
+def read_fits(spark: SparkSession, path: str | list[str], fields: list[Field] | None = None, ext: int | None = None, **ranges) -> DataFrame:
+    """Columns of the first binary table of a FITS file, or of unit ext; an image there is an error. Without fields, all of its columns."""
+    return read_ranges(spark, FitsTable(ext), path, [name for name, *_ in fields] if fields else None, **ranges)
 
-def read_binary(spark: SparkSession, path: str | list[str], fields: list[Field], header: int = 0, size: int | None = None) -> DataFrame:
-    """Flat binary, one column after another behind a header; the number of rows follows from the file's size, which must fit."""
-    row = sum(np.dtype(kind).itemsize * width for _, kind, width in fields)
-
-    def decode(data: bytes) -> dict[str, np.ndarray]:
-        n, rest = (size, 0) if size is not None else divmod(len(data) - header, row)
-        if rest or len(data) < header + n * row:
-            raise ValueError(f"{len(data) - header} bytes are not a whole number of rows of {row} bytes")
-        out, at = {}, header
-        for name, kind, width in fields:
-            a = np.frombuffer(data, kind, n * width, at)
-            at += a.nbytes
-            out[name] = _native(a.reshape(n, width) if width > 1 else a)
-        return out
 
-    return _decode(spark, path, _schema(fields), decode)
+class FileCatalog(Catalog):
+    """A catalog of files of one format, of which ranges of rows can be named before anything is read."""
 
+    def __init__(self, spark: SparkSession, form: Format, path: str | list[str], columns: Sequence[str] | None = None, attrs: dict | None = None, rows: tuple[int, int | None] = (0, None)):
+        self.source, self.rows = (spark, form, path, columns), rows
+        super().__init__(with_ids(read_ranges(spark, form, path, columns, rows[0], rows[1])), attrs, dense=True)
+        self.names = self.df.columns
 
-def read_tpm(spark: SparkSession, path: str | list[str], precision: str = "f4") -> DataFrame:
-    """Position, Velocity and ID behind a header of 28 bytes."""
-    return read_binary(spark, path, [("Position", f"<{precision}", 3), ("Velocity", f"<{precision}", 3), ("ID", "<u8", 1)], header=28)
-
-
-#: The blocks of a snapshot of format 1, in order; the last three only for gas (type 0).
-GADGET = [("Position", "f", 3), ("GadgetVelocity", "f", 3), ("ID", "u", 1), ("Mass", "f", 1), ("InternalEnergy", "f", 1), ("Density", "f", 1), ("SmoothingLength", "f", 1)]
-
-
-def read_gadget1(spark: SparkSession, path: str | list[str], ptype: int = 1, columns: tuple[str, ...] = ("Position", "GadgetVelocity", "ID")) -> DataFrame:
-    """Particles of one type of a format-1 snapshot: length-framed records, precision from a record's length, masses from the header where it has them."""
-
-    def decode(data: bytes) -> dict[str, np.ndarray]:
-        records, at = [], 0
-        while at < len(data):
-            n = int(np.frombuffer(data, "<i4", 1, at)[0])
-            records.append(data[at + 4 : at + 4 + n])
-            if int(np.frombuffer(data, "<i4", 1, at + 4 + n)[0]) != n:
-                raise ValueError("a record's two lengths differ")
-            at += n + 8
-        head = records.pop(0)
-        count, masses = np.frombuffer(head, "<u4", 6).astype(int), np.frombuffer(head, "<f8", 6, 24)
-        out = {}
-        for name, kind, width in GADGET:
-            here = [i for i in range(6) if count[i] and (name != "Mass" or masses[i] == 0)] if name in ("Position", "GadgetVelocity", "ID", "Mass") else [0] * bool(count[0])
-            if name == "Mass" and ptype not in here and name in columns:
-                out[name] = np.full(count[ptype], masses[ptype])
-            if not here or not records:
-                continue
-            total = sum(count[i] for i in here)
-            a = np.frombuffer(data := records.pop(0), f"<{kind}{len(data) // (total * width)}").reshape(total, width)
-            if name in columns and ptype in here:
-                first = sum(count[i] for i in here if i < ptype)
-                own = a[first : first + count[ptype]]
-                out[name] = own.astype("f8" if kind == "f" else "i8").squeeze(1) if width == 1 else own.astype("f8")
-        if missing := set(columns) - set(out):
-            raise ValueError(f"no such blocks: {sorted(missing)}")
-        return {c: out[c] for c in columns}
-
-    kinds = {name: _sql_type("f8" if kind == "f" else "i8", width) for name, kind, width in GADGET}
-    return _decode(spark, path, ", ".join(f"{c} {kinds[c]}" for c in columns), decode)
-
-
-#: Letters of FITS column formats.
-FITS_TYPES = {"E": ">f4", "D": ">f8", "I": ">i2", "J": ">i4", "K": ">i8", "B": "u1"}
-
-
-def _fits_tables(data: bytes) -> Iterator[tuple[dict[str, str], int]]:
-    """The cards and the data's place of each unit."""
-    at = 0
-    while at < len(data):
-        cards: dict[str, str] = {}
-        while "END" not in cards:
-            for c in range(at, at + 2880, 80):
-                card = data[c : c + 80].decode("ascii", "replace")
-                cards.setdefault(card[:8].strip(), card[10:].split(" /")[0].strip().strip("'").strip())
-            at += 2880
-        yield cards, at
-        size = abs(int(cards.get("BITPIX", 8))) // 8 * int(cards.get("GCOUNT", 1)) if int(cards.get("NAXIS", 0)) else 0
-        for i in range(int(cards.get("NAXIS", 0))):
-            size *= int(cards[f"NAXIS{i + 1}"])
-        at += -(-(size + int(cards.get("PCOUNT", 0))) // 2880) * 2880
-
-
-def _scaled(a: np.ndarray, scale: str, zero: str) -> np.ndarray:
-    s, z = (float(x.upper().replace("D", "E")) for x in (scale, zero))
-    if (s, z) == (1.0, 0.0):
-        return a
-    if a.dtype.kind in "iu" and s == 1.0 and z.is_integer():
-        # An offset of 2^63 marks unsigned 64-bit numbers.
-        return a.astype("u8") + np.uint64(2**63) if z == 2.0**63 else a.astype("i8") + int(z)
-    return a * s + z
-
-
-def read_fits(spark: SparkSession, path: str | list[str], fields: list[Field], ext: int | None = None) -> DataFrame:
-    """Columns of the first binary table of a FITS file, or of unit ext; an image there is an error.
-
-    Scaled columns come as zero + scale * stored; whole numbers stay whole where the scale is 1.
-    """
+    def query_range(self, start: int, end: int) -> FileCatalog:
+        """The rows start..end of this catalog's own rows, read alone; columns that were attached would be lost and are an error."""
+        if self.df.columns != self.names:
+            raise ValueError("columns were attached, so there is no range of files to read")
+        if not 0 <= start <= end:
+            raise ValueError("a range needs 0 <= start <= end")
+        first, last = self.rows
+        stop = first + end if last is None else min(first + end, last)
+        return FileCatalog(*self.source, attrs=self.attrs, rows=(first + start, stop))
+
+    def with_column(self, name: str, value) -> FileCatalog:
+        return self._with(super().with_column(name, value).df)
 
-    def decode(data: bytes) -> dict[str, np.ndarray]:
-        for i, (cards, at) in enumerate(_fits_tables(data)):
-            table = cards.get("XTENSION") == "BINTABLE"
-            if ext is not None and i == ext and not table:
-                raise ValueError(f"unit {ext} is not a binary table")
-            if not table or ext not in (None, i):
-                continue
-            formats = [re.fullmatch(r"(\d*)([A-Z]).*", cards[f"TFORM{k + 1}"]).groups() for k in range(int(cards["TFIELDS"]))]
-            kind = np.dtype([(cards[f"TTYPE{k + 1}"], FITS_TYPES[letter], (int(w or 1),) if int(w or 1) > 1 else ()) for k, (w, letter) in enumerate(formats)])
-            rows = np.frombuffer(data, kind, int(cards["NAXIS2"]), at)
-            scaling = {cards[f"TTYPE{k + 1}"]: (cards.get(f"TSCAL{k + 1}", "1"), cards.get(f"TZERO{k + 1}", "0")) for k in range(len(formats))}
-            return {name: _scaled(_native(rows[name]), *scaling[name]).astype(np.dtype(k).newbyteorder("=")) for name, k, _ in fields}
-        raise ValueError("no binary table")
+    def _with(self, df: DataFrame, dense: bool | None = None) -> Catalog:
+        """Filtered rows are no range of a file any more; other changes leave the catalog one of files."""
+        if dense is False:
+            return super()._with(df, dense)
+        out = self.copy()
+        out.df = df
+        return out
 
-    return _decode(spark, path, _schema(fields), decode)
+    def copy(self) -> FileCatalog:
+        out = object.__new__(FileCatalog)
+        out.__dict__ = {**self.__dict__, "attrs": dict(self.attrs)}
+        return out
 
 
 def with_ids(df: DataFrame) -> DataFrame:
-    """Dense ids over file and row; one count for each file, in the order of names."""
+    """Dense ids over file and row, in the order of names, where the reader gave none: one count for each file.
+
+    A column of the file that Spark would not tell from id gets own_ before its name.
+    """
+    names = {c: f"own_{c}" if c.lower() == "id" and "row_id" in df.columns else c for c in df.columns if c not in ("file", "row", "row_id")}
+    if "row_id" in df.columns:
+        return df.select(F.col("row_id").alias("id"), *[F.col(c).alias(n) for c, n in names.items()])
+    if "id" in df.columns:
+        return df.drop("file", "row")
     counts = df.groupBy("file").agg(F.count("*").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return df.join(starts, "file").select((F.col("first") + F.col("row")).alias("id"), *[c for c in df.columns if c not in ("file", "row")])
+    names = {c: f"own_{c}" if c.lower() == "id" else c for c in names}
+    return df.join(starts, "file").select((F.col("first") + F.col("row")).alias("id"), *[F.col(c).alias(n) for c, n in names.items()])
 
 
 def as_array(df: DataFrame, columns: list[str]) -> Column:
