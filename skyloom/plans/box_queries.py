@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import sky
 from skyloom.operators import mesh as M
-from skyloom.operators import paircount, power
+from skyloom.operators import paircount, power, volumes
 from skyloom.operators.box import volume
 from skyloom.operators.field import Mesh
 from skyloom.plans.queries import BOX, CIC_MODES, CUST, EDGES, MU, N, REDGES, S3, pair_sql, paint_sql, points, points_sql, query, r
@@ -263,3 +263,30 @@ def _reconstructed(name: str, scheme: str, terms: list, back: bool):
 _reconstructed("recon_lgs", "LGS", _LGS, True)
 _reconstructed("recon_lrr", "LRR", _LRR, False)
 _reconstructed("reconstruction", "LF2", _LF2, False)
+
+
+# Sub-volumes
+
+_MOST, _MARGIN, _DEPTH = 24, 3.0, 4
+
+
+def _volumes_sql() -> str:
+    """The octree from counts at all of its levels, and every image of every point against every box."""
+    src = in_box_sql("customer")
+    cell = lambda a, k: f"least(cast(floor({a} * {2**k / dict(zip('xyz', SIDES, strict=True))[a]!r}) as bigint), {2**k - 1})"
+    nodes = " union all ".join(f"select {k} as level, {', '.join(f'{cell(a, k)} as c{a}' for a in 'xyz')}, count(*) as n from {src} group by all" for k in range(_DEPTH + 1))
+    # A box is one of the tree if it is not cut itself, and its parent is.
+    parent = f"exists (select 1 from nodes p where p.level = n.level - 1 and p.cx = n.cx // 2 and p.cy = n.cy // 2 and p.cz = n.cz // 2 and p.n > {_MOST})"
+    corners = ", ".join(f"c{a} * {s!r} / (1 << level) as lo_{a}, (c{a} + 1) * {s!r} / (1 << level) as hi_{a}" for a, s in zip("xyz", SIDES, strict=True))
+    images = " ".join(f"cross join (values (-{s!r}), (0.0), ({s!r})) i{a}(d{a})" for a, s in zip("xyz", SIDES, strict=True))
+    near = " and ".join(f"{a} + d{a} + {_MARGIN} >= lo_{a} and {a} + d{a} - {_MARGIN} < hi_{a}" for a in "xyz")
+    inside = " and ".join(f"d{a} = 0 and {a} >= lo_{a} and {a} < hi_{a}" for a in "xyz")
+    return f"""with nodes as materialized ({nodes}), boxes as materialized (select {corners} from nodes n where (n <= {_MOST} or level = {_DEPTH}) and (level = 0 or {parent}))
+select id, not ({inside}) as ghost, {", ".join(f"round({a} + d{a}, 6) + 0.0 as {a}, round(lo_{a}, 6) as lo_{a}, round(hi_{a}, 6) as hi_{a}" for a in "xyz")} from {src} {images} join boxes on {near}"""
+
+
+@query(_volumes_sql())
+def sub_volumes(spark, sf):
+    src = in_box(spark, sf, "customer")
+    found = volumes.sub_volumes(src, SIDES, _MOST, _MARGIN)
+    return found.select("id", "ghost", *[c for i, a in enumerate("xyz") for c in (r(a).alias(a), F.round(F.col("lo")[i], 6).alias(f"lo_{a}"), F.round(F.col("hi")[i], 6).alias(f"hi_{a}"))])
