@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from skyloom.functions.sky import bin_of, legendre, real_ylm, to_unit_sphere
 from skyloom.operators.box import Sides, three, volume
 from skyloom.operators.spatial import separations
 
+if TYPE_CHECKING:
+    from skyloom.catalog import Catalog
+
 
 def check_edges(edges: list[float], mode: str, n_mu: int | None = None, pimax: float | None = None) -> None:
     if mode not in ("1d", "2d", "projected", "angular"):
@@ -114,13 +118,47 @@ def total_weight(first: DataFrame, second: DataFrame | None = None, weight: str
     return a["w"] * second.agg(F.sum(w).alias("w")).first()["w"]
 
 
-def natural(counts: DataFrame, n: int, box: Sides, edges: list[float], n_mu: int | None = None) -> DataFrame:
-    """xi = DD / RR - 1 with the analytic count of uniform randoms in each shell (or wedge of a shell)."""
-    shell = [4 / 3 * math.pi * (b**3 - a**3) / (n_mu or 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    rr = F.element_at(F.array(*[F.lit(v * n * (n - 1) / volume(box)) for v in shell]), F.col("r_bin") + 1)
+def natural(counts: DataFrame, n: int, box: Sides | None, edges: list[float], n_mu: int | None = None, mode: str = "1d") -> DataFrame:
+    """xi = DD / RR - 1 with the analytic count of uniform randoms.
+
+    In a box: in each shell (1d), wedge of a shell (2d) or ring of width 1 at both signs along the line of sight
+    (projected). Angular counts are compared with a uniform sky.
+    """
+    steps = list(zip(edges[:-1], edges[1:], strict=True))
+    if mode == "angular":
+        share = [(math.cos(math.radians(a)) - math.cos(math.radians(b))) / 2 for a, b in steps]
+    elif mode == "projected":
+        share = [2 * math.pi * (b * b - a * a) / volume(box) for a, b in steps]
+    else:
+        share = [4 / 3 * math.pi * (b**3 - a**3) / (n_mu or 1) / volume(box) for a, b in steps]
+    rr = F.element_at(F.array(*[F.lit(v * n * (n - 1)) for v in share]), F.col("r_bin") + 1)
     return counts.withColumn("rr", rr).withColumn("corr", F.col("wnpairs") / F.col("rr") - 1)
 
 
+def spherical_volume(df: DataFrame, box: Sides) -> DataFrame:
+    """The points nearer to the box's centre than half of its shortest side."""
+    sides = three(box)
+    r2 = sum(((F.col(a) - s / 2) * (F.col(a) - s / 2) for a, s in zip("xyz", sides, strict=True)), F.lit(0.0))
+    return df.where(F.sqrt(r2) < min(sides) / 2)
+
+
+def check_sources(first: Catalog, second: Catalog | None = None, box: Sides | None = None, columns: tuple[str, ...] = ("x", "y", "z")) -> tuple[float, ...]:
+    """The box of a count, given or from the catalogs' BoxSize; columns must be there and boxes agree."""
+    found = None if box is None else tuple(map(float, three(box)))
+    for c in (first, first if second is None else second):
+        if missing := [name for name in columns if name not in c.columns]:
+            raise ValueError(f"missing columns {missing}")
+        own = c.attrs.get("BoxSize")
+        if own is not None:
+            own = tuple(map(float, three(own)))
+            if found is not None and own != found:
+                raise ValueError(f"boxes differ: {own} and {found}")
+            found = own
+    if found is None:
+        raise ValueError("a box is needed, as an argument or as the attribute BoxSize")
+    return found
+
+
 def landy_szalay(dd: DataFrame, dr: DataFrame, rr: DataFrame, total_dd: float, total_dr: float, total_rr: float, rd: DataFrame | None = None, total_rd: float | None = None) -> DataFrame:
     """xi = (DD - DR - RD) / RR + 1 with each count over its total; null where RR is empty. RD is DR unless given."""
     keys = [c for c in ("r_bin", "bin2") if c in rr.columns]
@@ -131,6 +169,23 @@ def landy_szalay(dd: DataFrame, dr: DataFrame, rr: DataFrame, total_dd: float, t
     return out.withColumn("corr", F.when(F.col("rr") > 0, (z["dd"] - z["dr"] - z["rd"]) / F.col("rr") + 1))
 
 
+def survey_correlation(data: DataFrame, randoms: DataFrame, edges: list[float], mode: str = "1d", n_mu: int | None = None, pimax: float | None = None, weight: str | None = None, cosmo: Cosmology | None = None, second: DataFrame | None = None, second_randoms: DataFrame | None = None) -> DataFrame:
+    """xi of a survey with its randoms by Landy and Szalay, from x, y, z or, with a cosmology, ra, dec and redshift; mode angular takes ra and dec.
+
+    With a second catalog (its randoms are those of the first unless given) the cross-correlation.
+    """
+    other, others = data if second is None else second, randoms if second_randoms is None else second_randoms
+
+    def count(a: DataFrame, b: DataFrame) -> tuple[DataFrame, float]:
+        b = None if b is a else b
+        pairs = angular_pairs(a, edges, b, weight) if mode == "angular" else survey_pairs(a, edges, b, mode, n_mu, pimax, weight, cosmo)
+        return pairs, total_weight(a, b, weight)
+
+    (dd, tdd), (dr, tdr), (rr, trr) = count(data, other), count(data, others), count(randoms, others)
+    rd, trd = (None, None) if second is None else count(other, randoms)
+    return landy_szalay(dd, dr, rr, tdd, tdr, trr, rd, trd)
+
+
 def wp(corr: DataFrame, width: float = 1.0) -> DataFrame:
     """Projected correlation function: sum of 2 xi over the bins along the line of sight."""
     return corr.groupBy("r_bin").agg(F.sum(2 * F.col("corr") * width).alias("wp"))
