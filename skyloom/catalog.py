@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.functions.values import dumps, loads
 from skyloom.operators.box import Cells, Sides
 from skyloom.operators.field import Mesh
 from skyloom.operators.numbering import dense_index
@@ -15,8 +15,14 @@ from skyloom.operators.numbering import dense_index
 DEFAULTS = {"Selection": lambda: F.lit(True), "Weight": lambda: F.lit(1.0), "Value": lambda: F.lit(1.0)}
 
 
+def column(method: Callable[[Catalog], Column]) -> Callable[[Catalog], Column]:
+    """Marks a method of a catalog class as a derived column: looked up by its name, made when it is asked for."""
+    method.is_column = True
+    return method
+
+
 class Catalog:
-    """Columns are looked up as own columns first, then as defaults (Selection, Weight, Value).
+    """Columns are looked up as own columns first, then as derived columns of the class, then as defaults (Selection, Weight, Value).
 
     Rows have an order: that of their ids, or of the last sort. Positions count in it. Ids that are known
     to be 0.. in this order are positions; where they are not, as after a filter or a sort, rows are
@@ -27,7 +33,7 @@ class Catalog:
         self.df, self.attrs, self.is_dense, self.order = df, dict(attrs or {}), dense, tuple(order)
 
     def _with(self, df: DataFrame, dense: bool | None = None) -> Catalog:
-        return Catalog(df, self.attrs, self.is_dense if dense is None else dense, self.order)
+        return type(self)(df, self.attrs, self.is_dense if dense is None else dense, self.order)
 
     @classmethod
     def from_arrays(cls, spark: SparkSession, data: Mapping[str, Sequence], **attrs) -> Catalog:
@@ -38,9 +44,13 @@ class Catalog:
         rows = [(i, *[x.tolist() if hasattr(x, "tolist") else x for x in r]) for i, r in enumerate(zip(*data.values(), strict=True))]
         return cls(spark.createDataFrame(rows, ["id", *data]), attrs, dense=True)
 
+    @classmethod
+    def derived(cls) -> list[str]:
+        return [name for name in dir(cls) if getattr(getattr(cls, name), "is_column", False)]
+
     @property
     def columns(self) -> list[str]:
-        return sorted({*self.df.columns, *DEFAULTS})
+        return sorted({*self.df.columns, *self.derived(), *DEFAULTS})
 
     @property
     def size(self) -> int:
@@ -51,6 +61,8 @@ class Catalog:
         if isinstance(key, str):
             if key in self.df.columns:
                 return self.df[key]
+            if key in self.derived():
+                return getattr(self, key)()
             if key in DEFAULTS:
                 return DEFAULTS[key]()
             raise KeyError(key)
@@ -59,7 +71,7 @@ class Catalog:
         if isinstance(key, slice):
             return self.gslice(key.start, key.stop, key.step)
         if isinstance(key, (list, tuple)) and all(isinstance(k, str) for k in key):
-            kept = Catalog(self.df, self.attrs, self.is_dense, self.order) if not self.order else self.dense()
+            kept = self.dense() if self.order else self
             return kept._with(kept.df.select("id", *[kept[k].alias(k) for k in key if k != "id"]))
         if isinstance(key, (list, tuple)) and all(isinstance(k, int) and not isinstance(k, bool) for k in key):
             return self._take(key)
@@ -79,8 +91,10 @@ class Catalog:
         """The same rows in the same order, with ids 0.. without gaps."""
         if self.is_dense:
             return self
-        numbered = dense_index(self.df.withColumnRenamed("id", "_old"), [*self.order, "_old"], "id")
-        return Catalog(numbered.select(*self.df.columns), self.attrs, dense=True)
+        numbered = dense_index(self.df, [*self.order, "id"], "_place")
+        found = self._with(numbered.select(*[F.col("_place").alias("id") if c == "id" else c for c in self.df.columns]), True)
+        found.order = ()
+        return found
 
     def copy(self) -> Catalog:
         return self._with(self.df)
@@ -123,7 +137,8 @@ class Catalog:
         if len(set(keys)) != len(keys):
             raise ValueError("duplicate sort keys")
         order = [F.col(k).desc() if reverse else F.col(k).asc() for k in keys]
-        found = Catalog(self.df.orderBy(*order, "id"), self.attrs, order=order)
+        found = self._with(self.df.orderBy(*order, "id"), False)
+        found.order = tuple(order)
         if columns is None:
             return found
         found = found.dense() if set(keys) - {"id", *columns} else found
@@ -150,11 +165,11 @@ class Catalog:
         """A Parquet directory, with the attributes beside it as one JSON row."""
         names, own = list(columns or [c for c in self.df.columns if c != "id"]), self.dense() if self.order else self
         own.df.select("id", *[own[c].alias(c) for c in names]).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/columns")
-        self.df.sparkSession.createDataFrame([(json.dumps({"attrs": self.attrs, "dense": own.is_dense}),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/attrs")
+        self.df.sparkSession.createDataFrame([(dumps({"attrs": self.attrs, "dense": own.is_dense}),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/attrs")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
-        about = json.loads(spark.read.text(f"{path}/attrs").first()[0])
+        about = loads(spark.read.text(f"{path}/attrs").first()[0])
         return cls(spark.read.parquet(f"{path}/columns"), about["attrs"], about["dense"])
 
 

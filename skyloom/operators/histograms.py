@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.cosmology import Cosmology
 from skyloom.functions.sky import bin_of
+from skyloom.functions.values import dumps, loads
 
 
 def bounds(df: DataFrame, pad: float = 0.02, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -80,7 +80,7 @@ class Bins:
             if key not in self.variables:
                 raise KeyError(key)
             return self.df.select(*self.dims, key)
-        if isinstance(key, list):
+        if isinstance(key, list) and all(isinstance(k, str) for k in key):
             if unknown := [k for k in key if k not in self.variables]:
                 raise KeyError(unknown)
             return Bins(self.df.select(*self.dims, *key), self.dims, self.attrs)
@@ -93,18 +93,42 @@ class Bins:
                 if not -n <= k < n:
                     raise IndexError(k)
                 k = slice(k % n, k % n + 1)
-            start, stop, step = k.indices(n)
-            if step != 1 or start >= stop:
-                raise IndexError("only non-empty slices of step 1")
-            out = out.take(dim, start, stop)
+            at = list(k) if isinstance(k, list) else list(range(n))[k]
+            if not at or any(not -n <= i < n for i in at):
+                raise IndexError(f"no such bins of {dim}: {k}")
+            out = out.pick(dim, [i % n for i in at])
         return out
 
+    def pick(self, dim: str, places: list[int]) -> Bins:
+        """Bins of a dimension in rising order, numbered anew; a bin's lower edge stays, the last one's upper edge ends them.
+
+        So bins with gaps between them reach up to the next one that was picked.
+        """
+        if places != sorted(set(places)):
+            raise IndexError("bins are picked in rising order, each once")
+        new = F.create_map(*[F.lit(x) for i, p in enumerate(places) for x in (p, i)])
+        out = self.df.where(F.col(dim).isin(places)).withColumn(dim, new[F.col(dim)])
+        return Bins(out, self.dims | {dim: [self.dims[dim][p] for p in places] + [self.dims[dim][places[-1] + 1]]}, self.attrs)
+
     def mask(self, dim: str, keep: list[bool]) -> Bins:
-        """The bins of a dimension that a mask marks, numbered anew; they must be next to each other, as edges must."""
-        at = [i for i, k in enumerate(keep) if k]
-        if len(keep) != len(self.dims[dim]) - 1 or not at or at[-1] - at[0] + 1 != len(at):
-            raise ValueError("a mask marks one run of bins, of all that there are")
-        return self.take(dim, at[0], at[-1] + 1)
+        """The bins of a dimension that a mask marks."""
+        if len(keep) != len(self.dims[dim]) - 1 or not any(keep):
+            raise ValueError("a mask marks bins, of all that there are")
+        return self.pick(dim, [i for i, k in enumerate(keep) if k])
+
+    def where(self, *conditions: Column) -> Bins:
+        """The bins of every dimension all of whose rows, over the other dimensions, meet all conditions; a bin without rows goes."""
+        met = F.lit(True)
+        for c in conditions:
+            met = met & F.coalesce(c, F.lit(False))
+        # As many rows as a dimension has bins.
+        kept = {dim: sorted(r[0] for r in self.df.groupBy(dim).agg(F.min(met).alias("all")).where("all").select(dim).collect()) for dim in self.dims}
+        out = self
+        for dim, places in kept.items():
+            if not places:
+                raise ValueError(f"no bin of {dim} meets the conditions")
+            out = out.pick(dim, places)
+        return out
 
     def squeeze(self, dim: str | None = None) -> Bins:
         """Without a dimension of one bin, by default all such."""
@@ -152,13 +176,36 @@ class Bins:
         whole = self.reindex(dim, len(self.dims[dim]) - 1, weight)
         return Bins(whole.df.drop(dim), {k: v for k, v in self.dims.items() if k != dim}, self.attrs)
 
+    def save(self, path: str) -> None:
+        """The rows as Parquet, dimensions and attributes beside them as one JSON row, in any store that Spark writes."""
+        self.df.write.mode("overwrite").parquet(f"{path}/rows")
+        self.df.sparkSession.createDataFrame([(dumps({"dims": self.dims, "attrs": self.attrs}),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bins:
+        about = loads(spark.read.text(f"{path}/about").first()[0])
+        return cls(spark.read.parquet(f"{path}/rows"), about["dims"], about["attrs"])
+
     def to_json(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump({"dims": self.dims, "attrs": self.attrs, "columns": self.df.columns, "types": [t for _, t in self.df.dtypes], "rows": [list(r) for r in self.df.collect()]}, f)
+        """One row of JSON text, for tables of few bins."""
+        held = {"dims": self.dims, "attrs": self.attrs, "columns": self.df.columns, "types": [t for _, t in self.df.dtypes], "rows": [list(r) for r in self.df.collect()]}
+        self.df.sparkSession.createDataFrame([(dumps(held),)], "about string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def from_json(cls, spark: SparkSession, path: str) -> Bins:
-        with open(path) as f:
-            d = json.load(f)
+        d = loads(spark.read.text(path, wholetext=True).first()[0])
         schema = ", ".join(f"{c} {t}" for c, t in zip(d["columns"], d["types"], strict=True))
         return cls(spark.createDataFrame([tuple(r) for r in d["rows"]], schema), d["dims"], d["attrs"])
+
+    @classmethod
+    def from_plaintext(cls, spark: SparkSession, path: str, names: list[str], dims: dict[str, list[float]], attrs: dict | None = None) -> Bins:
+        """Columns of a text file with one line for each bin, the last dimension's index running fastest; bins without numbers are 'nan'."""
+        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))).alias("place", "line"))
+        parts, size = F.split(F.regexp_replace("line", r"\s+", " "), " "), math.prod(len(e) - 1 for e in dims.values())
+        if (found := lines.count()) != size:
+            raise ValueError(f"{found} lines for {size} bins")
+        index, after = [], size
+        for dim, edges in dims.items():
+            after //= len(edges) - 1
+            index.append((F.floor(F.col("place") / after) % (len(edges) - 1)).cast("int").alias(dim))
+        return cls(lines.select(*index, *[F.get(parts, F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]), dims, attrs)

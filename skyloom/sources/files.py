@@ -84,8 +84,8 @@ class FileCatalog(Catalog):
 
     def _with(self, df: DataFrame, dense: bool | None = None) -> Catalog:
         """Filtered rows are no range of a file any more; other changes leave the catalog one of files."""
-        if dense is False:
-            return super()._with(df, dense)
+        if dense is not None:
+            return Catalog(df, self.attrs, dense, self.order)
         out = self.copy()
         out.df = df
         return out

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.catalog import Catalog
+from skyloom.catalog import Catalog, column
 from skyloom.functions.cosmology import Cosmology
-from skyloom.operators import histograms, mocks
+from skyloom.functions.values import dumps, loads
+from skyloom.operators import histograms, mocks, paircount
 from skyloom.operators import mesh as M
 from skyloom.operators.field import Mesh
 from skyloom.operators.numbering import dense_index
@@ -59,10 +60,14 @@ def test_bins_by_place_mask_and_name(spark):
     assert b.mask("k", [False, True, True]).dims["k"] == [1, 2, 3]
     assert b.rename("k", "q").dims.keys() == {"q", "mu"}
     assert b.with_variable("twice", F.col("p") * 2)[["twice"]].variables == ["twice"] and b["p"].columns == ["k", "mu", "p"]
-    for wrong in (lambda: b.squeeze(), lambda: b.mask("k", [True, False, True])):
+    assert b.mask("k", [True, False, True]).dims["k"] == [0, 2, 3] and sorted(r["p"] for r in b[::2, 1].df.collect()) == [1.0, 21.0]
+    assert b[[0, 2]].df.orderBy("k", "mu").collect() == b.mask("k", [True, False, True]).df.orderBy("k", "mu").collect()
+    some = b.where(F.col("p") > 0, F.col("p") < 25)
+    assert some.shape == (2, 1) and some.dims == {"k": [1, 2, 3], "mu": [0.5, 1]}
+    for wrong in (lambda: b.squeeze(), lambda: b.mask("k", [True]), lambda: b.where(F.col("p") > 99)):
         with pytest.raises(ValueError):
             wrong()
-    for wrong in (lambda: b[3], lambda: b[0, 0, 0]):
+    for wrong in (lambda: b[3], lambda: b[0, 0, 0], lambda: b[::-1], lambda: b[[1, 0]], lambda: b[2:2]):
         with pytest.raises(IndexError):
             wrong()
     with pytest.raises(KeyError):
@@ -83,3 +88,61 @@ def test_poisson_numbers(spark, mean):
     assert abs(n.mean() - mean) < 5 * np.sqrt(mean / 20000) + 1e-9
     assert abs(n.var() - mean) < 0.06 * mean + 1e-9
     assert abs((n == 0).mean() - np.exp(-mean)) < 0.02
+
+
+def test_positions_follow_filters_and_sorts(spark):
+    c = Catalog.from_arrays(spark, {"x": [5, 4, 3, 2, 1, 0]})
+    x = lambda cat: [r["x"] for r in cat.dense().df.orderBy("id").collect()]
+    small = c[c["x"] < 3]
+    assert x(small[0:2]) == [2, 1] and x(small[[0, 1]]) == [2, 1] and x(small[-1:]) == [0]
+    assert x(c.sort("x")[0:2]) == [0, 1] and x(c.sort("x", reverse=True)[1::2]) == [4, 2, 0]
+    assert x(c[::-1]) == [0, 1, 2, 3, 4, 5] and x(c[4:1:-2]) == [1, 3] and x(c[1:4:-1]) == [] and x(c[::-1][0:2]) == [0, 1]
+    both = small.concat(small.sort("x"))
+    assert [(r["id"], r["x"]) for r in both.df.orderBy("id").collect()] == [(0, 2), (1, 1), (2, 0), (3, 0), (4, 1), (5, 2)]
+    assert x(c.sort("x")[["x"]][0:1]) == [0] and x(c.sort("x")[c["x"] > 1][0:2]) == [2, 3]
+
+
+def test_catalogs_and_their_attributes_survive_a_save(spark, tmp_path):
+    attrs = {"BoxSize": np.array([1.0, 2.0, 3.0]), "z": 1 + 2j, "cosmo": Cosmology(omega_m=0.3), "n": np.int64(4), "more": {"a": [np.float32(0.5), None]}}
+    c = Catalog.from_arrays(spark, {"x": [3.0, 1.0, 2.0]}, **attrs)
+    c.sort("x").save(str(tmp_path / "c"))
+    back = Catalog.load(spark, str(tmp_path / "c"))
+    assert [r["x"] for r in back[0:2].df.orderBy("id").collect()] == [1.0, 2.0] and back.is_dense
+    assert back.attrs["BoxSize"].tolist() == [1, 2, 3] and back.attrs["z"] == 1 + 2j and back.attrs["n"] == 4 and back.attrs["more"] == {"a": [0.5, None]}
+    assert back.attrs["cosmo"].comoving_distance(0.5) == attrs["cosmo"].comoving_distance(0.5)
+    m = np.array([[1 + 1j, 2], [3, 4j]])
+    assert (loads(dumps({"m": m}))["m"] == m).all()
+
+
+class Shifted(Catalog):
+    @column
+    def Shift(self):
+        return self["x"] + self["Weight"]
+
+
+def test_derived_columns(spark):
+    c = Shifted.from_arrays(spark, {"x": [1.0, 2.0]})
+    assert "Shift" in c.columns and [r[0] for r in c[["Shift"]].df.select("Shift").orderBy("Shift").collect()] == [2.0, 3.0]
+    assert [r["Shift"] for r in c[c["x"] > 1][["Shift"]].df.collect()] == [3.0] and c.with_column("Shift", 7)["Shift"] is not None
+    with pytest.raises(KeyError):
+        c["none"]
+
+
+def test_sources_of_a_count(spark):
+    a = Catalog.from_arrays(spark, {"x": [1.0], "y": [1.0], "z": [1.0]}, BoxSize=[4, 4, 2])
+    plain = Catalog(a.df)
+    assert paircount.check_sources(a) == paircount.check_sources(plain, a) == (4.0, 4.0, 2.0) and paircount.check_sources(plain, None, 3) == (3.0,) * 3
+    for wrong in (lambda: paircount.check_sources(plain), lambda: paircount.check_sources(a, None, 5.0), lambda: paircount.check_sources(a, Catalog(a.df, {"BoxSize": 4})), lambda: paircount.check_sources(a, columns=("x", "w"))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_bins_in_text_and_stores(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("# k p\n" + "".join(f"{i} {'nan' if i == 2 else i * 10}\n" for i in range(6)))
+    b = histograms.Bins.from_plaintext(spark, str(tmp_path / "b.txt"), ["i", "p"], {"k": [0, 1, 2, 3], "mu": [0, 0.5, 1]}, {"n": np.arange(3)})
+    assert {(r["k"], r["mu"]): r["i"] for r in b.df.collect()} == {(i // 2, i % 2): i for i in range(6)}
+    b.save(str(tmp_path / "s"))
+    back = histograms.Bins.load(spark, str(tmp_path / "s"))
+    assert back.dims == b.dims and back.attrs["n"].tolist() == [0, 1, 2] and back.df.count() == 6
+    with pytest.raises(ValueError):
+        histograms.Bins.from_plaintext(spark, str(tmp_path / "b.txt"), ["i", "p"], {"k": [0, 1]})
