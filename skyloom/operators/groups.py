@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,16 +76,18 @@ def cylindrical_groups(df: DataFrame, rank: str, rperp: float, rpar: float, box:
     # Edges from the higher-ranked object to the lower one.
     higher = (F.col("r1") > F.col("r2")) | ((F.col("r1") == F.col("r2")) & (F.col("id1") < F.col("id2")))
     edges = scratch.keep(p.where((perp2 <= rperp * rperp) & (par <= rpar) & higher).select(F.col("id1").alias("hi"), F.col("id2").alias("lo"), F.col("r1").alias("r")), "edges")
-    state = scratch.keep(src.select("id", F.lit(None).cast("int").alias("kind")), "state0")
-    k = 0
-    while not state.where("kind is null").isEmpty():
-        open_ = state.where("kind is null").select("id")
-        above = edges.join(open_.withColumnRenamed("id", "hi"), "hi").select(F.col("lo").alias("id")).distinct()
-        new = open_.join(above, "id", "left_anti")
-        taken = edges.join(new.withColumnRenamed("id", "hi"), "hi").select(F.col("lo").alias("id")).distinct()
-        marks = new.withColumn("k", F.lit(0)).unionByName(taken.join(new, "id", "left_anti").withColumn("k", F.lit(1)))
-        state = scratch.keep(state.join(marks, "id", "left").select("id", F.coalesce("kind", "k").alias("kind")), f"state{k + 1}")
-        k += 1
+    # Rounds read and write what is undecided, which gets less; what a round decides is a table of its own.
+    open_, links, decided = src.select("id"), edges.select("hi", "lo"), []
+    while not (k := len(decided)) or not open_.isEmpty():
+        new = open_.join(links.select(F.col("lo").alias("id")), "id", "left_anti")
+        taken = links.join(new.withColumnRenamed("id", "hi"), "hi", "left_semi").select(F.col("lo").alias("id")).distinct()
+        decided.append(scratch.keep(new.withColumn("kind", F.lit(0)).unionByName(taken.withColumn("kind", F.lit(1))), f"decided{k}"))
+        gone = decided[-1].select("id")
+        open_ = scratch.keep(open_.join(gone, "id", "left_anti"), f"open{k}")
+        links = scratch.keep(links.join(gone.withColumnRenamed("id", "hi"), "hi", "left_anti").join(gone.withColumnRenamed("id", "lo"), "lo", "left_anti"), f"links{k}")
+        if k > 1:
+            scratch.drop(f"open{k - 2}", f"links{k - 2}")
+    state = spark.read.schema(decided[0].schema).parquet(*[f"{scratch.root}/decided{i}" for i in range(len(decided))])
     centrals = state.where("kind = 0").join(src.select("id", "r"), "id")
     ids = dense_index(centrals, [F.desc("r"), F.asc("id")], "cgm_haloid").select("id", "cgm_haloid")
     host = edges.join(centrals.select(F.col("id").alias("hi")), "hi").join(state.where("kind = 1").select(F.col("id").alias("lo")), "lo").groupBy("lo").agg(F.max_by("hi", F.struct("r", -F.col("hi"))).alias("hi"))
@@ -101,54 +102,112 @@ def knn_density(df: DataFrame, box: Sides, k: int = 8) -> DataFrame:
     return nearest(df, k, box).select("id", (1.0 / F.pow(F.col("r"), F.lit(3.0))).alias("density"))
 
 
+#: Links of a group that is decided in one task; larger groups are decided by rounds, with the same result.
+LINKS_A_TASK = 100_000
+
+
+def _remove_one_by_one(g: pd.DataFrame) -> pd.DataFrame:
+    """Objects removed from a group, given its links in both directions: label, a, b and a's key."""
+    near: dict[int, list[int]] = {}
+    for a, b in zip(g["a"].tolist(), g["b"].tolist(), strict=True):
+        near.setdefault(a, []).append(b)
+    key = dict(zip(g["a"].tolist(), g["key"].tolist(), strict=True))
+    n = {i: len(x) for i, x in near.items()}
+    around = {i: sum(n[j] for j in x) for i, x in near.items()}
+    first, gone = [(-n[i], around[i], key[i], i) for i in near], []
+    heapq.heapify(first)
+    while first and first[0][0] < 0:
+        count, beside, _, i = heapq.heappop(first)
+        if i not in n or (-count, beside) != (n[i], around[i]):
+            continue  # an entry from before a neighbour went
+        changed, own = set(), n.pop(i)
+        gone.append(i)
+        for j in near[i]:
+            if j in n:
+                around[j] -= own
+                n[j] -= 1
+                changed.add(j)
+                for k in near[j]:
+                    if k in n:
+                        around[k] -= 1
+                        changed.add(k)
+        for j in changed:
+            heapq.heappush(first, (-n[j], around[j], key[j], j))
+    return pd.DataFrame({"id": pd.Series(gone, dtype="int64")})
+
+
+def _remove_in_rounds(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same removals, given links a, b and a's key, in rounds over all links.
+
+    Taking an object away changes places within two links, and never lets one of fewer links go before it. So the order
+    matters only among objects of equally many links that are chained together by steps of at most two links, and only
+    if none of them is within two links of an object with more. A round removes the first object of each such
+    chain at once; what is first is passed along the chain until nothing changes.
+    """
+    links, gone = scratch.keep(links, "links0"), []
+
+    def least_beside(values: DataFrame) -> DataFrame:
+        beside = links.join(values.select(F.col("a").alias("b"), F.col("v").alias("w")), "b").groupBy("a").agg(F.min("w").alias("w"))
+        return values.join(beside, "a").select("a", F.least("v", "w").alias("v"))
+
+    while not links.isEmpty():
+        k, step = len(gone), 0
+        n = links.groupBy("a").agg(F.count("*").alias("n"), F.first("key").alias("key"))
+        around = links.join(n.select(F.col("a").alias("b"), F.col("n").alias("m")), "b").groupBy("a").agg(F.sum("m").alias("around"))
+        # Most links come first; of equally many what is held up, then the first place known of the chain.
+        own = F.struct((-F.col("n")).alias("fewer"), F.lit(1).alias("free"), F.struct("around", "key", F.col("a").alias("id")).alias("first"))
+        values = scratch.keep(n.join(around, "a").select("a", own.alias("v")), f"values{k}-0")
+        while True:
+            reach = least_beside(least_beside(values)).select("a", F.col("v").alias("w"))
+            held = (F.col("w.fewer") < F.col("v.fewer")) | (F.col("w.free") == 0)
+            new = F.struct(F.col("v.fewer").alias("fewer"), F.when(held, 0).otherwise(1).alias("free"), F.when(held, F.col("v.first")).otherwise(F.col("w.first")).alias("first"))
+            step += 1
+            values = scratch.keep(values.join(reach, "a").select("a", new.alias("v"), (new != F.col("v")).alias("changed")), f"values{k}-{step}")
+            scratch.drop(f"values{k}-{step - 1}")
+            if values.where("changed").isEmpty():
+                break
+        out = scratch.keep(values.where((F.col("v.free") == 1) & (F.col("v.first.id") == F.col("a"))).select("a"), f"gone{k}")
+        gone.append(out)
+        left = links.join(out, "a", "left_anti").join(out.withColumnRenamed("a", "b"), "b", "left_anti")
+        links = scratch.keep(left.select(*links.columns), f"links{k + 1}")
+        scratch.drop(f"values{k}-{step}", f"links{k}")
+    paths = [f"{scratch.root}/gone{i}" for i in range(len(gone))]
+    return links.sparkSession.read.schema("a long").parquet(*paths).select(F.col("a").alias("id")) if gone else links.select(F.col("a").alias("id"))
+
+
 def fiber_collisions(df: DataFrame, radius: float = 62 / 3600, seed: int = 0) -> DataFrame:
     """(id, label, collided, neighbor_id): which objects of ra, dec (degrees) lose their fibre.
 
     Groups are friends of friends on the sphere. In a group of two a random one collides; in a larger one
     the object with most neighbours is removed again and again (ties: fewest collisions among its
-    neighbours, then a random key) until none is too close. A collided object's neighbor is the nearest kept one.
-    A group is decided in one task, which holds its links, not its pairs.
+    neighbours, then a random key) until none is too close. A collided object's neighbor is the nearest kept one
+    of its group. Groups of up to LINKS_A_TASK links are decided in one task each, larger ones by rounds of joins.
     """
+    scratch = Scratch(df.sparkSession)
     x, y, z = to_unit_sphere(F.col("ra"), F.col("dec"))
-    pos = df.select("id", x.alias("x"), y.alias("y"), z.alias("z"))
+    pos = scratch.keep(df.select("id", x.alias("x"), y.alias("y"), z.alias("z")), "positions")
     link = 2 * math.sin(math.radians(radius) / 2)
-    labels = fof(pos, link, 1)
-    near = radius_pairs(pos, pos, link).where("id1 <> id2").groupBy(F.col("id1").alias("id")).agg(F.collect_list("id2").alias("near"))
-    grouped = pos.join(labels.where("label > 0"), "id").join(near, "id").withColumn("key", F.xxhash64("id", F.lit(seed)))
-
-    def assign(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id").reset_index(drop=True)
-        ids, key, p = g["id"].to_numpy(), g["key"].tolist(), g[["x", "y", "z"]].to_numpy()
-        links = [np.searchsorted(ids, x).tolist() for x in g["near"]]
-        left, n = [True] * len(g), [len(x) for x in links]
-        around = [sum(n[j] for j in x) for x in links]
-        first = [(-n[i], around[i], key[i], i) for i in range(len(g))]
-        heapq.heapify(first)
-        while first and first[0][0] < 0:
-            count, beside, _, i = heapq.heappop(first)
-            if not left[i] or (-count, beside) != (n[i], around[i]):
-                continue  # an entry from before a neighbour went
-            left[i], changed = False, set()
-            for j in links[i]:
-                if left[j]:
-                    around[j] -= n[i]
-                    n[j] -= 1
-                    changed.add(j)
-                    for k in links[j]:
-                        around[k] -= 1
-                        changed.add(k)
-            for j in changed:
-                if left[j]:
-                    heapq.heappush(first, (-n[j], around[j], key[j], j))
-        kept, to = np.flatnonzero(left), np.full(len(g), -1)
-        for i in np.flatnonzero(~np.array(left)):
-            # A kept object within the link is nearer than all beyond it.
-            beside = np.array([j for j in sorted(links[i]) if left[j]] or kept)
-            to[i] = ids[beside[((p[beside] - p[i]) ** 2).sum(axis=1).argmin()]]
-        return pd.DataFrame({"id": ids, "label": g["label"], "collided": (~np.array(left)).astype(np.int32), "neighbor_id": to})
-
-    found = grouped.groupBy("label").applyInPandas(assign, "id long, label long, collided int, neighbor_id long")
-    return df.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(0).cast("long")).alias("label"), F.coalesce("collided", F.lit(0)).alias("collided"), F.when(F.col("neighbor_id") >= 0, F.col("neighbor_id")).alias("neighbor_id"))
+    labels = scratch.keep(fof(pos, link, 1), "labels")
+    near = radius_pairs(pos, pos, link, half=True)
+    both = near.select(F.explode(F.array(F.struct(F.col("id1").alias("a"), F.col("id2").alias("b")), F.struct(F.col("id2").alias("a"), F.col("id1").alias("b")))).alias("l")).select("l.*")
+    links = scratch.keep(both.withColumn("key", F.xxhash64("a", F.lit(seed))).join(labels.select(F.col("id").alias("a"), "label"), "a"), "links")
+    large = scratch.keep(links.groupBy("label").count().where(F.col("count") > LINKS_A_TASK).select("label"), "large")
+    small = links.join(large, "label", "left_anti").groupBy("label").applyInPandas(_remove_one_by_one, "id long")
+    rounds = _remove_in_rounds(links.join(large, "label", "left_semi").select("a", "b", "key"), scratch)
+    removed = scratch.keep(small.unionByName(rounds), "removed")
+
+    at = pos.join(labels.where("label > 0"), "id")
+    left, kept, reach, found = at.join(removed, "id"), scratch.keep(at.join(removed, "id", "left_anti"), "kept"), link, []
+    while not left.isEmpty():
+        # Most have a kept object within the link; the others look farther in their group, which has one.
+        p = radius_pairs(left, kept, reach, None, ["label"], ["label"]).where("label1 = label2")
+        found.append(scratch.keep(p.groupBy(F.col("id1").alias("id")).agg(F.min_by("id2", F.struct("s", "id2")).alias("neighbor_id")), f"found{len(found)}"))
+        left, reach = scratch.keep(left.join(found[-1], "id", "left_anti"), f"left{len(found)}"), reach * 2
+    out = labels.join(removed.withColumn("collided", F.lit(1)), "id", "left")
+    nearest_kept = labels.select("id", F.col("id").alias("neighbor_id")).where("false")
+    for f in found:
+        nearest_kept = nearest_kept.unionByName(f)
+    return out.join(nearest_kept, "id", "left").select("id", "label", F.coalesce("collided", F.lit(0)).alias("collided"), "neighbor_id")
 
 
 def dense_labels(df: DataFrame, keys: list[str | Column], name: str = "label") -> DataFrame:

@@ -122,7 +122,10 @@ def test_projected_power(spark, axes):
         assert found[i]["modes"] == use.sum() and np.isclose(found[i]["power"], p[use].mean())
 
 
-def test_fiber_collisions_are_greedy(spark):
+@pytest.mark.parametrize("in_task", [True, False])
+def test_fiber_collisions_are_greedy(spark, monkeypatch, in_task):
+    if not in_task:
+        monkeypatch.setattr(groups, "LINKS_A_TASK", 0)
     rng = np.random.default_rng(8)
     ra, dec = rng.random(160) * 3, rng.random(160) * 3
     df = spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec, strict=True))], "id long, ra double, dec double")
