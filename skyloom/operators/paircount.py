@@ -34,7 +34,8 @@ def _binned(p: DataFrame, s: Column, edges: list[float], extra: Column | None, w
 
     Each pair counts `times`: twice where one of two ordered pairs is given.
     """
-    p = p.withColumn("s", s).withColumn("r_bin", bin_of(F.col("s"), edges)).where((F.col("r_bin") >= 0) & (F.col("r_bin") < len(edges) - 1))
+    # Bins are worked out for pairs within the edges only; a condition on them would become one of the join and be worked out for all.
+    p = p.withColumn("s", s).where((F.col("s") >= edges[0]) & (F.col("s") < edges[-1])).withColumn("r_bin", bin_of(F.col("s"), edges))
     keys = ["r_bin"]
     if extra is not None:
         p = p.withColumn("bin2", extra).where("bin2 is not null")
@@ -215,9 +216,11 @@ def triplet_poles(first: DataFrame, edges: list[float], poles: tuple[int, ...],
 
     p = separations(*_both(first, second, prepare), edges[-1], box, ["w"], ["w"])
     s2 = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
+    # Most pairs of neighbour cells are too far apart: they go by their square alone, as a join's condition must stay small to be compiled.
+    p = p.where((s2 > max(edges[0], 0.0) ** 2) & (s2 <= edges[-1] ** 2)).withColumn("s", F.sqrt(s2))
     # Bins are (lo, hi], the mirror of [lo, hi).
-    p = p.where(s2 > 0).withColumn("s", F.sqrt(s2)).withColumn("b", len(edges) - 2 - bin_of(-F.col("s"), [-e for e in reversed(edges)]))
-    p = p.where((F.col("b") >= 0) & (F.col("b") < len(edges) - 1)).select("id1", "w1", "w2", "b", *[(F.col(f"d{a}") / F.col("s")).alias(f"u{a}") for a in "xyz"])
+    place = F.least(F.greatest(len(edges) - 2 - bin_of(-F.col("s"), [-e for e in reversed(edges)]), F.lit(0)), F.lit(len(edges) - 2))
+    p = p.select("id1", "w1", "w2", place.alias("b"), *[(F.col(f"d{a}") / F.col("s")).alias(f"u{a}") for a in "xyz"])
     at = [(ell, m) for ell in poles for m in range(-ell, ell + 1)]
     sums = [F.sum(F.col("w2") * real_ylm(ell, m, F.col("ux"), F.col("uy"), F.col("uz"))) for ell, m in at]
     moments = p.groupBy("id1", "b").agg(F.first("w1").alias("w1"), F.array(*sums).alias("a"))
