@@ -12,7 +12,7 @@ from skyloom.operators import mesh as M
 from skyloom.operators import paircount, power, volumes
 from skyloom.operators.box import volume
 from skyloom.operators.field import Mesh
-from skyloom.plans.queries import BOX, CIC_MODES, CUST, EDGES, MU, N, REDGES, S3, pair_sql, paint_sql, points, points_sql, query, r
+from skyloom.plans.queries import BOX, CIC_MODES, CUST, EDGES, MU, N, REDGES, S3, auto_sql, bins_sql, pair_sql, paint_sql, points, points_sql, query, r
 
 SIDES, CELLS = (100.0, 80.0, 50.0), (8, 6, 4)
 _SCALE = dict(zip("xyz", (1.0, 0.8, 0.5), strict=True))
@@ -290,3 +290,24 @@ def sub_volumes(spark, sf):
     src = in_box(spark, sf, "customer")
     found = volumes.sub_volumes(src, SIDES, _MOST, _MARGIN)
     return found.select("id", "ghost", *[c for i, a in enumerate("xyz") for c in (r(a).alias(a), F.round(F.col("lo")[i], 6).alias(f"lo_{a}"), F.round(F.col("hi")[i], 6).alias(f"hi_{a}"))])
+
+
+# Wedges of mu from multipoles
+
+_WEDGES = [0.0, 0.25, 0.5, 1.0]
+
+
+def _mean_legendre(ell: int, a: float, b: float) -> float:
+    whole = {0: lambda x: x, 2: lambda x: (x**3 - x) / 2, 4: lambda x: (7 * x**5 - 10 * x**3 + 3 * x) / 8}[ell]
+    return (whole(b) - whole(a)) / (b - a)
+
+
+_POLE_SUMS = f"select k_bin, sum(h * sqrt(n2)) * {_K0!r} / sum(h) as k, sum(h * re) / sum(h) as p0, 5 * sum(h * re * (3 * mu * mu - 1) / 2) / sum(h) as p2, 9 * sum(h * re * (35 * mu * mu * mu * mu - 30 * mu * mu + 3) / 8) / sum(h) as p4 from ({bins_sql(auto_sql(CIC_MODES))}) where k_bin between 0 and {len(EDGES) - 2} group by k_bin"
+
+
+@query(" union all ".join(f"select k_bin, {i} as mu_bin, round(k, 6) as k, round({' + '.join(f'p{e} * {_mean_legendre(e, a, b)!r}' for e in (0, 2, 4))}, 4) + 0.0 as power from ({_POLE_SUMS})" for i, (a, b) in enumerate(zip(_WEDGES[:-1], _WEDGES[1:], strict=True))))
+def power_wedges(spark, sf):
+    src = points(spark, sf, "orders")
+    modes = M.fft(M.density(M.paint(src, N, BOX), N, src.count()), N)
+    poles = power.bin_modes(power.power_modes(modes, None, BOX**3), N, BOX, EDGES, poles=(0, 2, 4))
+    return power.poles_to_wedges(poles, _WEDGES, (0, 2, 4)).select("k_bin", "mu_bin", r("k").alias("k"), r("power", 4).alias("power"))
