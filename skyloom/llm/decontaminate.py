@@ -16,7 +16,11 @@ that the join is by shuffle.
 
 Defined results: words are runs of letters and digits, lower-cased; null and empty texts have none;
 items without words are not searched for; a null doc_id or item_id gives no rows;
-repeated rows give their pair once; extra columns are ignored.
+repeated rows give their pair once; extra columns are ignored; start_word is below 0 where an item's
+head hangs out before the document; of equally good places the first one is given.
+
+A document of repeated words is compared in time that grows with its words and the item's, not with
+their product's hits; only the words at the remaining shifts are compared, in one running sum each.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import Scratch
@@ -51,7 +55,7 @@ def words_of(text: Column) -> Column:
 
 
 def _seeds(table: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
-    """Masked hashes at every word: key, pos, seed. Only the hashes are exploded, not the words with them."""
+    """Masked hashes at every word: key, mask, pos, seed. Only the hashes are exploded, not the words with them."""
 
     def at(word: Column, i: Column) -> Column:
         hashes = []
@@ -61,15 +65,48 @@ def _seeds(table: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
         return F.array(*hashes)
 
     every = table.select(key, F.posexplode(F.flatten(F.transform("words", at))).alias("place", "seed"))
-    return every.filter("seed is not null").select(key, F.floor(F.col("place") / len(masks)).cast("int").alias("pos"), "seed")
+    mask = F.get(F.array(*[F.lit((MASKS + RUNS).index(m)) for m in masks]), F.col("place") % len(masks))
+    return every.filter("seed is not null").select(key, mask.alias("mask"), F.floor(F.col("place") / len(masks)).cast("int").alias("pos"), "seed")
+
+
+def _first_of_diagonals(seeds: DataFrame, key: str) -> DataFrame:
+    """Beside each seed the one of the same mask a word before it (null, if that is not among the rows).
+
+    Where both sides' words before a hit agree too, that hit has the same shift already: only the first
+    hit of each run along a diagonal is needed, so that a word repeated n times meets one repeated m
+    times in n + m places instead of n * m.
+    """
+    w = Window.partitionBy(key, "mask").orderBy("pos")
+    before = F.when(F.lag("pos").over(w) == F.col("pos") - 1, F.lag("seed").over(w))
+    return seeds.withColumn("before", before)
 
 
 def _best_window(doc: Column, item: Column, shift: Column) -> Column:
-    """The most equal words in any window of the item, laid over the document at a shift."""
-    equal = F.transform(item, lambda w, k: F.when(F.get(doc, shift + k) == w, 1).otherwise(0))
+    """The most equal words in any window of the item, laid over the document at a shift: a running sum."""
     length = F.least(F.size(item), F.lit(WINDOW))
-    sums = F.transform(F.sequence(F.lit(1), F.size(item) - length + 1), lambda s: F.aggregate(F.slice(equal, s, length), F.lit(0), lambda a, x: a + x))
-    return F.array_max(sums)
+
+    def equal(k: Column) -> Column:
+        return F.when(F.get(doc, shift + k) == F.get(item, k), 1).otherwise(0)
+
+    def step(state: Column, k: Column) -> Column:
+        now = state["now"] + equal(k) - F.when(k >= length, equal(k - length)).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["best"], state["now"]).alias("best"))
+
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), zero, step, lambda s: F.greatest(s["best"], s["now"]))
+
+
+def _best_shift(doc: Column, item: Column, shifts: Column) -> Column:
+    """(n, before): the most equal words at any shift and the smallest such shift, negated.
+
+    Shifts are tried in ascending order; once all words of a window are equal no later one can be better.
+    """
+
+    def step(best: Column, s: Column) -> Column:
+        here = F.struct(_best_window(doc, item, s).alias("n"), (-s).alias("before"))
+        return F.when(best["n"] >= F.least(F.size(item), F.lit(WINDOW)), best).otherwise(F.greatest(best, here))
+
+    return F.aggregate(F.array_sort(shifts), F.struct(F.lit(-1).alias("n"), F.lit(0).alias("before")), step)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -80,14 +117,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
     lengths = [r.n for r in items.filter((n > 0) & (n < SHORT)).select(n.alias("n")).distinct().collect()]
     by_mask = {MASKS: n >= SHORT} | {(run,): n.isin(having) for run in RUNS if (having := [x for x in lengths if masks_for(x) == (run,)])}
     parts = [_seeds(items.filter(which), "item_id", masks) for masks, which in by_mask.items()]
-    tests = reduce(DataFrame.unionByName, parts).withColumnRenamed("pos", "item_pos")
+    scratch = Scratch(docs.sparkSession)
+    tests = scratch.keep(_first_of_diagonals(reduce(DataFrame.unionByName, parts), "item_id"), "tests")
     small = tests.limit(broadcast_rows + 1).count() <= broadcast_rows
+    sized = F.broadcast if small else lambda t: t
     d = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", words_of(F.col("text")).alias("words"))
-    met = _seeds(d, "doc_id", sum(by_mask, ())).join(F.broadcast(tests) if small else tests, "seed")
-    # The alignments are few; written, their size is known when they fetch their documents' words.
-    hits = Scratch(docs.sparkSession).keep(met.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
-    hits = d.join(hits, "doc_id").join(items.withColumnRenamed("words", "item"), "item_id")
-    found = hits.select("doc_id", "item_id", F.col("shift").alias("start_word"), _best_window(F.col("words"), F.col("item"), F.col("shift")).cast("long").alias("n_equal"), F.least(F.size("item"), F.lit(WINDOW)).cast("long").alias("window"))
+    known = _seeds(d, "doc_id", sum(by_mask, ())).join(sized(tests.select("seed").distinct()), "seed", "left_semi")
+    # Of the documents only words whose hashes the benchmark has are left: few rows, numbered by document.
+    known = _first_of_diagonals(known, "doc_id").withColumnRenamed("before", "doc_before")
+    t = sized(tests.select("item_id", "seed", "before", F.col("pos").alias("item_pos")))
+    met = known.join(t, "seed").filter(F.col("doc_before").isNull() | F.col("before").isNull() | (F.col("doc_before") != F.col("before")))
+    # The shifts of a pair are fewer than the words of both; written, their size is known when they fetch their words.
+    shifts = met.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
+    hits = d.join(scratch.keep(shifts, "hits"), "doc_id").join(items.withColumnRenamed("words", "item"), "item_id")
+    best = _best_shift(F.col("words"), F.col("item"), F.col("shifts"))
+    found = hits.select("doc_id", "item_id", best.alias("b"), F.least(F.size("item"), F.lit(WINDOW)).cast("long").alias("window"))
+    found = found.select("doc_id", "item_id", F.col("b.n").cast("long").alias("n_equal"), "window", (-F.col("b.before")).alias("start_word"))
     found = found.filter(F.col("n_equal") >= F.col("window") * LEAST)
     best = F.max_by(F.struct("n_equal", "window", "start_word"), F.struct("n_equal", -F.col("start_word")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_equal", "b.window", F.col("b.start_word").cast("long").alias("start_word"))
