@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Scratch, free_shuffles, stable_rows, text_or_empty
+from skyloom.llm.common import Scratch, free_shuffles, text_or_empty
 from skyloom.llm.ngram_join import HELD_WORDS, _Hashes
 from skyloom.llm.suffix_dedup import _chunks
 
@@ -78,8 +78,18 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (((keys.astype(np.uint64) * _ODD) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
+def _runs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Cuts where a file ends or row numbers skip, so that a run's rows follow from its first one."""
+    if "row" not in pdf:
+        yield pdf
+        return
+    cuts = np.flatnonzero((np.diff(pdf["row"]) != 1) | (np.diff(pdf["file"]) != 0)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+        yield pdf.iloc[a:b]
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[str]]]:
-    for pdf in batches:
+    for pdf in chain.from_iterable(map(_runs, batches)):
         texts = list(pdf["text"])
         for x, y in _chunks(list(map(len, texts)), BLOCK_BYTES):
             for a in range(x, y, BLOCK_ROWS):
@@ -197,17 +207,17 @@ class Model:
 
 
 def _parts(rows: DataFrame, model, shards: int, at_pass: int) -> DataFrame:
-    """(shard, block, keys, counts, docs) of blocks of consecutive rows: bigrams of the shards of a pass, how often the block has each and in which rows; in the first pass, under shards below 0, each row's words (counts) and base (docs)."""
+    """(shard, file, block, keys, counts, docs) of blocks of consecutive rows: bigrams of the shards of a pass, how often the block has each and in which rows; in the first pass, under shards below 0, each row's words (counts) and base (docs)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, m = _Hashes(), model.value
         for pdf, part in _blocks(batches):
             words, sizes = word_numbers(part, hashes)
             keys, row = bigrams(words, sizes), np.repeat(np.arange(len(part)), sizes)
-            first, out = int(pdf["row"].iloc[0]), []
+            file, first, out = int(pdf["file"].iloc[0]), int(pdf["row"].iloc[0]), []
             if not at_pass:
                 sums = np.bincount(row, m.base(keys), len(part))
-                out.append((-1 - first % shards, first, b"", pack(sizes, "<u8"), sums.astype("<f8").tobytes()))
+                out.append((-1 - (file ^ first) % shards, file, first, b"", pack(sizes, "<u8"), sums.astype("<f8").tobytes()))
             now = shard_of(keys, shards) % PASSES == at_pass
             both = np.sort(keys[now] << 16 | row[now])
             keys = both >> 16
@@ -220,52 +230,65 @@ def _parts(rows: DataFrame, model, shards: int, at_pass: int) -> DataFrame:
             docs = (both & 0xFFFF)[np.repeat(at[order] - (ends - n), n) + np.arange(len(both))]
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(of)], strict=False):  # no cuts in an empty block
-                out.append((of[a], first, pack(np.diff(own[a:b], prepend=0), "<u8"), pack(n[a:b], "<u4"), pack(docs[ends[a] - n[a] : ends[b - 1]], "<u2")))
-            yield pd.DataFrame(out, columns=["shard", "block", "keys", "counts", "docs"])
+                out.append((of[a], file, first, pack(np.diff(own[a:b], prepend=0), "<u8"), pack(n[a:b], "<u4"), pack(docs[ends[a] - n[a] : ends[b - 1]], "<u2")))
+            yield pd.DataFrame(out, columns=["shard", "file", "block", "keys", "counts", "docs"])
 
-    return rows.mapInPandas(run, "shard int, block long, keys binary, counts binary, docs binary")
+    return rows.mapInPandas(run, "shard int, file long, block long, keys binary, counts binary, docs binary")
 
 
 def _meet(model):
-    """Meets the counts of a shard with the blocks' bigrams: (block, docs, sums, counts), a row for each block."""
+    """Meets the counts of a shard with the blocks' bigrams: (file, block, docs, sums, counts), a row for each block."""
 
     def run(counts: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         m, out = model.value, []
         known = [(np.cumsum(unpack(x, "<u8")), unpack(y, "<u8")) for x, y in zip(counts["keys"], counts["counts"], strict=True)]
         keys, c = merged(known) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         gain = np.append(m.gain(keys, c), 0.0)
-        for shard, first, k, n, docs in zip(blocks["shard"], blocks["block"], blocks["keys"], blocks["counts"], blocks["docs"], strict=True):
+        for shard, file, first, k, n, docs in zip(blocks["shard"], blocks["file"], blocks["block"], blocks["keys"], blocks["counts"], blocks["docs"], strict=True):
             if shard < 0:
-                out.append((first, b"", docs, n))
+                out.append((file, first, b"", docs, n))
                 continue
             k = np.cumsum(unpack(k, "<u8"))
             at = np.searchsorted(keys, k)
             at = np.where(np.append(keys, -1)[at] == k, at, len(keys))
             sums = np.bincount(unpack(docs, "<u2"), np.repeat(gain[at], unpack(n, "<u4")))
             used = np.flatnonzero(sums)
-            out.append((first, pack(used, "<u2"), sums[used].astype("<f8").tobytes(), b""))
-        return pd.DataFrame(out, columns=["block", "docs", "sums", "counts"])
+            out.append((file, first, pack(used, "<u2"), sums[used].astype("<f8").tobytes(), b""))
+        return pd.DataFrame(out, columns=["file", "block", "docs", "sums", "counts"])
 
     return run
 
 
 def _back(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a block's rows: (row, log_p, n)."""
+    """The sums of a block's rows: (file, row, log_p, n)."""
     docs = [unpack(d, "<u2") if d else np.arange(len(s) // 8) for d, s in zip(parts["docs"], parts["sums"], strict=True)]
     log_p = np.bincount(np.concatenate(docs), np.frombuffer(b"".join(parts["sums"]), "<f8")) if docs else np.zeros(0)
     n = [unpack(c, "<u8") for c in parts["counts"] if c]
-    return pd.DataFrame({"row": key[0] + np.arange(len(log_p)), "log_p": log_p, "n": n[0] if n else 0})
+    return pd.DataFrame({"file": key[0], "row": key[1] + np.arange(len(log_p)), "log_p": log_p, "n": n[0] if n else 0})
+
+
+def _named(docs: DataFrame, scan: bool, scratch: Scratch) -> DataFrame:
+    """(file, row, doc_id, lang, text): rows named by a hash of their file and their place in it.
+
+    Those names are the same however the files are split among tasks, so they may be found anew in each reading.
+    """
+    if not scan:
+        docs = scratch.keep(docs.select("doc_id", "lang", "text"), "rows")
+    at = docs.metadataColumn("_metadata")
+    return docs.select(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row"), "doc_id", "lang", text_or_empty().alias("text"))
+
 
+def classify_quality(docs: DataFrame, labels: DataFrame, scan: bool = False) -> DataFrame:
+    """doc_id, lang, perplexity, high (the language's bound), kept for each row.
 
-def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity, high (the language's bound), kept for each row."""
+    scan says that docs reads Parquet files as they are (columns may be chosen); other tables are written first.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("own")).distinct()
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    d = stable_rows(docs.select("doc_id", text_or_empty().alias("text"), "lang"), scratch)
-    # A row is named by its place in the scan; rows of a batch follow each other.
-    rows = d.withColumn("row", F.monotonically_increasing_id())
-    names = scratch.keep(rows.select("row", "doc_id", "lang", F.octet_length("text").alias("bytes")), "names")
+    rows = _named(docs, scan, scratch)
+    d = rows.select("doc_id", "text")
+    names = scratch.keep(rows.select("file", "row", "doc_id", "lang", F.octet_length("text").alias("bytes")), "names")
     shards = max(LEAST_SHARDS, (names.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES)
     trusted = d.filter(~held_out).join(good.hint("merge"), F.col("doc_id") == F.col("own"), "left_semi").select("text")
     counts = scratch.keep(_count(trusted, shards), "counts")
@@ -275,13 +298,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     free_shuffles(spark)
     sums = None
     for k in range(PASSES):
-        parts = _parts(rows.select("row", "text"), model, shards, k)
-        met = counts.groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(_meet(model), "block long, docs binary, sums binary, counts binary")
-        own = scratch.keep(met.groupBy("block").applyInPandas(_back, "row long, log_p double, n long"), f"sums{k}")
+        parts = _parts(rows.select("file", "row", "text"), model, shards, k)
+        met = counts.groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(_meet(model), "file long, block long, docs binary, sums binary, counts binary")
+        own = scratch.keep(met.groupBy("file", "block").applyInPandas(_back, "file long, row long, log_p double, n long"), f"sums{k}")
         sums = own if sums is None else sums.unionByName(own)
         free_shuffles(spark)
-    sums = sums.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
-    scored = names.join(sums, "row", "left")
+    sums = sums.groupBy("file", "row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
+    scored = names.join(sums, ["file", "row"], "left")
     scored = scratch.keep(scored.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity")), "scored")
     free_shuffles(spark)
     scratch.drop("counts", "partial", "names", *[f"sums{k}" for k in range(PASSES)])

@@ -47,7 +47,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), scan=True)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
