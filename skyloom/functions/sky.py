@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LIGHT_SPEED = 299792.458  # km/s
+CRITICAL_DENSITY = 2.77536627e11  # (Msun/h) / (Mpc/h)^3, today
 # Rotation from equatorial to galactic axes.
 GALACTIC = [
     [-0.0548755604162154, -0.873437090234885, -0.4838350155487132],
@@ -101,6 +103,24 @@ def halo_radius(mass: Column, density: float, overdensity: float) -> Column:
     return F.pow(3 * mass / (4 * math.pi * overdensity * density), F.lit(1 / 3))
 
 
+def halo_overdensity(mdef: str, omega_m: float, efunc: float, redshift: float) -> float:
+    """The density inside a halo by its mass definition, in units of the critical density at its redshift.
+
+    'vir' is the fit of Bryan and Norman (1998) for flat universes, '200c' so many times the critical and '200m' the mean density.
+    """
+    of_matter = omega_m * (1 + redshift) ** 3 / efunc**2
+    if mdef == "vir":
+        return 18 * math.pi**2 + 82 * (of_matter - 1) - 39 * (of_matter - 1) ** 2
+    if not re.fullmatch(r"[1-9][0-9]*[cm]", mdef):
+        raise ValueError(f"a mass definition is vir, a number with c or a number with m, not {mdef}")
+    return int(mdef[:-1]) * (of_matter if mdef[-1] == "m" else 1.0)
+
+
+def halo_radius_of(mass: Column, omega_m: float, efunc: float, redshift: float, mdef: str = "vir") -> Column:
+    """The proper radius in Mpc/h of a halo of so many Msun/h."""
+    return halo_radius(mass, CRITICAL_DENSITY * efunc**2, halo_overdensity(mdef, omega_m, efunc, redshift))
+
+
 def halo_concentration(mass: Column, redshift: float) -> Column:
     """Concentration of NFW halos of virial mass in Msun/h by the published power-law fit of Dutton and Maccio (2014)."""
     b = -0.097 + 0.024 * redshift

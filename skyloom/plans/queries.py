@@ -640,4 +640,4 @@ def binned_sel(spark, sf):
     return _two(spark, sf).sel("nearest", bin2=0.4).df
 
 
-from skyloom.plans import box_queries, stream_queries  # noqa: E402, F401  they register themselves
+from skyloom.plans import box_queries, catalog_queries, stream_queries  # noqa: E402, F401  they register themselves

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests), a new local one."""
+    """The folder of spark.checkpoint.dir; where none is set in local mode (tests), a new one. A cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isEmpty() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         if found.isEmpty():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyloom-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyloom.catalog import Catalog
 from skyloom.plans.scratch import Scratch
-from skyloom.sources.ranges import Field, FitsTable, FlatBinary, Format, Gadget1, read_ranges
+from skyloom.sources.ranges import Field, FitsTable, FlatBinary, Format, Gadget1, read_ranges, write_ranges
 
 
 def read_csv(spark: SparkSession, path: str | list[str], names: list[str], types: dict[str, str] | str = "double", usecols: list[str] | None = None, whitespace: bool = True, sep: str = ",", comment: str = "#", skiprows: int = 0, nrows: int | None = None) -> DataFrame:
@@ -46,6 +46,11 @@ def read_binary(spark: SparkSession, path: str | list[str], fields: list[Field],
     return read_ranges(spark, FlatBinary(tuple(fields), header, size, offsets), path, **ranges)
 
 
+def write_binary(df: DataFrame, path: str, fields: list[Field], header: bytes = b"", **files) -> int:
+    """A folder of flat binary files that read_binary reads; columns of several elements are arrays. Returns the number of rows."""
+    return write_ranges(df, path, fields, header, **files)
+
+
 def read_tpm(spark: SparkSession, path: str | list[str], precision: str = "f4", **ranges) -> DataFrame:
     """Position, Velocity and ID behind a header of 28 bytes."""
     return read_binary(spark, path, [("Position", f"<{precision}", 3), ("Velocity", f"<{precision}", 3), ("ID", "<u8", 1)], header=28, **ranges)

@@ -19,6 +19,7 @@ import fnmatch
 import json
 import posixpath
 import re
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -375,6 +377,57 @@ def _whole_files(spark: SparkSession, form: Format, paths: str | Sequence[str],
     return files.mapInArrow(run, f"file string, row bigint, {layout.sql(names)}")
 
 
+def _write_file(path: str, fields: Sequence[Field], header: bytes, table: pa.Table) -> None:
+    """One file: the header, then column after column; it gets its name when it is whole, so a task may be repeated."""
+    files, at = _opened(path)
+    with files.open_output_stream(part := f"{at}.{uuid.uuid4().hex}.tmp") as out:
+        out.write(header)
+        for name, kind, width in fields:
+            column = table[name].combine_chunks()
+            if column.null_count or (width > 1 and column.flatten().null_count):
+                raise ValueError(f"{name} has nulls, which flat binary cannot hold")
+            values = (column.flatten() if width > 1 else column).to_numpy(zero_copy_only=False)
+            if len(values) != table.num_rows * width:
+                raise ValueError(f"{name} has rows of other lengths than {width}")
+            out.write(values.astype(np.dtype(kind), copy=False).tobytes())
+    files.move(part, at)
+
+
+def write_ranges(df: DataFrame, path: str, fields: Sequence[Field], header: bytes = b"", rows_per_file: int = ROWS_PER_TASK) -> int:
+    """Writes the rows of each partition, in their order, as flat binary files of at most rows_per_file rows; returns their number.
+
+    Names of files follow the partitions' numbers, so a table that is sorted by ranges is read again in its order.
+    """
+    files, at = _opened(path)
+    files.create_dir(at, recursive=True)
+    if files.get_file_info(fs.FileSelector(at)):
+        raise FileExistsError(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, number, total = [], 0, 0, 0
+        own = TaskContext.get().partitionId()
+
+        def flush() -> None:
+            nonlocal held, rows, number
+            table = pa.Table.from_batches(held)
+            _write_file(f"{path}/part-{own:06d}-{number:06d}", fields, header, table)
+            held, rows, number = [], 0, number + 1
+
+        for batch in batches:
+            total += batch.num_rows
+            while batch.num_rows:
+                first, batch = batch.slice(0, rows_per_file - rows), batch.slice(rows_per_file - rows)
+                held.append(first)
+                rows += first.num_rows
+                if rows == rows_per_file:
+                    flush()
+        if rows:
+            flush()
+        yield pa.RecordBatch.from_pydict({"rows": [total]})
+
+    return df.select(*[f[0] for f in fields]).mapInArrow(run, "rows long").groupBy().sum("rows").first()[0] or 0
+
+
 def read_ranges(spark: SparkSession, form: Format, paths: str | Sequence[str], columns: Sequence[str] | None = None, start: int | None = None, stop: int | None = None, step: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """id (or row_id), file, row and the columns of a stack of files, or of a slice of its rows, in one task for each range of rows."""
     try:
