@@ -12,9 +12,12 @@ in blocks of bounded size, so a common direction is split over tasks; a pair tha
 filters is counted at the smallest of them only. Each block reports counts and a spanning forest of
 its links, never the pairs.
 
-The number of words follows the dimension: the largest for which planted pairs at the least cosine
-share a filter with a probability of TARGET (below 8 components the code is a single block). Closer
-pairs are found with more (see the tests, and the README for the recall measured).
+The number of words follows the number of distinct vectors: its square is at least FILTERS times as
+many, so that a filter's members, and with them the pairs compared for each vector, do not grow with
+the table. Of the sizes up to that one it is the largest for which planted pairs at the least cosine
+share a filter with a probability of TARGET, which depends on the dimension (below 8 components the
+code is a single block). Closer pairs are found with more (see the tests, and the README for the
+recall measured). SIZES ends at 65536, as a filter's number has 32 bits.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link
 with nothing; vectors of other lengths are not compared; repeated rows are one vector; a null vec_id
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import Scratch
 from skyloom.operators.graph import components
 
-MOST, TARGET, BLOCK = 52, 0.98, 1024
-SIZES = (256, 192, 128, 96, 64, 48, 32, 24, 16, 12, 8, 4)
+MOST, TARGET, BLOCK, FILTERS = 52, 0.98, 1024, 32
+#: 65536, then 3 and 2 times falling powers of two: 49152, 32768, 24576, 16384, ...
+SIZES = (65536, *(m << k for k in range(14, 2, -1) for m in (3, 2)), 12, 8, 4)
+FEWEST = 256
 
 
 @lru_cache(maxsize=64)
@@ -49,13 +54,21 @@ def _words(dim: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     return turn, unit[0], unit[1], cut
 
 
+def _top(v: np.ndarray) -> np.ndarray:
+    """The places of the MOST largest values of each row, in falling order."""
+    if v.shape[1] > 4 * MOST:
+        found = np.sort(np.argpartition(-v, MOST, axis=1)[:, :MOST], axis=1)
+        return np.take_along_axis(found, np.argsort(-np.take_along_axis(v, found, 1), axis=1, kind="stable"), 1)
+    return np.argsort(-v, axis=1, kind="stable")[:, :MOST]
+
+
 def _best(unit: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> np.ndarray:
     """The sorted filters of each unit vector (a row): the MOST best, or all where there are fewer."""
     turn, one, two, cut = code
     z = unit @ turn
     # Rounded, so that ties fall the same way in batches of any size.
     a, b = np.round(z[:, :cut] @ one.T, 9), np.round(z[:, cut:] @ two.T, 9)
-    x, y = (np.argsort(-v, axis=1, kind="stable")[:, :MOST] for v in (a, b))
+    x, y = (_top(v) for v in (a, b))
     i, j = np.nonzero(np.outer(np.arange(1, x.shape[1] + 1), np.arange(1, y.shape[1] + 1)) <= MOST)
     sums = np.take_along_axis(a, x, 1)[:, i] + np.take_along_axis(b, y, 1)[:, j]
     top = np.argsort(-np.round(sums, 9), axis=1, kind="stable")[:, :MOST]
@@ -71,21 +84,30 @@ def planted_pairs(dim: int, cosine: float, n: int, seed: int) -> tuple[np.ndarra
     return u, u * cosine + v / np.maximum(norm, 1e-300) * np.sqrt(1 - cosine * cosine) if dim > 1 else u.copy()
 
 
+def wanted_size(rows: int) -> int:
+    """The number of words for so many distinct vectors."""
+    return next((z for z in reversed(SIZES) if z >= FEWEST and z * z >= FILTERS * rows), SIZES[0])
+
+
 @lru_cache(maxsize=64)
-def code_of(dim: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The largest code by which planted pairs at the least cosine share a filter with probability TARGET."""
+def code_of(dim: int, least: float, wanted: int = FEWEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The largest code of at most the wanted size by which planted pairs at the least cosine share a filter with probability TARGET."""
     u, v = planted_pairs(dim, least, 1000, dim + 1)
-    for size in SIZES[:-1] if dim >= 8 else SIZES[6:-1]:
+    for size in [z for z in SIZES[:-1] if z <= (wanted if dim >= 8 else 32)]:
         code = _words(dim, size)
-        if np.mean([np.intersect1d(p, q, True).size > 0 for p, q in zip(_best(u, code), _best(v, code), strict=True)]) >= TARGET:
+        if np.mean([np.intersect1d(p, q, True).size > 0 for p, q in zip(_all(u, code), _all(v, code), strict=True)]) >= TARGET:
             return code
     return _words(dim, SIZES[-1])  # 16 filters, fewer than MOST: every pair is compared
 
 
-def filters_of(unit: np.ndarray, least: float) -> np.ndarray:
+def _all(unit: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> np.ndarray:
+    step = max((1 << 20) // max(len(code[1]), len(code[2])), 1)
+    return np.concatenate([_best(unit[k : k + step], code) for k in range(0, len(unit), step)])
+
+
+def filters_of(unit: np.ndarray, least: float, wanted: int = FEWEST) -> np.ndarray:
     """The sorted filters that each unit vector (a row) passes."""
-    code = code_of(unit.shape[1], least)
-    return np.concatenate([_best(unit[k : k + 4096], code) for k in range(0, len(unit), 4096)])
+    return _all(unit, code_of(unit.shape[1], least, wanted))
 
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
@@ -129,7 +151,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return node, low[node]
 
 
-def _compare(batches: Iterator[pd.DataFrame], least: float, kind: str) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], least: float, kind: str, wanted: int) -> Iterator[pd.DataFrame]:
     for g in whole_groups(batches, ["key", "lo", "hi"]):
         if len(g) < 2:
             continue
@@ -144,7 +166,7 @@ def _compare(batches: Iterator[pd.DataFrame], least: float, kind: str) -> Iterat
         if not len(used):
             continue
         near, unit, ids, mult = near[np.ix_(used, used)], unit[used], ids[used], mult[used]
-        lists = filters_of(unit, least)
+        lists = filters_of(unit, least, wanted)
         smaller = [f[f < own] for f in lists]
         seen = np.unique(np.concatenate(smaller))
         has = np.zeros((len(used), len(seen)), np.float32)
@@ -167,13 +189,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     rows = vectors.select(F.col("vec_id").alias("id"), "embedding").withColumn("e", F.when(good, e))
     distinct = rows.filter("e is not null").groupBy("id", "e").agg(F.lit(1).alias("x"))
     classes = scratch.keep(distinct.groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "classes")
+    wanted = wanted_size(classes.count())
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sizes = pdf["e"].map(len)
             for _, g in pdf.groupby(sizes):
                 vs = [np.asarray(v, kind) for v in g["e"]]
-                lists = filters_of(_unit(vs), least)
+                lists = filters_of(_unit(vs), least, wanted)
                 n = lists.shape[1]
                 yield pd.DataFrame({"filter": lists.ravel() + (len(vs[0]) << 32), "id": np.repeat(g["rep"].to_numpy(), n), "mult": np.repeat(g["mult"].to_numpy(), n), "vector": np.repeat(np.array([v.tobytes() for v in vs], object), n)})
 
@@ -185,7 +208,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     met = met.select(F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.col("filter").alias("key"), "chunk", "id", "mult", "vector")
     dealt = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    found = scratch.keep(dealt.mapInPandas(lambda b: _compare(b, least, kind), "id long, n long, to long"), "found")
+    found = scratch.keep(dealt.mapInPandas(lambda b: _compare(b, least, kind, wanted), "id long, n long, to long"), "found")
 
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
