@@ -116,14 +116,19 @@ class Bins:
             raise ValueError("a mask marks bins, of all that there are")
         return self.pick(dim, [i for i, k in enumerate(keep) if k])
 
-    def where(self, *conditions: Column) -> Bins:
-        """The bins of every dimension all of whose rows, over the other dimensions, meet all conditions; a bin without rows goes."""
+    def where(self, *conditions: Column, or_none: bool = False) -> Bins:
+        """The bins of every dimension all of whose rows, over the other dimensions, meet all conditions; a bin without rows goes.
+
+        Where no bin meets them, that is an error, or with or_none no rows, with the edges as they are.
+        """
         met = F.lit(True)
         for c in conditions:
             met = met & F.coalesce(c, F.lit(False))
         # As many rows as a dimension has bins.
         kept = {dim: sorted(r[0] for r in self.df.groupBy(dim).agg(F.min(met).alias("all")).where("all").select(dim).collect()) for dim in self.dims}
         out = self
+        if or_none and not all(kept.values()):
+            return Bins(self.df.where("false"), self.dims, self.attrs)
         for dim, places in kept.items():
             if not places:
                 raise ValueError(f"no bin of {dim} meets the conditions")

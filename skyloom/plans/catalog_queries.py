@@ -179,7 +179,7 @@ def binned_average(spark, sf):
 @query(f"select cast(row_number() over (order by r_bin) - 1 as integer) as r_bin, npairs, wnpairs, ratio from ({_MEAN}) where npairs >= 10 and wnpairs < 1e9")
 def binned_where(spark, sf):
     """The bins that meet two conditions, numbered anew."""
-    return _rounded(_averaged(spark, sf).where(F.col("npairs") >= 10, F.col("wnpairs") < 1e9).df)
+    return _rounded(_averaged(spark, sf).where(F.col("npairs") >= 10, F.col("wnpairs") < 1e9, or_none=True).df)
 
 
 @query(f"{_MEAN} order by r_bin")
