@@ -5,8 +5,7 @@ stand: after an assignment, a header's or a URL's separator, in quotes, after a
 the prefix of a known kind of key. Its novelty is the number of bytes that it adds when the text around it
 is compressed with a dictionary: bytes(context + candidate) - bytes(context), over the candidate's
 length. The dictionary holds common identifiers of code (a fixed list) and the WORDS words that the most
-texts of a sample of the corpus have (SAMPLE texts, those of the smallest hash; words have no digits, so no
-secret gets in). Identifiers, paths, dates and repeated strings cost little; random keys cost most of
+texts of the whole corpus have (rows that repeat count again; words have no digits, so no secret gets in). Identifiers, paths, dates and repeated strings cost little; random keys cost most of
 their bytes.
 
 Defined results: null or empty text has no spans; repeated rows give repeated rows; a null doc_id is
@@ -52,21 +51,26 @@ localhost message method module name namespace null object option output package
 private production property protected public query register request resource response result return schema secret
 select server service session setting static status string system table temp template test timestamp token true
 type undefined update url user username value variable version void your_api_key your_password_here changeme""".split()
-REACH, AROUND, LEAST_NOVELTY, SAMPLE, WORDS = 64, 200, 0.9, 2000, 2000
+REACH, AROUND, LEAST_NOVELTY, WORDS = 64, 200, 0.9, 2000
+#: Words counted in a task before their counts are sent on.
+HELD = 100_000
 
 
 def dictionary_of(docs: DataFrame) -> str:
     """The words of the dictionary, the most common at the end, where a reference to them is shortest."""
-    named = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    chosen = named.select("h").distinct().orderBy("h").limit(SAMPLE)
-    sample = named.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text"))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counter()
         for pdf in batches:
-            counts = Counter(w for t in pdf["text"] for w in set(WORD.findall(t)) if len(w) <= 40)
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-
-    common = sample.select("text").mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+            for t in pdf["text"]:
+                counts.update(set(WORD.findall(t)))
+            if len(counts) > HELD:
+                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                counts = Counter()
+        yield pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
+
+    counted = docs.filter("text is not null").select("text").mapInPandas(words, "word string, n long").filter("length(word) <= 40")
+    common = counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     found = [r["word"] for r in common.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     return "\n".join([*reversed(found), *IDENTIFIERS])
 
