@@ -5,16 +5,18 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 
-#: Words of these letters take the short way; any other word goes through the whole tokenizer.
-LATIN = re.compile("[\\x21-\\x7e\\u00a1-\\u024f]+")
+#: Words of these letters take the short way, as their lower case is one of them, too; any other word goes through the whole tokenizer.
+_LETTERS = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))]
+LATIN = re.escape("".join(c for c in _LETTERS if c.lower() in _LETTERS))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,85 +27,135 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x21, 0x250)}
 
 
-class _Codes(dict):
-    """Words to numbers; a word not seen before gets the next number and waits in `new`."""
+class _Table(dict):
+    """Strings to numbers, and for each number a list of ids; a string not seen before gets the next number and waits in `new`."""
 
-    def __init__(self):
-        self.new: list[str] = []
+    def __init__(self, *first: str):
+        super().__init__(zip(first, range(len(first)), strict=True))
+        self.first, self.new = first, list(first)
+        self.start, self.count, self.met = (np.zeros(1024, np.int64) for _ in range(3))
+        self.ids, self.used = np.zeros(4096, np.uint32), 0
 
     def __missing__(self, word: str) -> int:
         self[word] = code = len(self)
         self.new.append(word)
         return code
 
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+    def add(self, where: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """Lists of n ids each for the numbers given."""
+        self.start, self.count, self.met = (self._room(a, len(self)) for a in (self.start, self.count, self.met))
+        self.count[where] = n
+        self.start[where] = self.used + np.cumsum(n) - n
+        self.ids = self._room(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def flat(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these numbers in order, and how many each has."""
+        n = self.count[codes]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.start[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+    def meet(self, codes: np.ndarray, times: np.ndarray | None = None) -> None:
+        n = np.bincount(codes, times).astype(np.int64)
+        self.met[: len(n)] += n
+
+    def often(self, most: int) -> _Table:
+        """A table of the strings met more than once, or an empty one if these are over half of `most`. They must be met again to stay once more."""
+        kept = np.flatnonzero(self.met[: len(self)] > 1)
+        kept = kept[kept >= len(self.first)] if 2 * len(kept) <= most else kept[:0]
+        words, out = list(self), _Table(*self.first)
+        kept = np.concatenate([np.arange(len(self.first)), kept])
+        out.update(zip(map(words.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        ids, n = self.flat(kept)
+        out.new = []
+        out.add(np.arange(len(kept)), n, ids)
+        out.met[: len(kept)] = 1
+        return out
+
 
 class WordEncoder:
     """Whole-text ids of a tokenizer whose tokens never cross white space, from a table of words.
 
     It is for a lower-casing byte-level BPE that drops white space. The texts are cut at spaces and
-    line ends, and each word is encoded once. A Latin word is normalized and cut by the tokenizer's
-    own pattern here, and its parts go to the tokenizer's BPE model; other words go through the whole
-    tokenizer. The table starts anew when it holds `most` words, so memory stays bounded.
+    line ends, and each word is encoded once. New Latin words are lower-cased and cut together by the tokenizer's
+    own pattern, and their parts go to the tokenizer's BPE model, each part once; other words go through the whole
+    tokenizer. A full table (of `most` words, or three times as many parts, which cost more)
+    keeps what was met several times, so memory stays bounded.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 75_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model = self.tokenizer.model
-        self.pattern = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.bytes, self.special = _byte_letters(), re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes, self.parts = _Codes(), {}
-        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(4096, np.uint32), 0
-
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
-
-    def _part(self, part: str) -> list[int]:
-        if (ids := self.parts.get(part)) is None:
-            ids = self.parts[part] = [x.id for x in self.model.tokenize(part.translate(self.bytes))]
-        return ids
-
-    def _word(self, word: str) -> list[int]:
-        low = unicodedata.normalize("NFC", word).lower()
-        if not (LATIN.fullmatch(word) and LATIN.fullmatch(low)) or "<|" in word and self.special.search(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        parts = self.pattern.findall(low)
-        return self._part(parts[0]) if len(parts) == 1 else [i for p in parts for i in self._part(p)]
+        # The model alone, over parts in lines.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        pattern = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(f"\n|{pattern}")
+        self.bytes = _byte_letters()
+        self.odd = re.compile("|".join([f"[^{LATIN}\n]", *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())]))
+        # The line end between two words is the part 0, without ids.
+        self.codes, self.parts = _Table(), _Table("\n")
+        self.parts.add(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32))
+        self.parts.new = []
+
+    def _parts_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of Latin words, and the number of ids of each."""
+        found = self.pattern.findall("\n".join(words).lower())
+        codes = np.fromiter(map(self.parts.__getitem__, found), np.int64, len(found))
+        if new := self.parts.new:
+            self.parts.new = []
+            out = self.model.encode("\n".join(new).translate(self.bytes), add_special_tokens=False)
+            n = np.bincount(np.array(out.word_ids, np.int64), minlength=len(new))
+            self.parts.add(np.arange(len(self.parts) - len(new), len(self.parts)), n, np.array(out.ids, np.uint32))
+        self.parts.meet(codes)
+        ids, n = self.parts.flat(codes)
+        sizes = np.bincount(np.cumsum(codes == 0), n, len(words)).astype(np.int64)
+        if len(self.parts) > 3 * self.most:
+            self.parts = self.parts.often(3 * self.most)
+        return ids, sizes
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
-        at, end = len(self.codes) - len(new), len(self.codes)
-        found = [self._word(w) if w else [] for w in new]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        self.start, self.count = self._room(self.start, end), self._room(self.count, end)
-        self.count[at:end] = n
-        self.start[at:end] = self.used + np.cumsum(n) - n
-        total = int(n.sum())
-        self.ids = self._room(self.ids, self.used + total)
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.used += total
+        at = len(self.codes) - len(new)
+        lines = "\n".join(new)
+        ends, plain = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1), np.ones(len(new), bool)
+        plain[np.searchsorted(ends, [m.start() for m in self.odd.finditer(lines)], "right")] = False
+        for short in (True, False):
+            where = np.flatnonzero(plain == short)
+            if not len(where):
+                continue
+            words = [new[i] for i in where.tolist()]
+            if short:
+                ids, n = self._parts_of(words)
+            else:
+                found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+            self.codes.add(at + where, n, ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        if len(self.codes) > self.most or len(self.parts) > self.most:
-            self._clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if len(self.codes) > self.most:
+            self.codes = self.codes.often(self.most)
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        sizes = np.diff(split.offsets.to_numpy())
+        words = split.flatten().dictionary_encode()
+        own = words.dictionary.to_pylist()
+        codes = np.fromiter(map(self.codes.__getitem__, own), np.int64, len(own))
         if self.codes.new:
             self._learn()
-        n = self.count[codes]
-        ends = np.cumsum(n)
-        where = np.repeat(self.start[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return self.ids[where], np.diff(bounds)
+        places = words.indices.to_numpy()
+        self.codes.meet(codes, np.bincount(places, minlength=len(own)))
+        ids, n = self.codes.flat(codes[places])
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return ids, np.diff(ends)
 
 
 def in_chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
