@@ -82,20 +82,36 @@ def legendre(ell: int, mu: Column) -> Column:
     return p
 
 
-def real_ylm(ell: int, m: int, x: Column, y: Column, z: Column) -> Column:
-    """Real spherical harmonic of a unit vector, for ell up to 4."""
-    a = abs(m)
-    # Derivatives of Legendre polynomials as coefficients of z, by the polynomial's own coefficients.
+def _ylm(ell: int, m: int) -> tuple[float, list[float]]:
+    """The norm of a real spherical harmonic and the coefficients of z in it."""
     import numpy as np
 
+    a = abs(m)
+    # Derivatives of Legendre polynomials as coefficients of z, by the polynomial's own coefficients.
     c = np.polynomial.legendre.leg2poly([0] * ell + [1])
     for _ in range(a):
         c = np.polynomial.polynomial.polyder(c)
-    zpart = sum((float(v) * F.pow(z, F.lit(float(i))) if i else F.lit(float(v)) for i, v in enumerate(np.atleast_1d(c))), F.lit(0.0))
+    return math.sqrt((2 * ell + 1) / (4 * math.pi) * math.factorial(ell - a) / math.factorial(ell + a) * (2 if m else 1)), np.atleast_1d(c).tolist()
+
+
+def real_ylm(ell: int, m: int, x: Column, y: Column, z: Column) -> Column:
+    """Real spherical harmonic of a unit vector, for ell up to 4."""
+    norm_, c = _ylm(ell, m)
+    zpart = sum((float(v) * F.pow(z, F.lit(float(i))) if i else F.lit(float(v)) for i, v in enumerate(c)), F.lit(0.0))
     re, im = F.lit(1.0), F.lit(0.0)
-    for _ in range(a):
+    for _ in range(abs(m)):
+        re, im = re * x - im * y, re * y + im * x
+    return norm_ * (re if m >= 0 else im) * zpart
+
+
+def ylm_values(ell: int, m: int, x, y, z):
+    """The same of arrays."""
+    norm_, c = _ylm(ell, m)
+    zpart, re, im = c[-1], 1.0, 0.0
+    for v in reversed(c[:-1]):
+        zpart = zpart * z + v
+    for _ in range(abs(m)):
         re, im = re * x - im * y, re * y + im * x
-    norm_ = math.sqrt((2 * ell + 1) / (4 * math.pi) * math.factorial(ell - a) / math.factorial(ell + a) * (2 if m else 1))
     return norm_ * (re if m >= 0 else im) * zpart
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.cosmology import Cosmology, sky_to_comoving
-from skyloom.functions.sky import bin_of, legendre, real_ylm, to_unit_sphere
+from skyloom.functions.sky import legendre, to_unit_sphere, ylm_values
 from skyloom.operators.box import Sides, three, volume
-from skyloom.operators.spatial import Tile, block_sums, separations
+from skyloom.operators.spatial import Tile, block_sums
 from skyloom.plans.scratch import Scratch
 
 if TYPE_CHECKING:
@@ -246,27 +246,39 @@ def triplet_poles(first: DataFrame, edges: list[float], poles: tuple[int, ...],
 
     zeta_l(b1, b2) = sum_i w_i sum_jk w_j w_k (2 l + 1) / (4 pi)^2 P_l(r_ij . r_ik), bins (lo, hi], j = k included.
     Triplets are never made: by the addition theorem the sum over j and k is that over m of
-    A_lm(b1) A_lm(b2) / (4 pi), with A_lm(b) = sum_j w_j Y_lm(r_ij) over the neighbours of a primary in a bin. So
-    each pair is added once to its primary's moments, before a shuffle, and moments are multiplied for each
+    A_lm(b1) A_lm(b2) / (4 pi), with A_lm(b) = sum_j w_j Y_lm(r_ij) over the neighbours of a primary in a bin. Each block
+    adds its pairs to the moments of its primaries, so that no pair is a row, and moments are multiplied for each
     primary. With a cosmology, positions are made from ra, dec (degrees) and redshift.
     """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
 
     def prepare(d: DataFrame) -> DataFrame:
         if cosmo:
             d = d.withColumns(dict(zip("xyz", sky_to_comoving(cosmo, F.col("ra"), F.col("dec"), F.col("redshift")), strict=True)))
         return d.withColumn("w", w)
 
-    p = separations(*_both(first, second, prepare), edges[-1], box, ["w"], ["w"])
-    s2 = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
-    # Most pairs of neighbour cells are too far apart: they go by their square alone, as a join's condition must stay small to be compiled.
-    p = p.where((s2 > max(edges[0], 0.0) ** 2) & (s2 <= edges[-1] ** 2)).withColumn("s", F.sqrt(s2))
-    # Bins are (lo, hi], the mirror of [lo, hi).
-    place = F.least(F.greatest(len(edges) - 2 - bin_of(-F.col("s"), [-e for e in reversed(edges)]), F.lit(0)), F.lit(len(edges) - 2))
-    p = p.select("id1", "w1", "w2", place.alias("b"), *[(F.col(f"d{a}") / F.col("s")).alias(f"u{a}") for a in "xyz"])
-    at = [(ell, m) for ell in poles for m in range(-ell, ell + 1)]
-    sums = [F.sum(F.col("w2") * real_ylm(ell, m, F.col("ux"), F.col("uy"), F.col("uz"))) for ell, m in at]
-    moments = p.groupBy("id1", "b").agg(F.first("w1").alias("w1"), F.array(*sums).alias("a"))
+    at, n_b = [(ell, m) for ell in poles for m in range(-ell, ell + 1)], len(edges) - 1
+    low, high = max(edges[0], 0.0) ** 2, edges[-1] ** 2
+
+    def run(x: pd.DataFrame, y: pd.DataFrame, tiles: Iterator[Tile]) -> pd.DataFrame:
+        w2, n, sums = y["w2"].to_numpy(float), np.zeros((len(x), n_b), np.int64), np.zeros((len(at), len(x), n_b))
+        for t in tiles:
+            s2 = t.squared()
+            flat = np.flatnonzero((s2 > low) & (s2 <= high))
+            i, j = np.divmod(flat, len(t.near))
+            s = np.sqrt(s2.ravel()[flat])
+            # Bins are (lo, hi].
+            code = i * n_b + sum((s > e for e in edges[1:-1]), np.zeros(len(s), np.int64))
+            u, size = [g.ravel()[flat] / s for g in t.gaps], len(t.rows) * n_b
+            n[t.rows] += np.bincount(code, minlength=size).reshape(-1, n_b)
+            for k, (ell, m) in enumerate(at):
+                sums[k, t.rows] += np.bincount(code, w2[t.near[j]] * ylm_values(ell, m, *u), size).reshape(-1, n_b)
+        i, b = np.nonzero(n)
+        return pd.DataFrame({"id1": x["id1"].to_numpy()[i], "w1": x["w1"].to_numpy(float)[i], "b": b.astype(np.int32), **{f"m{k}": sums[k, i, b] for k in range(len(at))}})
+
+    names = [f"m{k}" for k in range(len(at))]
+    p = block_sums(*_both(first, second, prepare), run, ", ".join(["id1 long, w1 double, b int", *(f"{m} double" for m in names)]), (edges[-1],) * 3, box, ["w"], ["w"])
+    moments = p.groupBy("id1", "b").agg(F.first("w1").alias("w1"), F.array(*[F.sum(m) for m in names]).alias("a"))
     # A primary has no more rows than there are bins.
     sides = moments.groupBy("id1").agg(F.first("w1").alias("w1"), F.collect_list(F.struct("b", "a")).alias("own"))
     both = sides.select("w1", "own", F.explode("own").alias("p")).select("w1", "p", F.explode("own").alias("q"))
