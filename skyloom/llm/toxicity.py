@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,16 +87,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
                 words = words_of(text)
                 named = [] if words.isdisjoint(GROUP) else sentences_naming_groups(text)
                 swaps = {(tuple(sorted(map(code, w - o))), tuple(sorted(map(code, o - w)))): None for w in named for o in counterfactuals(w)}
-                rows.append((i, y, h, sorted(map(code, words)), [x for x, _ in swaps], [x for _, x in swaps]))
+                rows.append((i, y, h, np.array(sorted(map(code, words)), np.uint32).view(np.int32), [x for x, _ in swaps], [x for _, x in swaps]))
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "h", "words", "gone", "come"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     named = texts.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "toxic", "h", "text")
-    made = named.mapInPandas(features, "doc_id long, toxic int, h long, words array<long>, gone array<array<long>>, come array<array<long>>")
-    one = made.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "gone", "come"), "h").alias("x")).select("doc_id", "x.*").toPandas()
-    one = one.sort_values("doc_id", ignore_index=True)
-    pairs = [(list(a), list(b)) for gone, come in zip(one["gone"], one["come"], strict=True) for a, b in zip(gone, come, strict=True)]
-    return one[["toxic", "words"]], pd.DataFrame(pairs, columns=["words", "swapped"])
+    made = named.mapInPandas(features, "doc_id long, toxic int, h long, words array<int>, gone array<array<long>>, come array<array<long>>")
+    # As Arrow: a code is four bytes of an array here, and no Python object.
+    one = made.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "gone", "come"), "h").alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id").combine_chunks()
+    swaps = {name: _arrays(one[of].combine_chunks().flatten()) for name, of in (("words", "gone"), ("swapped", "come"))}
+    return pd.DataFrame({"toxic": one["toxic"].to_numpy(), "words": _arrays(one["words"].combine_chunks(), np.uint32)}), pd.DataFrame(swaps)
+
+
+def _arrays(lists: pa.ListArray, kind: type = np.int64) -> pd.Series:
+    """Each list as a part of one array, whose bytes are read as this kind of number."""
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(kind), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return pd.Series([flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], dtype=object)
 
 
 class Model:
@@ -112,11 +119,15 @@ class Model:
         return float(1 / (1 + np.exp(-max(-50.0, min(50.0, z)))))
 
 
-def _rows(lists: list[list[int]], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((w for x in lists for w in x), np.int64, int(n.sum()))
+def _flat(lists: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x).astype(np.uint32, copy=False) for x in lists)])
+
+
+def _rows(lists: pd.Series, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n, flat = np.fromiter(map(len, lists), np.int64, len(lists)), _flat(lists)
     row = np.repeat(np.arange(len(lists)), n)
-    at = np.minimum(np.searchsorted(vocabulary, flat), max(len(vocabulary) - 1, 0))
+    at = np.searchsorted(vocabulary, flat)
+    np.minimum(at, max(len(vocabulary) - 1, 0), out=at)
     known = vocabulary[at] == flat if len(vocabulary) else np.zeros(len(flat), bool)
     return row[known], at[known]
 
@@ -131,14 +142,13 @@ def fit(data: pd.DataFrame, l1: float = 3e-4, parity: float = PARITY, least_df:
     if pairs is None:
         pairs = data[data["swapped"].map(len) > 0]
     y = data["toxic"].to_numpy(float)
-    both = [list(x) for x in data["words"]]
-    codes, df = np.unique(np.fromiter((w for x in both for w in x), np.int64), return_counts=True)
+    codes, df = np.unique(_flat(data["words"]), return_counts=True)
     vocabulary = codes[df >= least_df]
     n, d = len(y), len(vocabulary)
-    row, col = _rows(both, vocabulary)
+    row, col = _rows(data["words"], vocabulary)
     m = len(pairs)
-    a_row, a_col = _rows([list(x) for x in pairs["words"]], vocabulary)
-    b_row, b_col = _rows([list(x) for x in pairs["swapped"]], vocabulary)
+    a_row, a_col = _rows(pairs["words"], vocabulary)
+    b_row, b_col = _rows(pairs["swapped"], vocabulary)
     theta, bias = np.zeros(d), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     look, look_bias, t = theta, bias, 1.0
     # Of X'X/4n + parity * 2 D'D/m the largest eigenvalue bounds the step.

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -75,3 +76,11 @@ def test_one_text_is_learned_for_a_repeated_id(spark):
     for a, b in zip(*first, strict=True):
         pd.testing.assert_frame_equal(a, b)
     assert len(first[0][0]) <= 30
+
+
+def test_training_rows_are_arrays_of_four_byte_codes(spark):
+    docs = spark.createDataFrame([(i, f"men word{i % 3} other") for i in range(1, 30)], "doc_id long, text string")
+    data, pairs = toxicity.training_rows(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int"))
+    assert {(type(w), w.dtype.itemsize, len(w)) for w in data["words"]} == {(np.ndarray, 4, 3)}
+    assert {w for x in data["words"] for w in x.tolist()} == {toxicity.code(w) for w in ("men", "word0", "word1", "word2", "other")}
+    assert [(a.tolist(), b.tolist()) for a, b in zip(pairs["words"], pairs["swapped"], strict=True)] == [([toxicity.code("men")], [toxicity.code("women")])] * len(data)
