@@ -27,10 +27,12 @@ the row's own text); extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -38,7 +40,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from skyloom.llm.common import KEY, Scratch, free_shuffles, packed_texts, row_key
-from skyloom.llm.tokens import in_chunks
 from skyloom.operators.graph import components
 
 CELLS, BLOCKS, FRAGMENTS, PROFILE, FULL, PART, BROADCAST_IDS, HELD_WORDS = 1 << 20, 16, 4, 512, 255, 6, 100_000, 150_000
@@ -60,28 +61,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], k: int = 5, hashes: _Hashes | None = None) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; words are split at ASCII white space, A-Z lower-cased."""
-    hashes = hashes if hashes is not None else _Hashes()
-    for a, b in in_chunks(texts):
-        if len(hashes) > HELD_WORDS:
-            hashes.clear()
-        split = [t.encode("utf-8", "replace").lower().split() for t in texts[a:b]]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
-        run = np.zeros(max(len(flat) - k + 1, 0), np.uint64)
-        for j in range(k):
-            run = run * _P + flat[j : len(flat) - k + 1 + j]
-        run, at = _mix(run), 0
-        for n in sizes:
-            if n >= k:
-                yield np.unique(run[at : at + n - k + 1])
-            else:
-                h = np.uint64(n)
-                for w in flat[at : at + n]:
-                    h = np.uint64((int(h) * int(_P) + int(w)) & (2**64 - 1))
-                yield _mix(np.array([h] if n else [], np.uint64))
-            at += n
+def _in_parts(texts: pa.Array, size: int = 1_000_000) -> Iterator[pa.Array]:
+    """Slices of texts of about so many bytes, at least one text each."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for i, j in pairwise(cuts):
+        if i < j:
+            yield texts.slice(i, j - i)
+
+
+def shingle_sets(texts: list[bytes | None], k: int = 5, hashes: _Hashes | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each UTF-8 text; words are split at ASCII white space, A-Z lower-cased."""
+    hashes, out, at = hashes if hashes is not None else _Hashes(), [], 0
+    if len(hashes) > HELD_WORDS:
+        hashes.clear()
+    split = [(t or b"").lower().split() for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+    run = np.zeros(max(len(flat) - k + 1, 0), np.uint64)
+    for j in range(k):
+        run = run * _P + flat[j : len(flat) - k + 1 + j]
+    run = _mix(run)
+    for n in sizes:
+        if n >= k:
+            out.append(np.unique(run[at : at + n - k + 1]))
+        else:
+            h = np.uint64(n)
+            for w in flat[at : at + n]:
+                h = np.uint64((int(h) * int(_P) + int(w)) & (2**64 - 1))
+            out.append(_mix(np.array([h] if n else [], np.uint64)))
+        at += n
+    return out
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -92,33 +102,30 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 def _profile(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document (id, n, key, sketch), and for each task the blocks of its table of shingle counts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, held, size, hashes = np.zeros(CELLS, np.uint32), [], 0, _Hashes()
+    names = ["id", "n", "key_a", "key_b", "sketch", "block", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
-        def count(sets: list[np.ndarray]) -> None:
-            cells, n = np.unique(np.concatenate(sets) >> np.uint64(44), return_counts=True)
-            counts[cells.astype(np.int64)] += n.astype(np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, hashes = np.zeros(CELLS, np.uint32), _Hashes()
 
-        names = ["id", "n", "key_a", "key_b", "sketch"]
-        for pdf in batches:
-            rows = []
-            for i, s in zip(pdf["id"].fillna(0) if pdf["id"].hasnans else pdf["id"], shingle_sets([t or "" for t in pdf["text"]], k, hashes), strict=True):
-                held.append(s)
-                size += len(s)
-                if size > 1_000_000:
-                    count(held)
-                    held, size = [], 0
-                sketch = np.bincount((s % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).clip(max=FULL).astype(np.uint8)
-                rows.append((i, len(s), *set_key(s), sketch.tobytes()))
-            out = pd.DataFrame(rows, columns=names)
-            out["id"] = pdf["id"].to_numpy()
-            yield out.assign(block=None, counts=None)
-        if held:
-            count(held)
-        blocks = counts.reshape(BLOCKS, -1)
-        yield pd.DataFrame({"id": None, "n": None, "key_a": None, "key_b": None, "sketch": None, "block": range(BLOCKS), "counts": [b.astype("<u4").tobytes() for b in blocks]})
-
-    return docs.mapInPandas(run, "id long, n long, key_a long, key_b long, sketch binary, block int, counts binary")
+        def table(*columns: object) -> pa.RecordBatch:
+            size = max(len(c) for c in columns if c is not None)
+            return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            at = 0
+            for part in _in_parts(batch.column("text")):
+                sets = shingle_sets(part.cast(pa.binary()).to_pylist(), k, hashes)
+                cells, n = np.unique(np.concatenate(sets) >> np.uint64(44), return_counts=True)
+                counts[cells.astype(np.int64)] += n.astype(np.uint32)
+                sketches = [np.bincount((s % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).clip(max=FULL).astype(np.uint8).tobytes() for s in sets]
+                keys = [set_key(s) for s in sets]
+                yield table(batch.column("id").slice(at, len(sets)), list(map(len, sets)), [a for a, _ in keys], [b for _, b in keys], sketches, None, None)
+                at += len(sets)
+            pa.default_memory_pool().release_unused()
+        yield table(None, None, None, None, None, list(range(BLOCKS)), [b.astype("<u4").tobytes() for b in counts.reshape(BLOCKS, -1)])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, key_a long, key_b long, sketch binary, block int, counts binary")
 
 
 def _commonness(profile: DataFrame) -> np.ndarray:
@@ -156,21 +163,19 @@ def in_order(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 def _keys(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
     """(sig, key_a, n, rest): the first shingles of each set in the global order, and how many the set has from there on."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for pdf in batches:
-            sigs, sizes, rest, key = [], [], [], []
-            for s in shingle_sets([t or "" for t in pdf["text"]], k, hashes):
-                n = len(s)
-                key.append((set_key(s)[0], n))
-                own = in_order(s, common.value)[: n - -(-percent * n // 100) + 1 if n else 0]
-                sigs.append(own)
-                sizes.append(len(own))
-                rest.append(n - np.arange(len(own)))
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "key_a": np.repeat(np.array([a for a, _ in key], np.int64), sizes), "n": np.repeat([n for _, n in key], sizes), "rest": np.concatenate(rest)})
+        for batch in batches:
+            for part in _in_parts(batch.column("text")):
+                sets = shingle_sets(part.cast(pa.binary()).to_pylist(), k, hashes)
+                own = [in_order(s, common.value)[: len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0] for s in sets]
+                sizes, key, n = list(map(len, own)), np.array([set_key(s)[0] for s in sets], np.int64), np.array(list(map(len, sets)), np.int32)
+                rest = [len(s) - np.arange(m, dtype=np.int32) for s, m in zip(sets, sizes, strict=True)]
+                columns = [np.concatenate(own).view(np.int64), np.repeat(key, sizes), np.repeat(n, sizes), np.concatenate(rest).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "key_a", "n", "rest"])
+            pa.default_memory_pool().release_unused()
 
-    return docs.select("text").mapInPandas(run, "sig long, key_a long, n int, rest int")
+    return docs.select("text").mapInArrow(run, "sig long, key_a long, n int, rest int")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, k: int, common) -> DataFrame:
@@ -182,19 +187,26 @@ def _segments(docs: DataFrame, wanted: DataFrame, k: int, common) -> DataFrame:
     wanted = wanted.withColumnRenamed("id", "node")
     joined = docs.join(F.broadcast(wanted), F.col("id") == F.col("rep")) if few else packed_texts(docs).join(wanted, F.col("id") == F.col("rep"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, hashes = zstandard.ZstdDecompressor(), _Hashes()
-        for pdf in batches:
-            rows, texts = [], [t or "" for t in pdf["text"]] if few else [z.decompress(x).decode("utf-8") for x in pdf["z"]]
-            for i, a, b, s in zip(pdf["node"], pdf["key_a"], pdf["key_b"], shingle_sets(texts, k, hashes), strict=True):
-                if set_key(s) != (a, b):
-                    continue  # another text of the same id
-                c = common.value[(s >> np.uint64(44)).astype(np.int64)]
-                part = np.where(c > 0, FRAGMENTS - 1, (s >> np.uint64(40)).astype(np.int64) * (FRAGMENTS - 1) >> 24)
-                rows += [(i, f, s[part == f].tobytes()) for f in np.unique(part).tolist()]
-            yield pd.DataFrame(rows, columns=["id", "fragment", "segment"])
-
-    return joined.select("node", "text" if few else "z", "key_a", "key_b").mapInPandas(run, "id long, fragment int, segment binary")
+        for batch in batches:
+            at = 0
+            for part in _in_parts(batch.column("text" if few else "z"), 1_000_000 if few else 250_000):
+                texts = part.cast(pa.binary()).to_pylist()
+                sets = shingle_sets(texts if few else [z.decompress(x) for x in texts], k, hashes)
+                ids, a, b = (batch.column(c).slice(at, len(sets)).to_pylist() for c in ("node", "key_a", "key_b"))
+                at += len(sets)
+                rows = []
+                for i, key, s in zip(ids, zip(a, b, strict=True), sets, strict=True):
+                    if set_key(s) != key:
+                        continue  # another text of the same id
+                    c = common.value[(s >> np.uint64(44)).astype(np.int64)]
+                    own = np.where(c > 0, FRAGMENTS - 1, (s >> np.uint64(40)).astype(np.int64) * (FRAGMENTS - 1) >> 24)
+                    rows += [(i, f, s[own == f].tobytes()) for f in np.unique(own).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["id", "fragment", "segment"])
+            pa.default_memory_pool().release_unused()
+
+    return joined.select("node", "text" if few else "z", "key_a", "key_b").mapInArrow(run, "id long, fragment int, segment binary")
 
 
 @F.pandas_udf(LongType())

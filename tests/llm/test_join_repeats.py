@@ -1,5 +1,7 @@
 """The join where doc_ids repeat or are missing."""
 
+import numpy as np
+import pyarrow as pa
 from tests.llm.test_documents import brute_components
 from tests.llm.texts import frame, sentences
 
@@ -26,3 +28,14 @@ def test_one_row_of_each_component_stays(spark):
 def test_brute_force_knows_the_rule():
     x = sentences(1, 30)
     assert brute_components([(1, x), (2, x)]) == {1: (26, 1), 2: (26, 1)}
+
+
+def test_a_batch_is_read_in_parts_of_bounded_size():
+    texts = [None, "", *(sentences(i, 5 + 40 * (i % 3)) for i in range(60)), "x" * 5000, None, "Ä b\tC\x0bd e f"]
+    parts = list(ngram_join._in_parts(pa.array(texts), 1000))
+    assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 10
+    assert max(sum(len(t or "") for t in p.to_pylist()[1:]) for p in parts) <= 1000
+    whole = ngram_join.shingle_sets([t and t.encode() for t in texts])
+    cut = [s for p in parts for s in ngram_join.shingle_sets(p.cast(pa.binary()).to_pylist())]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True)) and list(map(len, whole))[-1] == 2
+    assert list(ngram_join._in_parts(pa.array([], pa.string()))) == []
