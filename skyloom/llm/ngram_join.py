@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from skyloom.llm.common import KEY, Scratch, free_shuffles, packed_texts, row_key
+from skyloom.llm.tokens import forget
 from skyloom.operators.graph import components
 
 CELLS, BLOCKS, FRAGMENTS, PROFILE, FULL, PART, BROADCAST_IDS, HELD_WORDS = 1 << 20, 16, 4, 512, 255, 6, 100_000, 150_000
@@ -106,6 +107,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts, hashes = np.zeros(CELLS, np.uint32), _Hashes()
 
         def table(*columns: object) -> pa.RecordBatch:

@@ -84,11 +84,11 @@ class WordEncoder:
     It is for a lower-casing byte-level BPE that drops white space. The texts are cut at spaces and
     line ends, and each word is encoded once. New Latin words are lower-cased and cut together by the tokenizer's
     own pattern, and their parts go to the tokenizer's BPE model, each part once; other words go through the whole
-    tokenizer. A full table (of `most` words, or three times as many parts, which cost more)
+    tokenizer. A full table (of `most` words, or twice as many parts, which cost more)
     keeps what was met several times, so memory stays bounded.
     """
 
-    def __init__(self, path: str, most: int = 75_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -117,8 +117,8 @@ class WordEncoder:
         self.parts.meet(codes)
         ids, n = self.parts.flat(codes)
         sizes = np.bincount(np.cumsum(codes == 0), n, len(words)).astype(np.int64)
-        if len(self.parts) > 3 * self.most:
-            self.parts = self.parts.often(3 * self.most)
+        if len(self.parts) > 2 * self.most:
+            self.parts = self.parts.often(2 * self.most)
         return ids, sizes
 
     def _learn(self) -> None:
@@ -174,7 +174,12 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process; its words are bounded, so that an idle worker stays small."""
+    """One encoder for each worker process; its words are bounded, and forget() lets them go."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Lets a worker's encoders go: for steps that need the memory themselves and run in the same workers."""
+    _ENCODERS.clear()

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 
+from skyloom.llm import tokens
 from skyloom.llm.tokens import WordEncoder
 
 
@@ -18,3 +19,17 @@ def test_ids_of_odd_words_and_of_a_small_table():
         # Words that come again are kept when the table is full.
         assert k == 0 or {"the", "same", "again"} <= known
         known = set(e.codes.often(e.most))
+
+
+def test_words_met_again_are_not_learned_again():
+    e = tokens.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"w{i}a{k}" for i in range(2000)) for k in range(60)]
+    for t in texts:
+        e.encode([t])
+    learned = []
+    e._learn = lambda: learned.append(len(e.codes.new))
+    for t in texts[::7]:
+        e.encode([t])
+    assert not learned and len(e.codes) <= e.most
+    tokens.forget()
+    assert tokens.word_encoder(public_tokenizers.path("word_bpe_49k.json")) is not e
