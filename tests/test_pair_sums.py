@@ -50,3 +50,20 @@ def test_bins_are_read_and_not_counted_again(spark):
         assert b.df.inputFiles() and all("skyloom-" in f for f in b.df.inputFiles())
     none = two.where(F.col("npairs") < 0, or_none=True)
     assert none.df.isEmpty() and none.dims == two.dims
+
+
+@pytest.mark.parametrize("periodic", [True, False])
+def test_counts_without_means_take_tables_whole(spark, monkeypatch, periodic):
+    monkeypatch.setattr(spatial, "PAIRS_A_SUM", 5_000)
+    monkeypatch.setattr(spatial, "TILE", 100)
+    p, box = clustered(400)
+    p = np.concatenate([p, np.floor(p[:100])])
+    df = points(spark, p).withColumn("w", (F.col("id") % 4 + 1).cast("double"))
+    other = points(spark, p[::3] + 0.25).withColumn("w", F.lit(2.0))
+    edges, sides = [0.5, 1.0, 6.0, 20.0], tuple(box) if periodic else None
+    repeated = df.unionByName(df.where("id < 50").withColumn("x", F.col("x") + 0.7))
+    for a, b in ((df, None), (df, other), (repeated, None)):
+        want, got = ({r["r_bin"]: (r["npairs"], r["wnpairs"]) for r in paircount.box_pairs(a, edges, sides, b, weight="w", means=m).collect()} for m in (True, False))
+        assert got == want and len(got) == 3
+    s2 = paircount._least_square(0.1)
+    assert np.sqrt(s2) >= 0.1 > np.sqrt(np.nextafter(s2, 0))
