@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.cosmology import Cosmology, sky_to_comoving
 from skyloom.functions.sky import legendre, to_unit_sphere, ylm_values
 from skyloom.operators.box import Sides, three, volume
-from skyloom.operators.spatial import Tile, block_sums
+from skyloom.operators.spatial import Tile, block_sums, sum_squares
 from skyloom.plans.scratch import Scratch
 
 if TYPE_CHECKING:
@@ -40,7 +40,7 @@ def _counted(a: DataFrame, b: DataFrame, edges: list[float], reach: tuple[float,
     Each block is added up by itself, so rows are bins. bins() makes the separation and a second bin (negative for none)
     of pairs from the squares of their gaps, the gaps and the sums of both positions. Each pair of a half counts twice.
     """
-    times, inner, n_r = 2 if half else 1, edges[1:-1], len(edges) - 1
+    times, n_r = 2 if half else 1, len(edges) - 1
     if not means:
         sums = block_sums(a, b, _tables(edges, half), "r_bin int, n long, w double", reach, box, ["w"], ["w"], half, groups)
         return Scratch(a.sparkSession).keep(sums.groupBy("r_bin").agg(F.sum("n").alias("npairs"), F.sum("w").alias("wnpairs")), "counts")
@@ -51,30 +51,27 @@ def _counted(a: DataFrame, b: DataFrame, edges: list[float], reach: tuple[float,
         id1, id2, own = x["id1"].to_numpy(), y["id2"].to_numpy(), y["own"].to_numpy(bool)
         at = [(x[f"{c}1"].to_numpy(float), y[f"{c}2"].to_numpy(float)) for c in "xyz"]
         for t in tiles:
-            s2 = sum(t.gaps[k] * t.gaps[k] for k in groups[0])
-            i, j, flat = t.pairs(s2 <= reach[groups[0][0]] ** 2 * (1 + 1e-9))
             with np.errstate(invalid="ignore", divide="ignore"):
-                s, second = bins(s2.ravel()[flat], lambda t=t, flat=flat: [g.ravel()[flat] for g in t.gaps], lambda i=i, j=j: [p[i] + q[j] for p, q in at])
-            use = (s >= edges[0]) & (s < edges[-1])
-            if half and own[t.near].any():
-                use &= ~own[j] | (id1[i] < id2[j])
-            if second is not None:
-                use &= second >= 0
-            if not use.all():
-                i, j, s, second = i[use], j[use], s[use], None if second is None else second[use]
-            code = np.zeros(len(s), np.int64) if second is None else second * n_r
-            for e in inner:
+                s, second = bins(sum_squares([t.gaps[k] for k in groups[0]]), lambda t=t: t.gaps, lambda t=t: [p[t.rows][:, None] + q[t.near] for p, q in at])
+            if half and (within := np.flatnonzero(own[t.near])).size:
+                s[:, within] = np.where(id1[t.rows][:, None] < id2[t.near[within]], s[:, within], 0.0)
+            # The first and the last column of bins and the first row hold what is in none.
+            code = np.zeros(s.shape, np.int32) if second is None else (second + 1) * (n_r + 2)
+            for e in edges:
                 code += s >= e
-            w = w1[i] * w2[j]
+            code, w, s = code.ravel().astype(np.intp), (w1[t.rows][:, None] * w2[t.near]).ravel(), s.ravel()
             for name, v in (("n", None), ("w", w), ("s", s)):
                 new = np.bincount(code, v)
                 old = found.get(name, new[:0])
                 long, short = (new, old) if len(new) >= len(old) else (old, new)
                 long[: len(short)] += short
                 found[name] = long
-        n = found.get("n", np.zeros(0, np.int64))
+        n, first = found.get("n", np.zeros(0, np.int64)), 0 if "bin2" not in keys else 1
         seen = np.flatnonzero(n)
-        return pd.DataFrame({"r_bin": (seen % n_r).astype(np.int32), "bin2": (seen // n_r).astype(np.int32), "n": n[seen], "w": found["w"][seen] if len(seen) else 0.0, "s": found["s"][seen] if len(seen) else 0.0}, index=range(len(seen)))
+        column, row = seen % (n_r + 2) - 1, seen // (n_r + 2) - first
+        use = (column >= 0) & (column < n_r) & (row >= 0)
+        seen, column, row = seen[use], column[use], row[use]
+        return pd.DataFrame({"r_bin": column.astype(np.int32), "bin2": row.astype(np.int32), "n": n[seen], "w": found["w"][seen] if len(seen) else 0.0, "s": found["s"][seen] if len(seen) else 0.0}, index=range(len(seen)))
 
     sums = block_sums(a, b, run, "r_bin int, bin2 int, n long, w double, s double", reach, box, ["w"], ["w"], half, groups)
     found = sums.groupBy(*keys).agg((F.sum("n") * times).alias("npairs"), (F.sum("w") * times).alias("wnpairs"), (F.sum("s") / F.sum("n")).alias("r"))
@@ -119,7 +116,7 @@ def _tables(edges: list[float], half: bool) -> Callable[[pd.DataFrame, pd.DataFr
 
 def _places(x: np.ndarray) -> np.ndarray:
     """Whole numbers; pairs at no distance have none."""
-    return np.nan_to_num(np.floor(x), nan=-1.0).astype(np.int64)
+    return np.floor(np.fmax(x, -1.0)).astype(np.int32)
 
 
 def _binned(s: np.ndarray, along: Callable[[], np.ndarray], n_mu: int | None, pimax: float | None = None) -> tuple[np.ndarray, np.ndarray | None]:

@@ -1,6 +1,7 @@
 """Short reaches do not make a block of a few points each."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests.test_boxes import points
 
 from skyloom.operators import spatial
@@ -11,3 +12,12 @@ def test_cells_hold_enough_points(spark):
     wide = spatial._wide([points(spark, p)], (0.05,) * 3)
     assert 0.5 <= np.prod(wide) / 1000 * 4000 / spatial.POINTS_A_CELL <= 1.5
     assert spatial._wide([points(spark, p)], (20.0,) * 3) == (20.0,) * 3
+
+
+def test_a_task_gets_few_rows_however_sparse_its_cells(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "ROWS_A_SUM", 2000, raising=False)
+    df = points(spark, np.random.default_rng(2).random((4000, 3)) * 20)
+    left, right, _ = spatial._dealt(df, df, [], [], (20.0,) * 3, (2.0,) * 3, True, True)
+    rows = [{r["at"]: r["count"] for r in d.groupBy(F.spark_partition_id().alias("at")).count().collect()} for d in (left, right)]
+    together = {at: sum(r.get(at, 0) for r in rows) for at in {*rows[0], *rows[1]}}
+    assert sum(together.values()) == 4000 * 15 and max(together.values()) <= 2 * 2000
