@@ -1,15 +1,18 @@
 """What every filter removes in every order: a trie of filter orders over persisted survivors.
 
 The conditions of all filters are evaluated once for each whole text and written as slim rows (part,
-labels, one boolean for each filter). From there a depth-first walk applies one filter after another to
+labels, one boolean for each filter). From there a walk by levels applies one filter after another to
 the survivors of its prefix. Orders with the same set of filters behind them have the same survivors,
-so a prefix is an unordered set: it is visited once (5 filters: 31 sets instead of 325 prefixes), its
-survivors are persisted while the walk is below it, and one aggregation over them counts what each
-next filter really removes (80 edges). Orders are then a join of their steps with the edges.
+so a prefix is an unordered set: it is visited once (5 filters: 31 sets instead of 325 prefixes). The
+survivors of all sets of a size are persisted while the next size is made from them, and one aggregation
+over them counts what each next filter really removes (80 edges in 5 tables; a plan for each set would
+fill the driver). Orders are then a join of their steps with the edges.
 
 Copies (filter E) are found by a digest of the text: one row for each text that repeats, with its
 smallest doc_id, joins the rows over a written salt, so that no group of copies meets in one task.
-Labels join the same way. Nothing is collected; what is broadcast is the constant table of steps.
+Labels join the same way. Nothing is collected; what is broadcast is the constant table of steps. All
+other joins are told to sort and merge: Spark takes a table's size from its files, without the copies
+for each salt, and would broadcast millions of rows through the driver.
 
 Defined results: a null text is empty; a null lang is the part ''; labels that repeat a doc_id count
 as their maximum; a null doc_id has no labels, is never a copy and makes none; rows that repeat a
@@ -50,7 +53,7 @@ def text_failures() -> dict[str, Column]:
 
 def _salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(copies, [key, "salt"], "left")
+    return left.join(copies.hint("merge"), [key, "salt"], "left")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch, failures: Mapping[str, Column] | None = None, copies: str = COPIES) -> DataFrame:
@@ -69,29 +72,26 @@ def verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch, failures: Map
 def edges(rows: DataFrame, letters: str, scratch: Scratch) -> DataFrame:
     """(part, state, filter, kept, removed, good_lost, toxic_lost): what a filter removes from the survivors of a set of filters.
 
-    Depth first; a state is the sorted string of the filters behind it. Parts without survivors have no row.
+    By levels; a state is the sorted string of the filters behind it, made from that without its last one. Parts without survivors have no row.
     """
-    done: dict[str, DataFrame] = {}
+    lost = [F.struct(F.lit(x).alias("filter"), F.count_if(F.col(x)).alias("removed"), *[F.count_if(F.col(x) & (F.col(c) == 1)).alias(f"{c}_lost") for c in ("good", "toxic")]) for x in letters]
 
-    def count(survivors: DataFrame, state: str) -> DataFrame:
-        rest = [x for x in letters if x not in state]
-        lost = [F.struct(F.lit(x).alias("filter"), F.count_if(F.col(x)).alias("removed"), *[F.count_if(F.col(x) & (F.col(c) == 1)).alias(f"{c}_lost") for c in ("good", "toxic")]) for x in rest]
-        found = survivors.groupBy("part").agg(F.count("*").alias("n"), F.array(*lost).alias("lost")).select("part", "n", F.explode("lost").alias("x")).select("part", "n", "x.*")
-        return found.select("part", F.lit(state).alias("state"), "filter", (F.col("n") - F.col("removed")).alias("kept"), "removed", "good_lost", "toxic_lost")
+    def count(survivors: DataFrame) -> DataFrame:
+        found = survivors.groupBy("part", "state").agg(F.count("*").alias("n"), F.array(*lost).alias("lost")).select("part", "state", "n", F.explode("lost").alias("x")).select("part", "state", "n", "x.*")
+        return found.where(~F.col("state").contains(F.col("filter"))).select("part", "state", "filter", (F.col("n") - F.col("removed")).alias("kept"), "removed", "good_lost", "toxic_lost")
 
-    def visit(state: str, survivors: DataFrame) -> None:
-        if state in done or len(state) == len(letters):
-            return
-        survivors = survivors.persist(StorageLevel.MEMORY_AND_DISK)
-        done[state] = scratch.keep(count(survivors, state), f"edges-{state or 'none'}")
-        for x in letters:
-            if x not in state:
-                visit("".join(sorted(state + x)), survivors.where(~F.col(x)))
-        survivors.unpersist()
+    def below(survivors: DataFrame) -> DataFrame:
+        states = F.array(*[F.when(~F.col(x) & (F.right("state", F.lit(1)) < x), F.concat("state", F.lit(x))) for x in letters])
+        return survivors.withColumn("state", F.explode(F.array_compact(states)))
 
-    visit("", rows)
-    paths = [f"{scratch.root}/edges-{state or 'none'}" for state in done]
-    return rows.sparkSession.read.schema(done[""].schema).parquet(*paths)
+    survivors = rows.withColumn("state", F.lit("")).persist(StorageLevel.MEMORY_AND_DISK)
+    done = [scratch.keep(count(survivors), "edges-0")]
+    for k in range(1, len(letters)):
+        above, survivors = survivors, below(survivors).persist(StorageLevel.MEMORY_AND_DISK)
+        done.append(scratch.keep(count(survivors), f"edges-{k}"))
+        above.unpersist()
+    survivors.unpersist()
+    return rows.sparkSession.read.schema(done[0].schema).parquet(*[f"{scratch.root}/edges-{k}" for k in range(len(letters))])
 
 
 def audit_filters(docs: DataFrame, labels: DataFrame, failures: Mapping[str, Column] | None = None, copies: str = COPIES) -> DataFrame:
@@ -110,7 +110,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame, failures: Mapping[str, Col
     alone = F.sum(F.when(F.length("state") == n - 1, F.col("removed")))
     own = full.groupBy("part", "filter").agg(F.sum(F.when(F.col("state") == "", F.col("removed"))).alias("fails"), alone.alias("unique_fails"), F.sum(F.col("removed") * orders).alias("shapley"))
     steps = spark.createDataFrame([("".join(p), k + 1, "".join(sorted(p[:k])), p[k]) for p in permutations(letters) for k in range(n)], "filter_order string, step int, state string, filter string")
-    out = full.join(own, ["part", "filter"]).join(F.broadcast(steps), ["state", "filter"])
+    out = full.join(own.hint("merge"), ["part", "filter"]).join(F.broadcast(steps), ["state", "filter"])
     return out.select("part", "filter_order", "step", "kept", "removed", (F.col("fails") - F.col("removed")).alias("redundant"), "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
