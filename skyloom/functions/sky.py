@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -82,6 +83,7 @@ def legendre(ell: int, mu: Column) -> Column:
     return p
 
 
+@functools.cache
 def _ylm(ell: int, m: int) -> tuple[float, list[float]]:
     """The norm of a real spherical harmonic and the coefficients of z in it."""
     import numpy as np
@@ -115,6 +117,29 @@ def ylm_values(ell: int, m: int, x, y, z):
     return norm_ * (re if m >= 0 else im) * zpart
 
 
+def ylm_powers(ell: int, m: int) -> dict[tuple[int, int, int], float]:
+    """s^l Y_lm of a place at the distance s as a homogeneous polynomial: coefficients by powers of x, y and z."""
+    norm_, c = _ylm(ell, m)
+    # The powers of z are even or odd together, so the rest is a power of s^2.
+    circle = {}
+    for k in range(abs(m) + 1):
+        # (x + i y)^|m|: its real part for m >= 0, its imaginary one otherwise.
+        if (k % 2 == 0) == (m >= 0):
+            circle[abs(m) - k, k] = math.comb(abs(m), k) * (-1) ** (k // 2)
+    out = {}
+    for i, v in enumerate(c):
+        rest = ell - abs(m) - i
+        if v == 0 or rest % 2:
+            continue
+        for (a, b), u in circle.items():
+            for p in range(rest // 2 + 1):
+                for q in range(rest // 2 - p + 1):
+                    ways = math.comb(rest // 2, p) * math.comb(rest // 2 - p, q)
+                    key = (a + 2 * p, b + 2 * q, i + 2 * (rest // 2 - p - q))
+                    out[key] = out.get(key, 0.0) + norm_ * v * u * ways
+    return out
+
+
 def halo_radius(mass: Column, density: float, overdensity: float) -> Column:
     return F.pow(3 * mass / (4 * math.pi * overdensity * density), F.lit(1 / 3))
 

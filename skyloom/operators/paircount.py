@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.cosmology import Cosmology, sky_to_comoving
-from skyloom.functions.sky import legendre, to_unit_sphere, ylm_values
+from skyloom.functions.sky import legendre, to_unit_sphere, ylm_powers, ylm_values
 from skyloom.operators.box import Sides, three, volume
-from skyloom.operators.spatial import Tile, block_sums, sum_squares
+from skyloom.operators.spatial import Patch, Tile, block_sums, sum_squares
 from skyloom.plans.scratch import Scratch
 
 if TYPE_CHECKING:
@@ -278,6 +279,130 @@ def corr_poles(corr: DataFrame, n_mu: int, poles: tuple[int, ...]) -> DataFrame:
     return corr.groupBy("r_bin").agg(*[(F.sum(F.col("corr") * legendre(ell, mu)) * ((2 * ell + 1) / n_mu)).alias(f"corr_{ell}") for ell in poles])
 
 
+#: Places of a patch that are worked out at a time, about; up to which pole and how many bins patches are quicker than pairs.
+PLACES, MOST_POLE, MOST_BINS = 1 << 15, 4, 8
+
+
+def _powers(ell: int) -> list[tuple[int, int, int]]:
+    return sorted((p for p in itertools.product(range(ell + 1), repeat=3) if sum(p) <= ell), key=lambda p: (sum(p), p))
+
+
+def _monomials(x: np.ndarray, powers: list[tuple[int, int, int]]) -> np.ndarray:
+    """Products of powers of three coordinates (the rows of x), a row for each; powers by their degree, all up to the most."""
+    out, number = np.ones((len(powers), x.shape[1])), {p: i for i, p in enumerate(powers)}
+    for i, p in enumerate(powers[1:], 1):
+        axis = next(a for a in range(3) if p[a])
+        np.multiply(out[number[tuple(v - (a == axis) for a, v in enumerate(p))]], x[axis], out=out[i])
+    return out
+
+
+def _moved_harmonics(ell: int) -> np.ndarray:
+    """Coefficients c[e, m, k] with s^l Y_lm((p - q) / s) = sum over e and k of c[e, m, k] p^e q^k, powers as in _powers(l)."""
+    powers = _powers(ell)
+    number, out = {p: i for i, p in enumerate(powers)}, np.zeros((len(powers), 2 * ell + 1, len(powers)))
+    for m in range(-ell, ell + 1):
+        for top, c in ylm_powers(ell, m).items():
+            for k in itertools.product(*[range(t + 1) for t in top]):
+                ways = math.prod(math.comb(t, i) for t, i in zip(top, k, strict=True))
+                out[number[tuple(t - i for t, i in zip(top, k, strict=True))], m + ell, number[k]] += c * ways * (-1) ** sum(k)
+    return out
+
+
+class _Moments:
+    """Sums of w Y_lm by bins (lo, hi] of the separation for the points of a patch, by products of matrices.
+
+    s^l Y_lm is a polynomial of the difference of two places, so that of products of their powers: tables of s^-l, one for each bin,
+    are multiplied by w and powers of the near places, and the sums by powers of the own ones. Near to a point, where that
+    loses digits, and for what is no patch, harmonics are worked out pair by pair.
+    """
+
+    def __init__(self, edges: list[float], poles: tuple[int, ...]):
+        self.edges, self.poles, self.bins = edges, poles, len(edges) - 1
+        self.at = [(ell, m) for ell in poles for m in range(-ell, ell + 1)]
+        self.low, self.high = max(edges[0], 0.0) ** 2, edges[-1] ** 2
+        # What is not farther than an edge; separations are compared inside, their squares at both ends.
+        self.squares = [self.low, *(math.nextafter(_least_square(math.nextafter(e, math.inf)), 0.0) if e > 0 else -1.0 for e in edges[1:-1]), self.high]
+        self.beside = (edges[-1] / 16) ** 2
+        self.moved = {ell: _moved_harmonics(ell) for ell in poles}
+
+    def pairs(self, rows: np.ndarray, s2: np.ndarray, gaps: list[np.ndarray], w: np.ndarray, n: np.ndarray, sums: np.ndarray) -> None:
+        """Adds pairs one by one: the rows' places and, for each pair, its square, gaps and weight."""
+        s = np.sqrt(s2)
+        # Bins are (lo, hi].
+        code = rows * self.bins + sum((s > e for e in self.edges[1:-1]), np.zeros(len(s), np.int64))
+        u = [g / s for g in gaps]
+        n += np.bincount(code, minlength=n.size).reshape(n.shape)
+        for k, (ell, m) in enumerate(self.at):
+            sums[k] += np.bincount(code, w * ylm_values(ell, m, *u), n.size).reshape(n.shape)
+
+    def tile(self, t: Tile, w: np.ndarray, n: np.ndarray, sums: np.ndarray) -> None:
+        s2 = t.squared()
+        flat = np.flatnonzero((s2 > self.low) & (s2 <= self.high))
+        i, j = np.divmod(flat, len(t.near))
+        part, found = np.zeros((len(t.rows), self.bins), np.int64), np.zeros((len(self.at), len(t.rows), self.bins))
+        self.pairs(i, s2.ravel()[flat], [g.ravel()[flat] for g in t.gaps], w[t.near[j]], part, found)
+        n[t.rows] += part
+        sums[:, t.rows] += found
+
+    def patch(self, p: Patch, w: np.ndarray, n: np.ndarray, sums: np.ndarray) -> None:
+        size, w = len(p.rows), w[p.near]
+        middle = (p.own.min(axis=0) + p.own.max(axis=0)) / 2
+        terms = {ell: math.comb(ell + 3, 3) for ell in self.poles}
+        right = _monomials(p.images() - middle[:, None], _powers(max(self.poles)))
+        right *= w
+        left = {ell: np.zeros((self.bins, size, k)) for ell, k in terms.items()}
+        part, found = np.zeros((size, self.bins), np.int64), np.zeros((len(self.at), size, self.bins))
+        step, beside = max(PLACES // size, 1), []
+        tables = np.empty((4, size, min(step, len(p.near))))
+        for a in range(0, len(p.near), step):
+            cut = slice(a, min(a + step, len(p.near)))
+            s2, spare, one, other = tables[:, :, : cut.stop - a]
+            p.squared(cut, s2, spare)
+            least, most = s2.min(), s2.max()
+            if least <= self.beside:
+                i, j = np.nonzero(near := s2 <= self.beside)
+                use = s2[i, j] > self.low
+                beside.append((i[use], a + j[use], s2[i[use], j[use]]))
+                s2[near] = np.inf
+                most = np.inf
+            inverse = np.divide(1.0, s2, out=spare)
+            for b, (above, upto) in enumerate(itertools.pairwise(self.squares)):
+                if most <= above or least > upto:
+                    continue
+                if all_ := least > above and most <= upto:
+                    part[:, b] += cut.stop - a
+                    even, power = inverse, 2
+                else:
+                    seen = s2 <= upto
+                    if least <= above:
+                        seen &= s2 > above
+                    np.copyto(one, seen)
+                    part[:, b] += one.sum(axis=1).astype(np.int64)
+                    even, power = one, 0
+                for ell in sorted(self.poles):
+                    if all_ and ell < 2:
+                        left[ell][b] += (right[: terms[ell], cut].sum(axis=1) if ell == 0 else np.sqrt(inverse, out=other) @ right[: terms[ell], cut].T)
+                        continue
+                    while power + 2 <= ell:
+                        even, power = np.multiply(even, inverse, out=one), power + 2
+                    table = even
+                    if power < ell:
+                        table = np.sqrt(inverse, out=other)
+                        table *= even
+                    left[ell][b] += table @ right[: terms[ell], cut].T
+        if beside:
+            i, j, s2 = (np.concatenate(v) for v in zip(*beside, strict=True))
+            gaps = [p.own[i, k] - p.there[k, j] - (0.0 if p.moved[k] is None else p.moved[k][j]) for k in range(3)]
+            self.pairs(i, s2, gaps, w[j], part, found)
+        k = 0
+        for ell in self.poles:
+            c = np.tensordot(_monomials(p.own.T - middle[:, None], _powers(ell)), self.moved[ell], (0, 0))
+            found[k : k + 2 * ell + 1] += np.einsum("imk,bik->mib", c, left[ell])
+            k += 2 * ell + 1
+        n[p.rows] += part
+        sums[:, p.rows] += found
+
+
 def triplet_poles(first: DataFrame, edges: list[float], poles: tuple[int, ...], box: Sides | None = None, second: DataFrame | None = None, weight: str | None = None, cosmo: Cosmology | None = None) -> DataFrame:
     """Three-point multipoles: sum over triplets of w w' w'' L_l(cos angle at the primary), by the bins of both sides.
 
@@ -294,30 +419,21 @@ def triplet_poles(first: DataFrame, edges: list[float], poles: tuple[int, ...],
             d = d.withColumns(dict(zip("xyz", sky_to_comoving(cosmo, F.col("ra"), F.col("dec"), F.col("redshift")), strict=True)))
         return d.withColumn("w", w)
 
-    at, n_b = [(ell, m) for ell in poles for m in range(-ell, ell + 1)], len(edges) - 1
-    low, high = max(edges[0], 0.0) ** 2, edges[-1] ** 2
+    moments, n_b = _Moments(edges, poles), len(edges) - 1
+    at = moments.at
 
-    def run(x: pd.DataFrame, y: pd.DataFrame, tiles: Iterator[Tile]) -> pd.DataFrame:
+    def run(x: pd.DataFrame, y: pd.DataFrame, tiles: Iterator[Tile | Patch]) -> pd.DataFrame:
         w2, n, sums = y["w2"].to_numpy(float), np.zeros((len(x), n_b), np.int64), np.zeros((len(at), len(x), n_b))
         for t in tiles:
-            s2 = t.squared()
-            flat = np.flatnonzero((s2 > low) & (s2 <= high))
-            i, j = np.divmod(flat, len(t.near))
-            s = np.sqrt(s2.ravel()[flat])
-            # Bins are (lo, hi].
-            code = i * n_b + sum((s > e for e in edges[1:-1]), np.zeros(len(s), np.int64))
-            u, size = [g.ravel()[flat] / s for g in t.gaps], len(t.rows) * n_b
-            n[t.rows] += np.bincount(code, minlength=size).reshape(-1, n_b)
-            for k, (ell, m) in enumerate(at):
-                sums[k, t.rows] += np.bincount(code, w2[t.near[j]] * ylm_values(ell, m, *u), size).reshape(-1, n_b)
+            (moments.patch if isinstance(t, Patch) else moments.tile)(t, w2, n, sums)
         i, b = np.nonzero(n)
         return pd.DataFrame({"id1": x["id1"].to_numpy()[i], "w1": x["w1"].to_numpy(float)[i], "b": b.astype(np.int32), **{f"m{k}": sums[k, i, b] for k in range(len(at))}})
 
     names = [f"m{k}" for k in range(len(at))]
-    p = block_sums(*_both(first, second, prepare), run, ", ".join(["id1 long, w1 double, b int", *(f"{m} double" for m in names)]), (edges[-1],) * 3, box, ["w"], ["w"])
-    moments = p.groupBy("id1", "b").agg(F.first("w1").alias("w1"), F.array(*[F.sum(m) for m in names]).alias("a"))
+    p = block_sums(*_both(first, second, prepare), run, ", ".join(["id1 long, w1 double, b int", *(f"{m} double" for m in names)]), (edges[-1],) * 3, box, ["w"], ["w"], patches=max(poles) <= MOST_POLE and n_b <= MOST_BINS)
+    by_bin = p.groupBy("id1", "b").agg(F.first("w1").alias("w1"), F.array(*[F.sum(m) for m in names]).alias("a"))
     # A primary has no more rows than there are bins.
-    sides = moments.groupBy("id1").agg(F.first("w1").alias("w1"), F.collect_list(F.struct("b", "a")).alias("own"))
+    sides = by_bin.groupBy("id1").agg(F.first("w1").alias("w1"), F.collect_list(F.struct("b", "a")).alias("own"))
     both = sides.select("w1", "own", F.explode("own").alias("p")).select("w1", "p", F.explode("own").alias("q"))
     product = [F.col("w1") * sum((F.col("p.a")[i] * F.col("q.a")[i] for i, (e, _) in enumerate(at) if e == ell), F.lit(0.0)) for ell in poles]
     return both.groupBy(F.col("p.b").alias("b1"), F.col("q.b").alias("b2")).agg(*[(F.sum(z) / (4 * math.pi)).alias(f"zeta_{ell}") for ell, z in zip(poles, product, strict=True)])
