@@ -21,7 +21,7 @@ def test_patches_add_up_as_pairs_do(monkeypatch, edges, poles, box):
     for patches in (False, True):
         n, sums = np.zeros((len(x), 2), np.int64), np.zeros((len(moments.at), len(x), 2))
         seen.clear()
-        for t in spatial.tiles(x, y, (edges[-1],) * 3, box, patches=patches):
+        for t in spatial.tiles(x, y, (edges[-1],) * 3, box, patches=80 * patches):
             assert isinstance(t, spatial.Patch) == patches
             (moments.patch if patches else moments.tile)(t, w, n, sums)
         found.append((n, sums, sum(seen)))
